@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
