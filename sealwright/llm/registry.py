@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .langid import op8_langid
+from .quality import op4_quality
 from .simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op8_langid": op8_langid,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
