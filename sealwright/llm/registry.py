@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .langid import op8_langid
+from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op3_simhash
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op8_langid": op8_langid,
