@@ -7,14 +7,17 @@ from .langid import op8_langid
 from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op3_simhash
+from .toolcalls import OP6_SQL, op6_toolcalls
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op6_toolcalls": op6_toolcalls,
     "op8_langid": op8_langid,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op6_toolcalls": OP6_SQL,
     "op10_decontaminate": OP10_SQL,
 }
