@@ -181,7 +181,9 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
                         exact[own[seed] == ids[some][:, None]] = -np.inf
                         if n >= k:
                             floor[some] = np.maximum(floor[some], -np.partition(-exact, k - 1, axis=1)[:, k - 1])
-                        qi, xi = np.nonzero((s + error >= floor[some][:, None]) & (own[None, :] != ids[some][:, None]))
+                        close = s + error >= floor[some][:, None]
+                        np.put_along_axis(close, seed, True, axis=1)
+                        qi, xi = np.nonzero(close & (own[None, :] != ids[some][:, None]))
                         got.append((some[qi], xi, _exact(q, x, some[qi], xi, metric)))
                     qi, xi, sc = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                     best_q, best_id, best_s = np.concatenate((best_q, qi)), np.concatenate((best_id, own[xi])), np.concatenate((best_s, sc))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .langid import op8_langid
+from .maintext import op9_maintext
 from .mixing import op2_mixing
 from .neighbours import OP7_SQL, op7_neighbours
+from .passages import op1_passages
 from .quality import op4_quality
 from .simhash import op3_simhash
 from .tokencount import op5_tokencount
 from .toolcalls import OP6_SQL, op6_toolcalls
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
@@ -19,10 +22,12 @@ QUERIES = {
     "op6_toolcalls": op6_toolcalls,
     "op7_neighbours": op7_neighbours,
     "op8_langid": op8_langid,
+    "op9_maintext": op9_maintext,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op6_toolcalls": OP6_SQL,
     "op7_neighbours": OP7_SQL,
+    "op9_maintext": op9_maintext,
     "op10_decontaminate": OP10_SQL,
 }
