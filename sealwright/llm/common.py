@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts in `column` of one slice have about `most` bytes."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > most and i > start:

@@ -28,6 +28,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_toolcalls": OP6_SQL,
     "op7_neighbours": OP7_SQL,
-    "op9_maintext": op9_maintext,
     "op10_decontaminate": OP10_SQL,
 }
