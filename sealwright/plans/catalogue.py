@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sealwright.functions import values as V
 from sealwright.operators import authority, changes, identity, projection
 from sealwright.session import table
+from sealwright.sources import release
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -432,3 +433,14 @@ def q28_exchange_issues(spark, sf_dir):
 def q30_ip_version(spark, sf_dir):
     texts = spark.sql("SELECT * FROM VALUES ('127.0.0.1'), ('::1'), ('[::1]'), ('127.0.0.1 '), ('host'), ('1.2.3'), ('fe80::1%eth0') AS t(text)")
     return texts.select("text", V.ip_version(F.col("text")).alias("version"))
+
+
+@query("SELECT doc_id, sha1(concat('blob ', octet_length(encode(text)), chr(0), text)) AS sha1_id, sha256(concat('blob ', octet_length(encode(text)), chr(0), text)) AS sha256_id FROM documents")
+def q32_git_blob_ids(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", release.git_blob_id(text).alias("sha1_id"), release.git_blob_id(text, "sha256").alias("sha256_id"))
+
+
+@query("SELECT doc_id, 'https://data.example/records/sha256-' || sha256(text) || '/document-sha256-' || sha256(text) || '.tar.gz' AS url FROM documents")
+def q33_archive_urls(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", release.archive_url("https://data.example", "records", "document", V.sha256(F.col("text"))).alias("url"))
