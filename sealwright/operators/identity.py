@@ -105,3 +105,31 @@ def dependency_key(spark: SparkSession) -> Column:
     from sealwright.functions.values import json_string, sha256
 
     return sha256(F.concat(F.lit('{"id":'), json_string(F.col("id"), True), F.lit(',"instanceId":'), json_string(F.col("instance_id"), True), F.lit(',"kind":'), json_string(F.col("kind"), True), F.lit("}")))
+
+
+def transition_edges(transitions: DataFrame) -> DataFrame:
+    """(src, dst) of merges and successions. transitions: ord, kind, surviving, retired (array), predecessor, successor, predecessor_retires."""
+    merged = transitions.where("kind = 'merge'").select(F.explode("retired").alias("src"), F.col("surviving").alias("dst"))
+    succeeded = transitions.where("kind = 'succession' and predecessor_retires").select(F.col("predecessor").alias("src"), F.col("successor").alias("dst"))
+    return merged.union(succeeded)
+
+
+def resolutions(transitions: DataFrame) -> DataFrame:
+    """(src, root, steps) after all transitions: as sets, since the end of a chain does not depend on the order in which its links were made.
+
+    `ambiguous(transition_edges(...))` gives the sources that an ordered reading would refuse for a second resolution.
+    """
+    return closure(transition_edges(transitions).groupBy("src").agg(F.min("dst").alias("dst")))
+
+
+def split_branches(transitions: DataFrame) -> DataFrame:
+    """(original, child): what each split subject went on as, children resolved to their present identity."""
+    parts = transitions.where("kind = 'split'").select(F.col("original"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("continuing"), F.coalesce("new", F.array().cast("array<string>")))))).alias("child"))
+    now = resolutions(transitions).where("root is not null").select(F.col("src").alias("child"), "root")
+    return parts.join(now, "child", "left").select("original", F.coalesce("root", "child").alias("child")).distinct()
+
+
+def retired_subjects(transitions: DataFrame) -> DataFrame:
+    """(subject): retired, merged away or succeeded."""
+    gone = transitions.where("kind = 'retirement'").select("subject")
+    return gone.union(transition_edges(transitions).select("src")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sealwright.functions import values as V
 from sealwright.operators import authority, changes, identity, projection
-from sealwright.session import table
+from sealwright.session import table, written
 from sealwright.sources import release
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +110,8 @@ SELECT coalesce(i.path, ni.path) AS path, CASE WHEN ni.path IS NULL AND 'data/'
 FROM i FULL JOIN ni ON i.path = ni.path LEFT JOIN t ON 'data/' || t.leaf || '.jsonl' = coalesce(i.path, ni.path)"""
 )
 def q05_successor_inventory(spark, sf_dir):
-    base, changed = _base(spark, sf_dir), _changed(spark, sf_dir)
-    before = projection.inventory(base)
+    base, changed = written(_base(spark, sf_dir), "projection"), written(_changed(spark, sf_dir), "changes")
+    before = written(projection.inventory(base), "inventory")
     leaves = before.select("path")
     after = projection.inventory(projection.successor(base, leaves, changed, MAX_SHARD_BYTES))
     return projection.inventory_changes(before, after, projection.affected(changed.select("id"), leaves))

@@ -93,3 +93,35 @@ def test_chain_and_seal(spark):
     sealed = changes.sealed(df, ["chain", "n"])
     assert changes.unsealed(sealed, ["chain", "n"]).count() == 0
     assert changes.unsealed(sealed.withColumn("n", F.col("n") + 1), ["chain", "n"]).count() == 2
+
+
+TRANSITIONS = "ord int, kind string, surviving string, retired array<string>, original string, continuing string, new array<string>, predecessor string, successor string, predecessor_retires boolean, subject string"
+
+
+def test_transitions(spark):
+    rows = [
+        (1, "merge", "b", ["a"], None, None, None, None, None, None, None),
+        (2, "split", None, None, "s", "c", ["b"], None, None, None, None),
+        (3, "merge", "d", ["b"], None, None, None, None, None, None, None),
+        (4, "succession", None, None, None, None, None, "d", "e", True, None),
+        (5, "succession", None, None, None, None, None, "g", "h", False, None),
+        (6, "retirement", None, None, None, None, None, None, None, None, "r"),
+    ]
+    t = spark.createDataFrame(rows, TRANSITIONS)
+    assert {r["src"]: r["root"] for r in identity.resolutions(t).collect()} == {"a": "e", "b": "e", "d": "e"}
+    assert {(r["original"], r["child"]) for r in identity.split_branches(t).collect()} == {("s", "c"), ("s", "e")}
+    assert {r["subject"] for r in identity.retired_subjects(t).collect()} == {"a", "b", "d", "r"}
+    assert identity.ambiguous(identity.transition_edges(t)).count() == 0
+
+
+def test_dataset_card():
+    import pytest
+    from pyspark.sql import types as T
+
+    from sealwright.sources.cards import dataset_features
+
+    schema = T.StructType([T.StructField("record_id", T.StringType(), False), T.StructField("website", T.StringType()), T.StructField("details", T.StructType([T.StructField("amount", T.DoubleType())]))])
+    assert dataset_features(schema) == "dataset_info:\n  config_name: default\n  features:\n  - name: record_id\n    dtype: string\n  - name: website\n    dtype: json\n  - name: details\n    dtype: json\n"
+    for bad in (T.StructType([]), T.StructType([T.StructField("bad:key", T.StringType())])):
+        with pytest.raises(ValueError):
+            dataset_features(bad)
