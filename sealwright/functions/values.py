@@ -85,13 +85,22 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
+#: Fixed short escapes of JSON.
+SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
+
+def json_literal(text: str) -> str:
+    """A quoted canonical string of a Python text, as `json_string` gives it for a column."""
+    text = unicodedata.normalize("NFC", text)
+    return '"' + "".join("\\" + x if x in '"\\' else "\\" + SHORT.get(ord(x), f"u{ord(x):04x}") if x < " " else x for x in text) + '"'
+
+
 def json_string(c: Column, ascii_only: bool = False) -> Column:
     """A quoted canonical string: short escapes where JSON has them, else lower-case \\u00xx."""
     c = c if ascii_only else nfc(c)
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
     for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit("\\" + short.get(code, f"u{code:04x}")))
+        out = F.replace(out, F.lit(chr(code)), F.lit("\\" + SHORT.get(code, f"u{code:04x}")))
     quote = F.lit('"')
     return F.when(c.rlike(r'["\\\x00-\x1f]'), F.concat(quote, out, quote)).otherwise(F.concat(quote, c, quote))
 
@@ -113,7 +122,7 @@ def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, depth: int
         members = []
         for f in sorted(kind.fields, key=lambda f: unicodedata.normalize("NFC", f.name).encode("utf-16-be")):
             value = canonical(c.getField(f.name), f.dataType, ascii_only, depth + 1)
-            key = F.concat(json_string(F.lit(f.name), f.name.isascii()), F.lit(":"))
+            key = F.lit(json_literal(f.name) + ":")
             optional = (f.metadata or {}).get("presence") == "optional"
             members.append(F.when(c.getField(f.name).isNotNull(), F.concat(key, value)) if optional else F.concat(key, value))
         out = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
