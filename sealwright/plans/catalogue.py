@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealwright.functions import values as V
-from sealwright.operators import authority, changes, identity, projection
+from sealwright.operators import authority, changes, envelope, identity, projection
 from sealwright.session import table, written
 from sealwright.sources import release
 
@@ -444,3 +444,89 @@ def q32_git_blob_ids(spark, sf_dir):
 @query("SELECT doc_id, 'https://data.example/records/sha256-' || sha256(text) || '/document-sha256-' || sha256(text) || '.tar.gz' AS url FROM documents")
 def q33_archive_urls(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", release.archive_url("https://data.example", "records", "document", V.sha256(F.col("text"))).alias("url"))
+
+
+# -- releases --------------------------------------------------------------------------------------------------------
+
+RELEASE_CONTRACTS = {n: f"catalogue.{n}/v1" for n in envelope.CONTRACTS}
+RELEASE_DOCUMENTS = 500
+_NONE = "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def _release_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads, objects and changes: each source is a chain whose releases add RELEASE_DOCUMENTS neighbouring documents each."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("chain"), F.floor(F.col("doc_id") / RELEASE_DOCUMENTS).alias("block"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), V.sha256(text).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
+    blocks = docs.select("chain", "block").distinct().withColumn("sequence", F.row_number().over(Window.partitionBy("chain").orderBy("block")).cast("long"))
+    docs = written(docs.join(blocks, ["chain", "block"]), "release-documents")
+    objects = docs.select("chain", "sequence", F.concat(F.lit("texts/"), "id", F.lit(".txt")).alias("path"), "sha256", "bytes")
+    none = F.lit(None).cast("string")
+    kind = envelope.change_type()
+    added = {"kind": F.lit("text.added"), "subject_type": F.lit("text"), "subject_id": F.col("id"), "revision_digest": F.col("sha256"), "basis_event_ids": F.array().cast("array<string>")}
+    core = [f for f in kind.fields if f.name != "change_id"]
+    made = docs.select("chain", "sequence", *[added.get(f.name, none).alias(f.name) for f in core])
+    made = made.withColumn("change_id", V.digest(F.struct(*[f.name for f in core]), T.StructType(core), True))
+    empty = F.map_from_entries(F.array().cast("array<struct<key: string, value: string>>"))
+    fixed = {"compiler_version": F.lit("catalogue/1"), "policy_as_of": F.lit("2026-01-01T00:00:00Z"), "trust_transition_digest": none, "resource_digests": empty, "bundle_resources": empty, "admitted_input_digests": F.array(F.lit(_NONE))}
+    digests = ("input_set_digest", "artifact_digest", "root_set_digest", "signer_registry_digest", "verifier_digest")
+    heads = blocks.select("chain", "sequence", *[c.alias(n) for n, c in fixed.items()], *[F.lit(_NONE).alias(n) for n in digests])
+    return heads, objects, made
+
+
+_RELEASE_OBJECTS = f"""o AS (SELECT coalesce(source, 'none') AS chain, dense_rank() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id // {RELEASE_DOCUMENTS}) AS sequence,
+'d' || doc_id AS id, 'texts/d' || doc_id || '.txt' AS path, 'sha256:' || sha256(coalesce(text, '')) AS s, octet_length(encode(coalesce(text, ''))) AS b FROM documents)"""
+
+
+def _optional_sql(x: str) -> str:
+    return f"coalesce('\"' || {x} || '\"', 'null')"
+
+
+def _file_sql(path: str, text: str) -> str:
+    return f"""'"{path}":{{"bytes":' || octet_length(encode({text})) || ',"sha256":"sha256:' || sha256({text}) || '"}},'"""
+
+
+@query(
+    f"""WITH RECURSIVE {_RELEASE_OBJECTS},
+c AS (SELECT *, '"kind":"text.added","revision_digest":"' || s || '","subject_id":"' || id || '","subject_type":"text"}}' AS tail FROM o),
+k AS (SELECT *, '{{"basis_event_ids":[],"change_id":"sha256:' || sha256('{{"basis_event_ids":[],' || tail) || '",' || tail AS line FROM c),
+g AS (SELECT chain, sequence, count(*) AS n_objects, string_agg('"' || path || '":{{"bytes":' || b || ',"sha256":"' || s || '"}}', ',' ORDER BY path) AS objects,
+      string_agg(line, ',' ORDER BY id) AS array_, string_agg(line || chr(10), '' ORDER BY id) AS changes FROM k GROUP BY chain, sequence),
+h AS (SELECT *, '{{"manifest_contract":"catalogue.manifest/v1","objects":{{' || objects || '}}}}' AS manifest, 'sha256:' || sha256(changes) AS diff_digest,
+      '{{"artifact_contract":"catalogue.artifact/v1","artifact_digest":"{_NONE}","compiler_version":"catalogue/1","input_set_digest":"{_NONE}","policy_as_of":"2026-01-01T00:00:00Z","release_sequence":' || sequence
+      || ',"resource_digests":{{}},"root_set_digest":"{_NONE}","signer_registry_digest":"{_NONE}","snapshot_contract":"catalogue.snapshot/v1","trust_transition_digest":null}}' AS snapshot FROM g),
+i AS (SELECT *, 'sha256:' || sha256(snapshot) AS snapshot_id FROM h),
+j AS (SELECT *, '"release_contract":"catalogue.release/v1","release_sequence":' || sequence || ',"snapshot_id":"' || snapshot_id || '"}}' AS tail FROM i),
+r AS (SELECT chain, sequence, CAST(NULL AS VARCHAR) AS parent_release_id, CAST(NULL AS VARCHAR) AS parent_snapshot_id, snapshot_id, '{{"diff_digest":"' || diff_digest || '","parent_release_id":null,' || tail AS core FROM j WHERE sequence = 1
+      UNION ALL SELECT j.chain, j.sequence, 'sha256:' || sha256(r.core), r.snapshot_id, j.snapshot_id, '{{"diff_digest":"' || j.diff_digest || '","parent_release_id":"sha256:' || sha256(r.core) || '",' || j.tail FROM r JOIN j ON j.chain = r.chain AND j.sequence = r.sequence + 1),
+d AS (SELECT j.*, r.parent_release_id, 'sha256:' || sha256(core) AS release_id,
+      '{{"changes":[' || array_ || '],"diff_contract":"catalogue.diff/v1","parent_snapshot_id":' || {_optional_sql("r.parent_snapshot_id")} || ',"snapshot_id":"' || j.snapshot_id || '"}}' AS diff,
+      '{{"descriptor_contract":"catalogue.descriptor/v1","release_core":' || core || ',"release_id":"sha256:' || sha256(core) || '","snapshot_core":' || snapshot || ',"snapshot_id":"' || j.snapshot_id || '"}}' AS descriptor
+      FROM j JOIN r ON j.chain = r.chain AND j.sequence = r.sequence)
+SELECT chain, sequence, n_objects, snapshot_id, diff_digest, parent_release_id, release_id, 'sha256:' || sha256(manifest) AS manifest_digest,
+'sha256:' || sha256('{{"admitted_input_digests":["{_NONE}"],"bundle_contract":"catalogue.bundle/v1","files":{{' || {_file_sql("changes.ndjson", "changes")} || {_file_sql("manifest.json", "(manifest || chr(10))")} || {_file_sql("release-diff.json", "(diff || chr(10))")} || {_file_sql("release.json", "(descriptor || chr(10))")} || objects
+|| '}},"object_manifest_digest":"sha256:' || sha256(manifest) || '","release":' || descriptor || ',"resource_digests":{{}},"verifier_digest":"{_NONE}"}}') AS bundle_digest FROM d"""
+)
+def q34_release_seal(spark, sf_dir):
+    heads, objects, made = _release_inputs(spark, sf_dir)
+    sealed = envelope.seal(RELEASE_CONTRACTS, heads, objects, made, envelope.change_type())
+    return sealed.select("chain", "sequence", "n_objects", "snapshot_id", "diff_digest", "parent_release_id", "release_id", "manifest_digest", "bundle_digest")
+
+
+@query(
+    f"""WITH {_RELEASE_OBJECTS}, e AS (SELECT DISTINCT chain, sequence FROM o WHERE sequence % 2 = 0)
+SELECT chain, sequence, 3 AS check_ordinal, 'file_set' AS code, min(path) AS path FROM o WHERE sequence = 1 GROUP BY chain, sequence
+UNION ALL SELECT chain, sequence, 4, 'file_bytes', 'changes.ndjson' FROM e
+UNION ALL SELECT chain, sequence, 19, 'changes_digest', NULL FROM e
+UNION ALL SELECT chain, sequence, 20, 'changes_encoding', NULL FROM e"""
+)
+def q35_release_checks(spark, sf_dir):
+    """Stored releases of which every second has other changes, and the first of each chain has lost a file."""
+    heads, objects, made = _release_inputs(spark, sf_dir)
+    sealed = written(envelope.seal(RELEASE_CONTRACTS, heads, objects, made, envelope.change_type()), "sealed")
+    even = F.col("sequence") % 2 == 0
+    texts = envelope.files_of(sealed.withColumn("changes", F.when(even, F.replace("changes", F.lit("text.added"), F.lit("text.lost"))).otherwise(F.col("changes"))))
+    own = texts.where(F.col("path") != envelope.FILES["bundle"]).select("chain", "sequence", "path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+    lost = objects.where("sequence = 1").groupBy("chain", "sequence").agg(F.min("path").alias("path"))
+    present = own.unionByName(objects.join(lost, ["chain", "sequence", "path"], "left_anti"))
+    entries, resources = spark.createDataFrame([("texts", "texts")], "entry string, owner string"), spark.createDataFrame([], "name string, owner string")
+    return envelope.violations(RELEASE_CONTRACTS, texts, present, envelope.change_type(), entries, resources)
