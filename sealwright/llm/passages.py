@@ -32,10 +32,12 @@ from .wordhash import _powers, mix, shingles, word_spans
 WIDTH, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 3
 #: Places by which equal tokens may be out of step after an insertion or a deletion.
 STEP = 2
-#: Contents at one anchor up to which all pairs are compared; larger groups are sorted from the anchor both ways and compared with their neighbours and with leaders.
+#: Contents at one anchor up to which all pairs are compared without an index. In larger groups neighbours and leaders are compared first, which only saves work.
 SMALL, NEAR, LEADERS = 48, 6, 64
+#: Of the rarest tokens of a passage, as many as may differ and SHARED more are looked up; a link needs SHARED of them. PROBES are made at a time.
+SHARED, PROBES = 2, 1 << 21
 PIECE = 1 << 20
-#: Contents that a task compares at a time.
+#: Contents that a task compares at a time, or all of one anchor where it has more.
 ROWS = 20_000
 
 
@@ -182,12 +184,14 @@ class Group:
     def __init__(self, ctx: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, similarity: float):
         self.t, self.need = t, math.ceil(2 * t * similarity / (1 + similarity) - 1e-9)
         place = np.arange(-(t - 1), t)
-        self.ok = (place >= -left[:, None]) & (place <= right[:, None])
-        self.a, self.b = np.where(self.ok, ctx, -1).astype(np.int32), np.where(self.ok, ctx, -2).astype(np.int32)
+        self.ok, self.ctx = (place >= -left[:, None]) & (place <= right[:, None]), ctx
         n = len(ctx)
         self.root, self.lo, self.hi = np.arange(n), np.full(n, t), np.full(n, -t)
         self.left, self.right = left, right
 
+    def _codes(self, rows: np.ndarray, none: int) -> np.ndarray:
+        return np.where(self.ok[rows], self.ctx[rows].astype(np.int32), np.int32(none))
+
     @staticmethod
     def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Where a token of `a` is in `b` too, STEP places away at most."""
@@ -203,7 +207,7 @@ class Group:
 
     def _compare(self, x: np.ndarray, y: np.ndarray) -> None:
         t, places = self.t, np.arange(2 * self.t - 1)
-        m = self._equal(self.a[x], self.b[y])
+        m = self._equal(self._codes(x, -1), self._codes(y, -2))
         run = np.zeros((len(x), len(places) + 1), np.int16)
         np.cumsum(m, axis=1, out=run[:, 1:])
         good = run[:, t:] - run[:, :-t] >= self.need
@@ -215,7 +219,7 @@ class Group:
         x, y, m, good = x[hit], y[hit], m[hit], good[hit]
         lo, hi = good.argmax(axis=1)[:, None], (2 * t - 2 - good[:, ::-1].argmax(axis=1))[:, None]
         # a span goes from the first to the last equal token of the passages that were found
-        for k, equal, more in ((x, m, 0), (y, self._equal(self.b[y], self.a[x]), STEP)):
+        for k, equal, more in ((x, m, 0), (y, self._equal(self._codes(y, -2), self._codes(x, -1)), STEP)):
             equal = equal & (places >= lo - more) & (places <= hi + more)
             np.minimum.at(self.lo, k, equal.argmax(axis=1) - (t - 1))
             np.maximum.at(self.hi, k, t - 1 - equal[:, ::-1].argmax(axis=1))
@@ -240,7 +244,8 @@ class Group:
 
     def _large(self, rows: np.ndarray) -> None:
         mid = self.t - 1
-        for part in (self.a[rows][:, mid:], self.a[rows][:, mid::-1]):
+        codes = self._codes(rows, -1)
+        for part in (codes[:, mid:], codes[:, mid::-1]):
             order = rows[np.lexsort(part[:, ::-1].T)]
             for d in range(1, NEAR + 1):
                 x, y = order[:-d], order[d:]
@@ -252,6 +257,71 @@ class Group:
         for leader in roots[np.argsort(-n, kind="stable")][:LEADERS]:
             others = rows[self.root[rows] != self.root[leader]]
             self.compare(np.full(len(others), leader), others)
+        self._rest(rows, codes)
+
+    def _rest(self, rows: np.ndarray, codes: np.ndarray) -> None:
+        """Compare all rows of different components that can have a link: none is left out.
+
+        A linked passage of t tokens has t - need other ones at most, so of any t - need + SHARED of its tokens SHARED are in the
+        other row, STEP places away at most. Each passage of a row looks up its rarest tokens.
+        """
+        t, n, wide = self.t, len(rows), 2 * self.t - 1 + 2 * STEP
+        roots, root = np.unique(self.root[rows], return_inverse=True)
+        if len(roots) < 2:
+            return
+        r, p = np.nonzero(codes >= 0)
+        token = np.unique(codes[r, p], return_inverse=True)[1].astype(np.int64) * wide + p + STEP
+        held = np.bincount(token, minlength=int(token.max()) + STEP + 1)
+        near = sum(held[token + k] for k in range(-STEP, STEP + 1))
+        rare = np.full(codes.shape, np.iinfo(np.int32).max, np.int32)
+        rare[r, p] = near
+        most = t - self.need + SHARED
+        looked = np.zeros(codes.shape, bool)
+        for start in range(t):
+            whole = np.flatnonzero((start - (t - 1) >= -self.left[rows]) & (start <= self.right[rows]))
+            pick = np.argpartition(rare[whole, start : start + t], most - 1, axis=1)[:, :most] if most < t else np.arange(t)[None, :]
+            looked[whole[:, None], start + pick] = True
+        # sorted by token and place, then by component: a row skips its own component
+        parts = len(roots)
+        order = np.lexsort((root[r], token))
+        index, owner = token[order] * parts + root[r[order]], r[order]
+        probe = np.flatnonzero(looked[r, p] & (near > 1))
+        for at in range(0, len(probe), PROBES // 32):
+            k = probe[at : at + PROBES // 32]
+            # a row's probes stay together
+            if at and r[probe[at - 1]] == r[k[0]]:
+                k = k[np.searchsorted(r[k], r[k[0]], "right") :]
+            if at + PROBES // 32 < len(probe) and len(k):
+                more = probe[at + PROBES // 32 :]
+                k = np.append(k, more[: np.searchsorted(r[more], r[k[-1]], "right")])
+            self._look(rows, r, token, root, index, owner, k, parts, n)
+
+    def _look(self, rows: np.ndarray, r: np.ndarray, token: np.ndarray, root: np.ndarray, index: np.ndarray, owner: np.ndarray, k: np.ndarray, parts: int, n: int) -> None:
+        x = np.repeat(r[k], 2 * STEP + 1)
+        key = (token[k][:, None] + np.arange(-STEP, STEP + 1)).ravel() * parts
+        own = root[x]
+        edges = [np.searchsorted(index, key + d) for d in (0, own, own + 1, parts)]
+        x = np.concatenate((x, x))
+        lo, hi = np.concatenate((edges[0], edges[2])), np.concatenate((edges[1], edges[3]))
+        some = hi > lo
+        order = np.argsort(x[some], kind="stable")
+        x, lo, hi = x[some][order], lo[some][order], hi[some][order]
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(x):
+            # whole rows of about PROBES pairs
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PROBES, "right"))
+            to = max(int(np.searchsorted(x, x[min(to, len(x) - 1)])) if to < len(x) else len(x), int(np.searchsorted(x, x[at], "right")))
+            size = hi[at:to] - lo[at:to]
+            y = owner[np.repeat(lo[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            pair = np.repeat(x[at:to], size) * n + y
+            pair, found = np.unique(pair[y > np.repeat(x[at:to], size)], return_counts=True)
+            pair = pair[found >= SHARED]
+            for b in range(0, len(pair), 1 << 13):
+                u, v = rows[pair[b : b + (1 << 13)] // n], rows[pair[b : b + (1 << 13)] % n]
+                apart = self.root[u] != self.root[v]
+                self.compare(u[apart], v[apart])
+            at = to
 
 
 LINKED = "key long, content long, comp long, lo short, hi short"
@@ -260,8 +330,8 @@ LINKED = "key long, content long, comp long, lo short, hi short"
 def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
     """Contents with a verified link: their component at the anchor and the matched span around it."""
 
-    def solve(rows: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-        """The links of some rows, and leaders that stand for those of the last anchor."""
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The links of whole anchors."""
         table = pa.Table.from_batches(rows).combine_chunks()
         key, content = table.column(0).to_numpy(), table.column(1).to_numpy()
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
@@ -271,12 +341,10 @@ def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
         g = Group(ctx, table.column(2).to_numpy().astype(np.int64), table.column(3).to_numpy().astype(np.int64), t, similarity)
         g.link(np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))))
         got = np.flatnonzero(g.hi >= g.lo)
-        links = pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(key[got]), pa.array(content[got]), pa.array(content[g.root[got]]), pa.array(g.lo[got].astype(np.int16)), pa.array(g.hi[got].astype(np.int16))],
             ["key", "content", "comp", "lo", "hi"],
         )
-        roots, n = np.unique(g.root[key == key[-1]], return_counts=True)
-        return links, table.take(pa.array(np.sort(roots[np.argsort(-n, kind="stable")][:LEADERS]))).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,14 +361,10 @@ def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
             if cut or len(held) > 1 and held[-2].column(0)[-1].as_py() != key[0]:
                 rest = held.pop().slice(cut)
                 held += [b.slice(0, cut)] if cut else []
-                yield solve(held)[0]
+                yield solve(held)
                 held, n = [rest], rest.num_rows
-            elif n >= 3 * ROWS:  # one anchor has very many contents: go on with its leaders
-                links, leaders = solve(held)
-                yield links
-                held, n = [leaders], leaders.num_rows
         if held:
-            yield solve(held)[0]
+            yield solve(held)
 
     return contexts.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, LINKED)
 

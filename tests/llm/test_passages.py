@@ -128,3 +128,43 @@ def test_very_long_text(spark, n):
     piece = " ".join(long.split()[100_000:100_100])
     got = P.repeated_passages(spark.createDataFrame([(1, long), (2, "start " + piece + " end")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(1, 100_000, 100_100), (2, 1, 101)]
+
+
+def hot_anchor(rng, n, t=46):
+    """Contexts of one anchor: a common core, other continuations, and near copies that differ beside the core on both sides."""
+    core = rng.integers(1, 1 << 16, 2 * t - 1)
+    ctx = np.where(abs(np.arange(2 * t - 1) - (t - 1)) < 8, core, rng.integers(1, 1 << 16, (n, 2 * t - 1)))
+    for k in range(0, n // 2, 2):
+        ctx[n // 2 + k // 2] = ctx[k]
+        ctx[n // 2 + k // 2, [t - 12, t - 9, t + 7, t + 10]] = rng.integers(1, 1 << 16, 4)
+    return ctx[rng.permutation(n)].astype(np.uint16)
+
+
+def all_pairs(ctx, t=46):
+    n = len(ctx)
+    g = P.Group(ctx, np.full(n, t - 1), np.full(n, t - 1), t, 0.8)
+    for d in range(1, n):
+        g.compare(np.arange(n - d), np.arange(d, n))
+    return g.root
+
+
+def test_large_anchor_equals_all_pairs():
+    for seed in range(3):
+        ctx = hot_anchor(np.random.default_rng(seed), 600)
+        want = all_pairs(ctx)
+        g = P.Group(ctx, np.full(600, 45), np.full(600, 45), 46, 0.8)
+        g.link(np.zeros(600, np.int64))
+        assert len(np.unique(want)) == 450
+        assert g.root.tolist() == want.tolist()
+
+
+def test_large_anchor_over_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 40)
+    ctx = hot_anchor(np.random.default_rng(9), 400)
+    want = all_pairs(ctx)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = spark.createDataFrame([(8, i, 45, 45, bytearray(x.tobytes())) for i, x in enumerate(ctx)], "key long, content long, l short, r short, ctx binary")
+    got = {r["content"]: r["comp"] for r in P._linked(rows, 46, 0.8).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [got.get(i, i) for i in range(400)] == want.tolist()
