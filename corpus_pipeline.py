@@ -18,13 +18,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id, which is the group's component_id.
 
-    Rows without a doc_id stay. Of rows that share a doc_id one stays.
+    Rows without a doc_id stay. Rows that share a doc_id are judged by their own texts; of those in one group one stays.
     """
-    groups = materialize(simhash.near_duplicates(docs.where("doc_id is not null")), "near-duplicates")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated else kept
+    groups = materialize(simhash.grouped(docs.where("doc_id is not null")), "near-duplicates")
+    many = materialize(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")), "repeated-ids")
+    gone = groups.where("component_id <> id").select(F.col("id").alias("doc_id"))
+    if not many.limit(1).count():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(many.union(gone), "doc_id", "left_anti").select(*docs.columns)
+    several = docs.join(many, "doc_id", "left_semi").withColumn("text_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    prints = simhash.fingerprints(several.dropDuplicates(["text_"]), "text_").withColumnRenamed("id", "text_")
+    own = groups.where("component_id = id").select(F.col("id").alias("doc_id"), "fp", "root").distinct()
+    kept = several.join(prints, "text_").join(own, ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"])
+    return once.unionByName(kept.select(*docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

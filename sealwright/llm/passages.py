@@ -370,7 +370,7 @@ def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int, similarity: float, hashes: int) -> tuple[DataFrame, DataFrame]:
-    """Per distinct text: (ent, start, end, first_doc, cut) in words; and the texts (doc, ent, rep, rep_doc, n_words)."""
+    """Per distinct text: (ent, start, end, first_doc, cut) in words; and the texts (doc, mark, ent, rep, rep_doc, n_words)."""
     t = min_words - width + 1
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(id_.alias("doc"), text.alias("t"))
@@ -397,7 +397,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: i
         (F.col("c") + F.col("more") + F.when(whole, F.col("r")).otherwise(F.col("hi")) + width).alias("end"),
     )
     reps = known.groupBy("mark").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("o"), "ent")).alias("x"), F.max("n_words").alias("n")).select("mark", F.col("x.o").alias("rep_doc"), F.col("x.ent").alias("rep"))
-    known = materialize(known.join(reps, "mark").select("doc", "ent", "rep", "rep_doc", "n_words"), "passage-docs")
+    known = materialize(known.join(reps, "mark").select("doc", "mark", "ent", "rep", "rep_doc", "n_words"), "passage-docs")
     found = found.join(known.select("ent", "rep", "rep_doc").distinct(), "ent").select("gid", "rep", "rep_doc", "start", "end").distinct()
     found = materialize(found, "passage-found")
     first = found.groupBy("gid").agg(F.min(F.struct("rep_doc", "rep")).alias("f"), F.max(F.struct("rep_doc", "rep")).alias("z")).where("f <> z").select("gid", F.col("f.rep").alias("first"), F.col("f.rep_doc").alias("first_doc"))
@@ -448,9 +448,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
     cuts = _merged(spans.where("cut"), ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     gone = (F.col("ent") != F.col("rep")) & (F.col("n_words") >= min_words)
-    fate = known.join(cuts, "rep", "left").where(gone | F.col("spans").isNotNull()).select(F.col("doc").alias("doc_"), gone.alias("gone_"), F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), lambda x: x.cast("int")).alias("spans_"), F.col("n_words").alias("n_"))
-    fate = fate.groupBy("doc_").agg(F.max("gone_").alias("gone_"), F.min_by("spans_", "n_").alias("spans_"))
-    joined = docs.join(fate, docs[id_col].cast("long").eqNullSafe(F.col("doc_")), "left").where("not coalesce(gone_, false)").drop("doc_", "gone_")
+    fate = known.join(cuts, "rep", "left").where(gone | F.col("spans").isNotNull()).select(F.col("doc").alias("doc_"), F.col("mark").alias("mark_"), gone.alias("gone_"), F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), lambda x: x.cast("int")).alias("spans_"))
+    # an id, or its absence, does not name one text
+    same = docs[id_col].cast("long").eqNullSafe(F.col("doc_")) & (F.md5(docs[text_col].cast("string").cast("binary")) == F.col("mark_"))
+    joined = docs.join(fate, same, "left").where("not coalesce(gone_, false)").drop("doc_", "mark_", "gone_")
     at = joined.columns.index(text_col)
     schema = T.StructType([f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields])
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

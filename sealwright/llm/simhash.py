@@ -267,6 +267,16 @@ def _across(pieces: DataFrame, within: DataFrame, lay: Layout, distance: int) ->
     return left.select(*cols).unionByName(right.select(*cols)).groupBy("t", "key", "p", "q").applyInPandas(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """(id, fp, root, component_id) for each row of `docs`; root tells components of one component_id apart, as repeated ids have them."""
+    made = materialize(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
+    least = made.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(least, distance, blocks))
+    linked = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return made.join(named, "fp").select("id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """One row for each row of `docs`: (id_col, fingerprint, component_id).
 
@@ -275,12 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows; a null id stays null and never becomes a component_id while another id is reachable. Other columns are ignored. An
     empty table gives no rows.
     """
-    made = materialize(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
-    least = made.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least, distance, blocks))
-    linked = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, id_col, text_col, width, distance, blocks)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,14 @@ def test_large_anchor_over_several_batches(spark, monkeypatch):
     got = {r["content"]: r["comp"] for r in P._linked(rows, 46, 0.8).collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [got.get(i, i) for i in range(400)] == want.tolist()
+
+
+def test_rows_without_an_id_or_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(words(rng, 80)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, c + " " + a), (2, d), (4, a), (4, b + " own"), (4, " ".join(words(rng, 60)) + " " + d), (5, None), (None, None)]
+    got = {(r["doc_id"], r["text"]) for r in P.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, a), (2, d), (5, None), (None, None)} <= got
+    assert (None, a) not in got and (4, a) not in got
+    assert (None, c + " ") in got and (4, rows[7][1][: -len(d)]) in got
+    assert (4, b + " own") in got  # the smaller id keeps b

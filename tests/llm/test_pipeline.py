@@ -35,3 +35,14 @@ def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(4))
+    near = a.replace(a.split()[150], "changed", 1)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, d), (4, d + " x"), (5, near), (6, b), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert [x for x in got if x[0] != 4] == sorted([(0, a), (0, a), (1, a), (2, b), (3, c)])
+    assert len([x for x in got if x[0] == 4]) == 1
