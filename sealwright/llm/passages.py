@@ -389,13 +389,11 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: i
     met = materialize(met.withColumn("copies", F.max("place").over(Window.partitionBy("key", "content"))).where("several or copies > 1").drop("n"), "passage-windows")
     links = materialize(_linked(_contexts(met.where("several and place = 1"), texts.dropDuplicates(["ent"]) if clash else texts, t, width), t, similarity), "passage-links")
     met = met.join(links, ["key", "content"], "left").where("copies > 1 or comp is not null")
-    whole = F.col("copies") > 1
-    found = met.select(
-        "ent",
-        F.xxhash64("key", F.coalesce("comp", "content")).alias("gid"),
-        (F.col("c") + F.when(whole, -F.col("l")).otherwise(F.col("lo"))).alias("start"),
-        (F.col("c") + F.col("more") + F.when(whole, F.col("r")).otherwise(F.col("hi")) + width).alias("end"),
-    )
+    # exact copies have a first document of their own: a near one holds only the matched span
+    exact = F.struct(F.xxhash64("key", "content").alias("gid"), (-F.col("l")).cast("int").alias("a"), F.col("r").cast("int").alias("b"))
+    near = F.struct(F.xxhash64("key", "comp", F.lit(1)).alias("gid"), F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b"))
+    both = F.filter(F.array(F.when(F.col("copies") > 1, exact), F.when(F.col("comp").isNotNull(), near)), lambda x: x.isNotNull())
+    found = met.select("ent", "c", "more", F.explode(both).alias("x")).select("ent", F.col("x.gid").alias("gid"), (F.col("c") + F.col("x.a")).alias("start"), (F.col("c") + F.col("more") + F.col("x.b") + width).alias("end"))
     reps = known.groupBy("mark").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("o"), "ent")).alias("x"), F.max("n_words").alias("n")).select("mark", F.col("x.o").alias("rep_doc"), F.col("x.ent").alias("rep"))
     known = materialize(known.join(reps, "mark").select("doc", "mark", "ent", "rep", "rep_doc", "n_words"), "passage-docs")
     found = found.join(known.select("ent", "rep", "rep_doc").distinct(), "ent").select("gid", "rep", "rep_doc", "start", "end").distinct()
