@@ -5,10 +5,11 @@ tree over the tokens' hashes stands for all subsequences whose least hash is the
 right). Only windows that hold a passage of `min_words` words are made, about two for each such length of text and
 hash. Windows of all documents meet at equal (hash function, least value): their subsequences share that part
 of the signature, and the common anchor aligns them. The intervals of windows that meet are then verified: a passage of
-the least length inside both must have a Jaccard similarity of at least `similarity`.
+the least length or more inside each must have a Jaccard similarity of at least `similarity`. Passages of this similarity meet
+with a probability of 1 - (1 - similarity) ** hashes; one agreeing hash makes a candidate, and the tokens decide.
 
-A window is clipped to the subsequences of the least length around its anchor, since longer passages are
-unions of these. Windows of equal content are compared once for all of them, with a digest; only different
+A window is clipped to less than twice the least length around its anchor, since longer passages are cut into parts of
+such lengths, the best of which is as similar as the whole. Windows of equal content are compared once for all of them, with a digest; only different
 contents at one anchor are compared by their tokens.
 """
 
@@ -30,11 +31,13 @@ from .components import components
 from .wordhash import _powers, mix, shingles, word_spans
 
 WIDTH, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 3
-#: Places by which equal tokens may be out of step after an insertion or a deletion.
+#: Places by which equal tokens may be out of step in the first look; the second look allows for all insertions that leave the similarity.
 STEP = 2
+#: Bits of the map that bounds the common tokens of two contexts.
+BITS = 2048
 #: Contents at one anchor up to which all pairs are compared without an index. In larger groups neighbours and leaders are compared first, which only saves work.
 SMALL, NEAR, LEADERS = 48, 6, 64
-#: Of the rarest tokens of a passage, as many as may differ and SHARED more are looked up; a link needs SHARED of them. PROBES are made at a time.
+#: Of the rarest tokens of a context, as many as may differ and SHARED more are looked up; a link needs SHARED of them. PROBES are made at a time.
 SHARED, PROBES = 2, 1 << 21
 PIECE = 1 << 20
 #: Contents that a task compares at a time, or all of one anchor where it has more.
@@ -58,14 +61,15 @@ def _levels(v: np.ndarray, top: int, pick) -> list[np.ndarray]:
 def compact_windows(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, left, right) of the windows of at least `t` tokens; zeros in `v` separate texts.
 
-    left and right are the tokens on either side of the anchor, t - 1 at most. Of equal values the first is the least.
+    left and right are the tokens on either side of the anchor, 2 t - 2 at most. Of equal values the first is the least.
     """
     n = len(v)
     none = np.zeros(0, np.int64)
     if n < t:
         return none, none, none
     top = t.bit_length() - 1
-    low = _levels(v, top, np.minimum)
+    reach = (2 * t - 2).bit_length()
+    low = _levels(v, max(top, reach - 1), np.minimum)
     least = np.minimum(low[top][: n - t + 1], low[top][t - (1 << top) : t - (1 << top) + n - t + 1])
     edge = np.zeros(t - 1, v.dtype)
     padded = np.concatenate((edge, least, edge))
@@ -73,7 +77,7 @@ def compact_windows(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
     best = np.maximum(high[:n], high[t - (1 << top) : t - (1 << top) + n])
     c = np.flatnonzero((best == v) & (v > 0))
     own, left, right = v[c], c.copy(), c + 1
-    for j in range(top, -1, -1):
+    for j in range(len(low) - 1, -1, -1):
         step = 1 << j
         at = left - step
         ok = at >= 0
@@ -82,7 +86,7 @@ def compact_windows(v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
         ok = right + step <= n
         ok[ok] = low[j][right[ok]] >= own[ok]
         right = np.where(ok, right + step, right)
-    left, right = np.minimum(c - left, t - 1), np.minimum(right - 1 - c, t - 1)
+    left, right = np.minimum(c - left, 2 * t - 2), np.minimum(right - 1 - c, 2 * t - 2)
     keep = left + right + 1 >= t
     return c[keep], left[keep], right[keep]
 
@@ -149,13 +153,16 @@ def _windows(texts: DataFrame, t: int, width: int, hashes: int) -> DataFrame:
     return texts.mapInArrow(run, WINDOWS)
 
 
+CONTEXT = ["key", "content", "l", "r", "first_doc", "first"]
+
+
 def _contexts(wanted: DataFrame, texts: DataFrame, t: int, width: int) -> DataFrame:
     """The tokens of each window in `wanted`, 16 bits of each, in places that the anchor aligns."""
-    lists = wanted.groupBy("ent").agg(F.collect_list(F.struct("key", "content", "c", "l", "r")).alias("w"))
+    lists = wanted.groupBy("ent").agg(F.collect_list(F.struct("key", "content", "c", "l", "r", "first_doc", "first")).alias("w"))
     joined = lists.join(texts, "ent").select("t", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.arange(-(t - 1), t)
+        reach = np.arange(-(2 * t - 2), 2 * t - 1)
         for whole in batches:
             for b in slices(whole, 0):
                 out = []
@@ -166,31 +173,52 @@ def _contexts(wanted: DataFrame, texts: DataFrame, t: int, width: int) -> DataFr
                     at = c[:, None] + reach
                     ok = (reach >= -left[:, None]) & (reach <= right[:, None])
                     code = np.where(ok, h[np.clip(at, 0, len(h) - 1)] >> np.uint64(48), 0).astype(np.uint16)
-                    out.append((x.field("key"), x.field("content"), x.field("l"), x.field("r"), code))
+                    out.append((*(x.field(k) for k in CONTEXT), code))
                 if out:
-                    codes = np.concatenate([x[4] for x in out])
+                    codes = np.concatenate([x[-1] for x in out])
                     flat = pa.py_buffer(np.ascontiguousarray(codes).tobytes())
-                    size = 2 * (2 * t - 1)
+                    size = 2 * (4 * t - 3)
                     ctx = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(codes), [None, flat]).cast(pa.binary())
-                    cols = [pa.concat_arrays([x[k] for x in out]) for k in range(4)]
-                    yield pa.RecordBatch.from_arrays([*cols, ctx], ["key", "content", "l", "r", "ctx"])
+                    cols = [pa.concat_arrays([x[k] for x in out]) for k in range(len(CONTEXT))]
+                    yield pa.RecordBatch.from_arrays([*cols, ctx], [*CONTEXT, "ctx"])
 
-    return joined.mapInArrow(run, "key long, content long, l short, r short, ctx binary")
+    return joined.mapInArrow(run, "key long, content long, l short, r short, first_doc long, first long, ctx binary")
 
 
 class Group:
-    """Contents at common anchors: verified links, components and matched spans."""
+    """Contents at common anchors: verified links, components, matched spans, and what is cut for which keeper.
+
+    A row has the tokens around its anchor, `left` and `right` of them. A link is a pair of intervals around the anchor, of `t` tokens
+    at least each, of which the Jaccard similarity is high enough. Passages of up to 2 t - 1 tokens are looked at: a longer one is cut
+    into such parts, and the best of them is as similar as the whole.
+    """
 
-    def __init__(self, ctx: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, similarity: float):
-        self.t, self.need = t, math.ceil(2 * t * similarity / (1 + similarity) - 1e-9)
-        place = np.arange(-(t - 1), t)
+    def __init__(self, ctx: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, similarity: float, order: np.ndarray | None = None):
+        self.t, self.similarity, self.mid = t, similarity, 2 * t - 2
+        #: Common tokens that a link has at least.
+        self.need = math.ceil(2 * t * similarity / (1 + similarity) - 1e-9)
+        #: Places by which equal tokens may be out of step: more inserted words make 2 t - 1 tokens too unlike.
+        self.step = max(STEP, int((1 - similarity) * (2 * t - 1)))
+        place = np.arange(-self.mid, self.mid + 1)
         self.ok, self.ctx = (place >= -left[:, None]) & (place <= right[:, None]), ctx
         n = len(ctx)
-        self.root, self.lo, self.hi = np.arange(n), np.full(n, t), np.full(n, -t)
-        self.left, self.right = left, right
-
-    def _codes(self, rows: np.ndarray, none: int) -> np.ndarray:
-        return np.where(self.ok[rows], self.ctx[rows].astype(np.int32), np.int32(none))
+        self.root, self.lo, self.hi = np.arange(n), np.full(n, 2 * t), np.full(n, -2 * t)
+        self.cut_lo, self.cut_hi = np.full(n, 2 * t), np.full(n, -2 * t)
+        self.left, self.right, self.order = left, right, np.arange(n) if order is None else order
+        self._bits()
+
+    def _bits(self) -> None:
+        """A bitmap of each row's tokens, and how many tokens share a bit with another one."""
+        n = len(self.ctx)
+        flat = np.zeros((n, BITS), bool)
+        r, p = np.nonzero(self.ok)
+        flat[r, self.ctx[r, p] % BITS] = True
+        self.bits = np.packbits(flat, axis=1).view(np.uint64)
+        self.spare = self.ok.sum(1) - flat.sum(1)
+
+    def _codes(self, rows: np.ndarray, none: int, reach: int | None = None) -> np.ndarray:
+        part = slice(None) if reach is None else slice(self.mid - reach, self.mid + reach + 1)
+        return np.where(self.ok[rows, part], self.ctx[rows, part].astype(np.int32), np.int32(none))
 
     @staticmethod
     def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,27 +230,16 @@ class Group:
         return m
 
     def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Join the components of the pairs that have a link."""
         for at in range(0, len(x), 1 << 13):
-            self._compare(x[at : at + (1 << 13)], y[at : at + (1 << 13)])
-
-    def _compare(self, x: np.ndarray, y: np.ndarray) -> None:
-        t, places = self.t, np.arange(2 * self.t - 1)
-        m = self._equal(self._codes(x, -1), self._codes(y, -2))
-        run = np.zeros((len(x), len(places) + 1), np.int16)
-        np.cumsum(m, axis=1, out=run[:, 1:])
-        good = run[:, t:] - run[:, :-t] >= self.need
-        start = np.arange(t) - (t - 1)
-        good &= (start >= -np.minimum(self.left[x], self.left[y] + STEP)[:, None]) & (start + t - 1 <= np.minimum(self.right[x], self.right[y] + STEP)[:, None])
-        hit = good.any(axis=1)
-        if not hit.any():
-            return
-        x, y, m, good = x[hit], y[hit], m[hit], good[hit]
-        lo, hi = good.argmax(axis=1)[:, None], (2 * t - 2 - good[:, ::-1].argmax(axis=1))[:, None]
-        # a span goes from the first to the last equal token of the passages that were found
-        for k, equal, more in ((x, m, 0), (y, self._equal(self._codes(y, -2), self._codes(x, -1)), STEP)):
-            equal = equal & (places >= lo - more) & (places <= hi + more)
-            np.minimum.at(self.lo, k, equal.argmax(axis=1) - (t - 1))
-            np.maximum.at(self.hi, k, t - 1 - equal[:, ::-1].argmax(axis=1))
+            hit, *spans = self.verify(x[at : at + (1 << 13)], y[at : at + (1 << 13)])
+            for k, lo, hi in ((x, spans[0], spans[1]), (y, spans[2], spans[3])):
+                k = k[at : at + (1 << 13)][hit]
+                np.minimum.at(self.lo, k, lo[hit])
+                np.maximum.at(self.hi, k, hi[hit])
+            self._union(x[at : at + (1 << 13)][hit], y[at : at + (1 << 13)][hit])
+
+    def _union(self, x: np.ndarray, y: np.ndarray) -> None:
         while True:
             p, q = self.root[x], self.root[y]
             if not (p != q).any():
@@ -231,6 +248,88 @@ class Group:
             while (self.root[self.root] != self.root).any():
                 self.root = self.root[self.root]
 
+    def verify(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(linked, first and last place of the passage in x, the same in y) of each pair.
+
+        Passages of t tokens, little out of step, are tried first; only pairs without one that may have `need` common tokens are looked at in full.
+        """
+        n, t = len(x), self.t
+        hit, out = np.zeros(n, bool), [np.zeros(n, np.int64) for _ in range(4)]
+        can = (np.bitwise_count(self.bits[x] & self.bits[y]).sum(1, dtype=np.int64) + np.minimum(self.spare[x], self.spare[y])) >= self.need
+        some = np.flatnonzero(can)
+        if not len(some):
+            return hit, *out
+        p, q = x[some], y[some]
+        places = np.arange(2 * t - 1)
+        a, b = self._codes(p, -1, t - 1), self._codes(q, -2, t - 1)
+        m = self._equal(a, b)
+        run = np.zeros((len(p), len(places) + 1), np.int16)
+        np.cumsum(m, axis=1, out=run[:, 1:])
+        good = run[:, t:] - run[:, :-t] >= self.need
+        start = np.arange(t) - (t - 1)
+        good &= (start >= -np.minimum(self.left[p], self.left[q] + STEP)[:, None]) & (start + t - 1 <= np.minimum(self.right[p], self.right[q] + STEP)[:, None])
+        near = good.any(axis=1)
+        hit[some[near]] = True
+        m, good, a, b = m[near], good[near], a[near], b[near]
+        if len(m):
+            lo, hi = good.argmax(axis=1)[:, None], (2 * t - 2 - good[:, ::-1].argmax(axis=1))[:, None]
+            # a span goes from the first to the last equal token of the passages that were found
+            for k, equal, more in ((0, m, 0), (2, self._equal(b, a), STEP)):
+                equal = equal & (places >= lo - more) & (places <= hi + more)
+                out[k][some[near]], out[k + 1][some[near]] = equal.argmax(axis=1) - (t - 1), t - 1 - equal[:, ::-1].argmax(axis=1)
+        rest = some[~near]
+        for at in range(0, len(rest), 1 << 12):
+            self._wide(x, y, rest[at : at + (1 << 12)], hit, out)
+        return hit, *out
+
+    def _partner(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place in `b` of each token of `a`, the least out of step; -1 if there is none."""
+        out = np.full(a.shape, -1, np.int16)
+        place = np.arange(a.shape[1], dtype=np.int16)
+        for s in [k for d in range(self.step + 1) for k in ((d, -d) if d else (0,))]:
+            here, there = (slice(0, a.shape[1] - s), slice(s, None)) if s >= 0 else (slice(-s, None), slice(0, s))
+            part = out[:, here]
+            new = (part < 0) & (a[:, here] == b[:, there])
+            part[new] = np.broadcast_to(place[there], new.shape)[new]
+        return out
+
+    def _wide(self, x: np.ndarray, y: np.ndarray, some: np.ndarray, hit: np.ndarray, out: list[np.ndarray]) -> None:
+        """Intervals around the anchor of any length, from one common token to another."""
+        a, b = self._codes(x[some], -1), self._codes(y[some], -2)
+        there = self._partner(a, b)
+        enough = (there >= 0).sum(1) >= self.need
+        some, a, b, there = some[enough], a[enough], b[enough], there[enough]
+        if not len(some):
+            return
+        back = self._partner(b, a) >= 0
+        runs = []
+        for found in (there >= 0, back):
+            run = np.zeros((len(found), found.shape[1] + 1), np.int32)
+            np.cumsum(found, axis=1, out=run[:, 1:])
+            runs.append(run)
+        t, mid = self.t, self.mid
+        for at in range(0, len(some), 256):
+            k = slice(at, min(at + 256, len(some)))
+            to = there[k].astype(np.int32)
+            first, last = to[:, : mid + 1, None], to[:, None, mid:]
+            fine = (first >= 0) & (last >= mid) & (first <= mid)
+            nx = (np.arange(mid, 2 * mid + 1)[None, :] - np.arange(mid + 1)[:, None] + 1)[None]
+            ny = np.where(fine, last - first + 1, 0)
+            mx = runs[0][k][:, None, mid + 1 :] - runs[0][k][:, : mid + 1, None]
+            row = np.arange(len(to))[:, None]
+            my = runs[1][k][row, np.where(to[:, mid:] >= 0, to[:, mid:] + 1, 0)][:, None, :] - runs[1][k][row, np.maximum(to[:, : mid + 1], 0)][:, :, None]
+            common = np.minimum(mx, my)
+            fine &= (nx <= 2 * t - 1) & (ny <= 2 * t - 1) & (common * (1 + self.similarity) >= self.similarity * (np.maximum(nx, t) + np.maximum(ny, t)) - 1e-9)
+            best = np.where(fine, nx + ny, -1).reshape(len(to), -1).argmax(1)
+            i, j = best // (mid + 1), best % (mid + 1) + mid
+            sure = fine[np.arange(len(to)), i, j - mid]
+            at_ = some[k][sure]
+            hit[at_] = True
+            i, j, to = i[sure], j[sure], to[sure]
+            each = np.arange(len(to))
+            for o, v in zip(out, (i, j, to[each, i], to[each, j])):
+                o[at_] = v - mid
+
     def link(self, group: np.ndarray) -> None:
         """`group` is sorted: rows of one anchor follow each other."""
         size = np.bincount(group)[group]
@@ -241,11 +340,32 @@ class Group:
             self.compare(x, x + d)
         for g in np.unique(group[size > SMALL]):
             self._large(np.flatnonzero(group == g))
+        self._keep()
+
+    def _keep(self) -> None:
+        """What is cut of a row: the passage that it shares with a row of lesser order that keeps it.
+
+        In each component the least row that is not yet cut is compared with all later ones; rows of equal order (of one document) are not cut for each other.
+        """
+        by = np.lexsort((self.order, self.root))
+        left = by[np.bincount(self.root, minlength=len(self.root))[self.root[by]] > 1]
+        while len(left):
+            first = np.concatenate(([True], self.root[left][1:] != self.root[left][:-1]))
+            head = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            hit, _, _, lo, hi = (np.concatenate(z) for z in zip(*[self.verify(head[i : i + (1 << 13)], left[i : i + (1 << 13)]) for i in range(0, len(left), 1 << 13)]))
+            done = hit & (self.order[head] < self.order[left])
+            self.cut_lo[left[done]], self.cut_hi[left[done]] = lo[done], hi[done]
+            left = left[~done & ~first]
+            # components of which only one order is left have nothing more to cut
+            if len(left):
+                start = np.flatnonzero(np.concatenate(([True], self.root[left][1:] != self.root[left][:-1])))
+                size = np.diff(np.append(start, len(left)))
+                left = left[np.repeat(np.minimum.reduceat(self.order[left], start) < np.maximum.reduceat(self.order[left], start), size)]
 
     def _large(self, rows: np.ndarray) -> None:
-        mid = self.t - 1
+        mid = self.mid
         codes = self._codes(rows, -1)
-        for part in (codes[:, mid:], codes[:, mid::-1]):
+        for part in (codes[:, mid : mid + self.t], codes[:, mid : mid - self.t : -1]):
             order = rows[np.lexsort(part[:, ::-1].T)]
             for d in range(1, NEAR + 1):
                 x, y = order[:-d], order[d:]
@@ -262,50 +382,41 @@ class Group:
     def _rest(self, rows: np.ndarray, codes: np.ndarray) -> None:
         """Compare all rows of different components that can have a link: none is left out.
 
-        A linked passage of t tokens has t - need other ones at most, so of any t - need + SHARED of its tokens SHARED are in the
-        other row, STEP places away at most. Each passage of a row looks up its rarest tokens.
+        A link has `need` common tokens, so of any others + SHARED tokens of a row, where others are all but `need`, SHARED are in the linked row too.
+        Every row looks up its rarest tokens.
         """
-        t, n, wide = self.t, len(rows), 2 * self.t - 1 + 2 * STEP
+        n = len(rows)
         roots, root = np.unique(self.root[rows], return_inverse=True)
         if len(roots) < 2:
             return
         r, p = np.nonzero(codes >= 0)
-        token = np.unique(codes[r, p], return_inverse=True)[1].astype(np.int64) * wide + p + STEP
-        held = np.bincount(token, minlength=int(token.max()) + STEP + 1)
-        near = sum(held[token + k] for k in range(-STEP, STEP + 1))
-        rare = np.full(codes.shape, np.iinfo(np.int32).max, np.int32)
-        rare[r, p] = near
-        most = t - self.need + SHARED
-        looked = np.zeros(codes.shape, bool)
-        for start in range(t):
-            whole = np.flatnonzero((start - (t - 1) >= -self.left[rows]) & (start <= self.right[rows]))
-            pick = np.argpartition(rare[whole, start : start + t], most - 1, axis=1)[:, :most] if most < t else np.arange(t)[None, :]
-            looked[whole[:, None], start + pick] = True
-        # sorted by token and place, then by component: a row skips its own component
+        token = np.unique(codes[r, p], return_inverse=True)[1].astype(np.int64)
+        held = np.bincount(token)
+        place = np.lexsort((held[token], r))
+        rank = np.empty(len(r), np.int64)
+        count = np.bincount(r, minlength=n)
+        rank[place] = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        looked = rank < (count - self.need + SHARED)[r]
+        # sorted by token, then by component: a row skips its own component
         parts = len(roots)
         order = np.lexsort((root[r], token))
-        index, owner = token[order] * parts + root[r[order]], r[order]
-        probe = np.flatnonzero(looked[r, p] & (near > 1))
-        for at in range(0, len(probe), PROBES // 32):
-            k = probe[at : at + PROBES // 32]
+        index, owner, where = token[order] * parts + root[r[order]], r[order], p[order]
+        probe = np.flatnonzero(looked & (held[token] > 1))
+        at = 0
+        while at < len(probe):
             # a row's probes stay together
-            if at and r[probe[at - 1]] == r[k[0]]:
-                k = k[np.searchsorted(r[k], r[k[0]], "right") :]
-            if at + PROBES // 32 < len(probe) and len(k):
-                more = probe[at + PROBES // 32 :]
-                k = np.append(k, more[: np.searchsorted(r[more], r[k[-1]], "right")])
-            self._look(rows, r, token, root, index, owner, k, parts, n)
-
-    def _look(self, rows: np.ndarray, r: np.ndarray, token: np.ndarray, root: np.ndarray, index: np.ndarray, owner: np.ndarray, k: np.ndarray, parts: int, n: int) -> None:
-        x = np.repeat(r[k], 2 * STEP + 1)
-        key = (token[k][:, None] + np.arange(-STEP, STEP + 1)).ravel() * parts
-        own = root[x]
+            to = int(np.searchsorted(r[probe], r[probe[min(at + PROBES // 32, len(probe) - 1)]], "right"))
+            self._look(rows, r, p, token, root, index, owner, where, probe[at:to], parts, n)
+            at = to
+
+    def _look(self, rows: np.ndarray, r: np.ndarray, p: np.ndarray, token: np.ndarray, root: np.ndarray, index: np.ndarray, owner: np.ndarray, where: np.ndarray, k: np.ndarray, parts: int, n: int) -> None:
+        key, own = token[k] * parts, root[r[k]]
         edges = [np.searchsorted(index, key + d) for d in (0, own, own + 1, parts)]
-        x = np.concatenate((x, x))
+        x, at_place = np.concatenate((r[k], r[k])), np.concatenate((p[k], p[k]))
         lo, hi = np.concatenate((edges[0], edges[2])), np.concatenate((edges[1], edges[3]))
         some = hi > lo
         order = np.argsort(x[some], kind="stable")
-        x, lo, hi = x[some][order], lo[some][order], hi[some][order]
+        x, at_place, lo, hi = (z[some][order] for z in (x, at_place, lo, hi))
         ends = np.cumsum(hi - lo)
         at = 0
         while at < len(x):
@@ -313,10 +424,11 @@ class Group:
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PROBES, "right"))
             to = max(int(np.searchsorted(x, x[min(to, len(x) - 1)])) if to < len(x) else len(x), int(np.searchsorted(x, x[at], "right")))
             size = hi[at:to] - lo[at:to]
-            y = owner[np.repeat(lo[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            pair = np.repeat(x[at:to], size) * n + y
-            pair, found = np.unique(pair[y > np.repeat(x[at:to], size)], return_counts=True)
-            pair = pair[found >= SHARED]
+            found = np.repeat(lo[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            pair = np.repeat(x[at:to], size) * n + owner[found]
+            pair = pair[abs(np.repeat(at_place[at:to], size) - where[found]) <= self.step]
+            pair, times = np.unique(pair, return_counts=True)
+            pair = pair[times >= SHARED]
             for b in range(0, len(pair), 1 << 13):
                 u, v = rows[pair[b : b + (1 << 13)] // n], rows[pair[b : b + (1 << 13)] % n]
                 apart = self.root[u] != self.root[v]
@@ -324,11 +436,12 @@ class Group:
             at = to
 
 
-LINKED = "key long, content long, comp long, lo short, hi short"
+EXACT, NEARLY, LOST = 0, 1, 2
+LINKED = "key long, content long, comp long, lo short, hi short, cut_lo short, cut_hi short"
 
 
 def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
-    """Contents with a verified link: their component at the anchor and the matched span around it."""
+    """Contents with a verified link: their component at the anchor, the matched span around it, and what is cut of it (null for a keeper)."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         """The links of whole anchors."""
@@ -337,13 +450,17 @@ def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
         table = table.take(pa.array(np.flatnonzero(new)))
         key, content = key[new], content[new]
-        ctx = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint16).reshape(-1, 2 * t - 1)
-        g = Group(ctx, table.column(2).to_numpy().astype(np.int64), table.column(3).to_numpy().astype(np.int64), t, similarity)
+        ctx = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, 4 * t - 3)
+        doc, text = table.column(4).to_numpy(), table.column(5).to_numpy()
+        by = np.lexsort((text, doc))
+        order = np.empty(len(by), np.int64)
+        order[by] = np.cumsum(np.concatenate(([0], (np.diff(doc[by]) != 0) | (np.diff(text[by]) != 0)))) if len(by) else 0
+        g = Group(ctx, table.column(2).to_numpy().astype(np.int64), table.column(3).to_numpy().astype(np.int64), t, similarity, order)
         g.link(np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))))
         got = np.flatnonzero(g.hi >= g.lo)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key[got]), pa.array(content[got]), pa.array(content[g.root[got]]), pa.array(g.lo[got].astype(np.int16)), pa.array(g.hi[got].astype(np.int16))],
-            ["key", "content", "comp", "lo", "hi"],
+            [pa.array(key[got]), pa.array(content[got]), pa.array(content[g.root[got]]), *(pa.array(z[got].astype(np.int16)) for z in (g.lo, g.hi)), *(pa.array(z[got].astype(np.int16), mask=(g.cut_hi < g.cut_lo)[got]) for z in (g.cut_lo, g.cut_hi))],
+            ["key", "content", "comp", "lo", "hi", "cut_lo", "cut_hi"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +486,9 @@ def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, LINKED)
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int, similarity: float, hashes: int) -> tuple[DataFrame, DataFrame]:
-    """Per distinct text: (ent, start, end, first_doc, cut) in words; and the texts (doc, mark, ent, rep, rep_doc, n_words)."""
+def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int, similarity: float, hashes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each distinct text, the passages that others have too (rep, rep_doc, start, end, first, first_doc), in words, and those that a smaller
+    document keeps (rep, start, end); and the texts (doc, mark, ent, rep, rep_doc, n_words)."""
     t = min_words - width + 1
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(id_.alias("doc"), text.alias("t"))
@@ -383,24 +501,31 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: i
     texts = rows.where("t is not null").withColumn("mark", F.md5(F.col("t").cast("binary"))) if clash else rows.where("t is not null")
     texts = texts.withColumn("ent", ent).select("ent", "t")
 
+    last = F.lit((1 << 63) - 1)
+    reps = known.groupBy("mark").agg(F.min(F.struct(F.coalesce("doc", last).alias("o"), "ent")).alias("x")).select("mark", F.col("x.o").alias("rep_doc"), F.col("x.ent").alias("rep"))
+    known = materialize(known.join(reps, "mark").select("doc", "mark", "ent", "rep", "rep_doc", "n_words"), "passage-docs")
+    owners = known.select("ent", "rep", "rep_doc").distinct()
+
     by_key, by_content = Window.partitionBy("key"), Window.partitionBy("key", "content").orderBy("ent", "c")
     met = _windows(texts, t, width, hashes).repartition("key").withColumn("place", F.row_number().over(by_content))
     met = met.withColumn("n", F.count("*").over(by_key)).where("n > 1").withColumn("several", F.min("content").over(by_key) != F.max("content").over(by_key))
-    met = materialize(met.withColumn("copies", F.max("place").over(Window.partitionBy("key", "content"))).where("several or copies > 1").drop("n"), "passage-windows")
-    links = materialize(_linked(_contexts(met.where("several and place = 1"), texts.dropDuplicates(["ent"]) if clash else texts, t, width), t, similarity), "passage-links")
+    met = met.withColumn("copies", F.max("place").over(Window.partitionBy("key", "content"))).where("several or copies > 1").drop("n", "place")
+    met = materialize(met.join(owners, "ent"), "passage-windows")
+    one = met.where("several").groupBy("key", "content").agg(F.min(F.struct("rep_doc", "rep")).alias("o"), F.min(F.struct("ent", "c", "l", "r")).alias("w"))
+    one = one.select("key", "content", "w.*", F.col("o.rep_doc").alias("first_doc"), F.col("o.rep").alias("first"))
+    links = materialize(_linked(_contexts(one, texts.dropDuplicates(["ent"]) if clash else texts, t, width), t, similarity), "passage-links")
     met = met.join(links, ["key", "content"], "left").where("copies > 1 or comp is not null")
-    # exact copies have a first document of their own: a near one holds only the matched span
-    exact = F.struct(F.xxhash64("key", "content").alias("gid"), (-F.col("l")).cast("int").alias("a"), F.col("r").cast("int").alias("b"))
-    near = F.struct(F.xxhash64("key", "comp", F.lit(1)).alias("gid"), F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b"))
-    both = F.filter(F.array(F.when(F.col("copies") > 1, exact), F.when(F.col("comp").isNotNull(), near)), lambda x: x.isNotNull())
-    found = met.select("ent", "c", "more", F.explode(both).alias("x")).select("ent", F.col("x.gid").alias("gid"), (F.col("c") + F.col("x.a")).alias("start"), (F.col("c") + F.col("more") + F.col("x.b") + width).alias("end"))
-    reps = known.groupBy("mark").agg(F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("o"), "ent")).alias("x"), F.max("n_words").alias("n")).select("mark", F.col("x.o").alias("rep_doc"), F.col("x.ent").alias("rep"))
-    known = materialize(known.join(reps, "mark").select("doc", "mark", "ent", "rep", "rep_doc", "n_words"), "passage-docs")
-    found = found.join(known.select("ent", "rep", "rep_doc").distinct(), "ent").select("gid", "rep", "rep_doc", "start", "end").distinct()
-    found = materialize(found, "passage-found")
-    first = found.groupBy("gid").agg(F.min(F.struct("rep_doc", "rep")).alias("f"), F.max(F.struct("rep_doc", "rep")).alias("z")).where("f <> z").select("gid", F.col("f.rep").alias("first"), F.col("f.rep_doc").alias("first_doc"))
-    spans = found.join(first, "gid").select("rep", "start", "end", "first", "first_doc", (F.col("first") != F.col("rep")).alias("cut"))
-    return spans, known
+    # exact copies have a first document of their own: a near one holds only the matched span, and loses what a keeper has
+    exact = F.struct(F.xxhash64("key", "content").alias("gid"), (-F.col("l")).cast("int").alias("a"), F.col("r").cast("int").alias("b"), F.lit(EXACT).alias("kind"))
+    near = F.struct(F.xxhash64("key", "comp", F.lit(1)).alias("gid"), F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b"), F.lit(NEARLY).alias("kind"))
+    lost = F.struct(F.lit(None).cast("long").alias("gid"), F.col("cut_lo").cast("int").alias("a"), F.col("cut_hi").cast("int").alias("b"), F.lit(LOST).alias("kind"))
+    every = F.filter(F.array(F.when(F.col("copies") > 1, exact), F.when(F.col("comp").isNotNull(), near), F.when(F.col("cut_lo").isNotNull(), lost)), lambda x: x.isNotNull())
+    found = met.select("rep", "rep_doc", "c", "more", F.explode(every).alias("x")).select("rep", "rep_doc", "x.gid", "x.kind", (F.col("c") + F.col("x.a")).alias("start"), (F.col("c") + F.col("more") + F.col("x.b") + width).alias("end"))
+    found = materialize(found.distinct(), "passage-found")
+    first = found.where("gid is not null").groupBy("gid").agg(F.min(F.struct("rep_doc", "rep")).alias("f"), F.max(F.struct("rep_doc", "rep")).alias("z")).where("f <> z").select("gid", F.col("f.rep").alias("first"), F.col("f.rep_doc").alias("first_doc"))
+    shared = found.join(first, "gid").select("rep", "rep_doc", "start", "end", "first", "first_doc", (F.col("kind") == EXACT).alias("exact"))
+    cuts = shared.where("exact and first <> rep").select("rep", "start", "end").unionByName(found.where(F.col("kind") == LOST).select("rep", "start", "end"))
+    return shared, cuts, known
 
 
 def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -422,15 +547,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null, empty and shorter texts have no passages; an id with several texts counts as several documents, a null id stays null;
     fully repeated rows count once. Other columns are ignored. An empty table gives no rows.
     """
-    spans, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
+    spans, _, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
     spans = materialize(spans, "passage-spans")
     sizes = known.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    merged = _merged(spans, ["rep"])
+    merged = _merged(spans.select("rep", "start", "end", "first_doc"), ["rep"])
     copied = known.where(f"n_words >= {min_words}").join(sizes, "rep", "left_semi")
     copies = copied.select("doc", "ent", "rep", "rep_doc", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("rep_doc").alias("first_doc"), F.lit(1).cast("long").alias("n_links"))
     own = known.join(merged, "rep").join(copied.select("ent").distinct(), "ent", "left_anti").select("doc", "ent", "rep", "rep_doc", "start", "end", "first_doc", "n_links")
     out = own.unionByName(copies)
-    links = spans.where("cut").join(known.select("rep", "rep_doc").distinct(), "rep").select(F.col("rep_doc").alias("a"), F.col("first_doc").alias("b"))
+    links = spans.where("first <> rep").select(F.col("rep_doc").alias("a"), F.col("first_doc").alias("b"))
     roots = components(links)
     out = out.join(roots, F.col("rep_doc") == F.col("node"), "left")
     return out.select(F.col("doc").alias(id_col), F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"), "first_doc", "n_links", F.coalesce("root", "rep_doc").alias("class_id"), (F.col("first_doc") == F.coalesce("doc", F.lit((1 << 63) - 1))).alias("kept"))
@@ -439,12 +564,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES) -> DataFrame:
     """`docs` without the passages that a document with a smaller id has too; all columns kept.
 
+    An exact copy of a window stays in the first document that has it. Of a near copy goes the part that was verified against a window of a smaller
+    document that is not itself cut there, so that each passage stays in some document.
     A passage is cut from its first word to the start of the word after its last. Further exact copies of a text of
     `min_words` words, and documents of which no word is left after a cut, go; null, empty and untouched texts stay as they are.
     An integer column n_chars, if there is one, is set to the new number of characters of a cut text.
     """
-    spans, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
-    cuts = _merged(spans.where("cut"), ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    _, cuts, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
+    cuts = _merged(cuts.withColumn("first_doc", F.lit(0)), ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     gone = (F.col("ent") != F.col("rep")) & (F.col("n_words") >= min_words)
     fate = known.join(cuts, "rep", "left").where(gone | F.col("spans").isNotNull()).select(F.col("doc").alias("doc_"), F.col("mark").alias("mark_"), gone.alias("gone_"), F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), lambda x: x.cast("int")).alias("spans_"))
     # an id, or its absence, does not name one text

@@ -56,7 +56,7 @@ def test_windows_equal_a_direct_search():
                 left += 1
             while v[c + right + 1] >= v[c]:
                 right += 1
-            left, right = min(left, t - 1), min(right, t - 1)
+            left, right = min(left, 2 * t - 2), min(right, 2 * t - 2)
             if left + right + 1 >= t:
                 want.add((int(c), left, right))
         assert got == want
@@ -130,19 +130,19 @@ def test_very_long_text(spark, n):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(1, 100_000, 100_100), (2, 1, 101)]
 
 
-def hot_anchor(rng, n, t=46):
+def hot_anchor(rng, n, core_size=15, t=46):
     """Contexts of one anchor: a common core, other continuations, and near copies that differ beside the core on both sides."""
-    core = rng.integers(1, 1 << 16, 2 * t - 1)
-    ctx = np.where(abs(np.arange(2 * t - 1) - (t - 1)) < 8, core, rng.integers(1, 1 << 16, (n, 2 * t - 1)))
+    core = rng.integers(1, 1 << 16, 4 * t - 3)
+    ctx = np.where(abs(np.arange(4 * t - 3) - (2 * t - 2)) <= core_size // 2, core, rng.integers(1, 1 << 16, (n, 4 * t - 3)))
     for k in range(0, n // 2, 2):
         ctx[n // 2 + k // 2] = ctx[k]
-        ctx[n // 2 + k // 2, [t - 12, t - 9, t + 7, t + 10]] = rng.integers(1, 1 << 16, 4)
+        ctx[n // 2 + k // 2, [2 * t - 13, 2 * t - 10, 2 * t + 6, 2 * t + 9]] = rng.integers(1, 1 << 16, 4)
     return ctx[rng.permutation(n)].astype(np.uint16)
 
 
 def all_pairs(ctx, t=46):
     n = len(ctx)
-    g = P.Group(ctx, np.full(n, t - 1), np.full(n, t - 1), t, 0.8)
+    g = P.Group(ctx, np.full(n, 2 * t - 2), np.full(n, 2 * t - 2), t, 0.8)
     for d in range(1, n):
         g.compare(np.arange(n - d), np.arange(d, n))
     return g.root
@@ -152,7 +152,7 @@ def test_large_anchor_equals_all_pairs():
     for seed in range(3):
         ctx = hot_anchor(np.random.default_rng(seed), 600)
         want = all_pairs(ctx)
-        g = P.Group(ctx, np.full(600, 45), np.full(600, 45), 46, 0.8)
+        g = P.Group(ctx, np.full(600, 90), np.full(600, 90), 46, 0.8)
         g.link(np.zeros(600, np.int64))
         assert len(np.unique(want)) == 450
         assert g.root.tolist() == want.tolist()
@@ -164,7 +164,7 @@ def test_large_anchor_over_several_batches(spark, monkeypatch):
     want = all_pairs(ctx)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    rows = spark.createDataFrame([(8, i, 45, 45, bytearray(x.tobytes())) for i, x in enumerate(ctx)], "key long, content long, l short, r short, ctx binary")
+    rows = spark.createDataFrame([(8, i, 90, 90, i, i, bytearray(x.tobytes())) for i, x in enumerate(ctx)], "key long, content long, l short, r short, first_doc long, first long, ctx binary")
     got = {r["content"]: r["comp"] for r in P._linked(rows, 46, 0.8).collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [got.get(i, i) for i in range(400)] == want.tolist()
@@ -193,3 +193,89 @@ def test_common_continuation_of_near_copies_survives(spark):
         left = out[3 * k + 1].split()
         # the ends of a near match may take a few words
         assert left[-100:] == q[-100:]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, passage):
+    """A copy with one or two runs of words replaced, inserted, deleted or swapped, of similarity 0.8 to 1."""
+    while True:
+        out = list(passage)
+        for _ in range(rng.randint(1, 2)):
+            n, at = rng.randint(1, 6), rng.randrange(5, len(out) - 12)
+            kind = rng.randrange(4)
+            if kind == 0:
+                out[at : at + n] = words(rng, n)
+            elif kind == 1:
+                out[at:at] = words(rng, n)
+            elif kind == 2:
+                del out[at : at + n]
+            else:
+                out[at], out[at + 1] = out[at + 1], out[at]
+        if len(out) >= 50 and 0.8 <= jaccard(passage, out) < 1:
+            return out
+
+
+def test_near_passages_of_any_edit_are_found(spark):
+    rng = random.Random(77)
+    docs, share = {}, []
+    for k in range(300):
+        passage = words(rng, rng.randint(50, 140))
+        other = edited(rng, passage)
+        share.append(jaccard(passage, other))
+        docs[2 * k], docs[2 * k + 1] = words(rng, 60) + passage + words(rng, 60), words(rng, 40) + other + words(rng, 70)
+    groups = {r["doc_id"]: r["class_id"] for r in P.repeated_passages(frame(spark, docs)).collect()}
+    found = [groups.get(2 * k) == groups.get(2 * k + 1) == 2 * k for k in range(300)]
+    assert sum(found) >= 0.97 * 300
+    low = [f for f, j in zip(found, share) if j < 0.84]
+    assert len(low) > 30 and sum(low) >= 0.9 * len(low)
+    assert not any(groups.get(i, i) != i - i % 2 for i in docs)
+
+
+@pytest.mark.parametrize("n", [800, 5000])
+def test_near_copies_in_a_large_anchor(n):
+    """Pairs that differ from each other beside the anchor, by replaced and inserted tokens."""
+    rng = np.random.default_rng(n)
+    t, width = 46, 181
+    core = rng.integers(1, 1 << 16, 21)
+    rows = []
+    for _ in range(n // 2):
+        x = rng.integers(1, 1 << 16, width)
+        x[80:101] = core
+        y = x.copy()
+        if len(rows) % 4:
+            y[103:107] = rng.integers(1, 1 << 16, 4)
+        else:  # three more tokens after the core
+            y = np.concatenate((x[:102], rng.integers(1, 1 << 16, 5), x[104:]))[:width]
+        y[:60] = rng.integers(1, 1 << 16, 60)
+        rows += [x, y]
+    order = rng.permutation(n)
+    g = P.Group(np.array(rows)[order].astype(np.uint16), np.full(n, 90), np.full(n, 90), t, 0.8)
+    g.link(np.zeros(n, np.int64))
+    at = np.argsort(order)
+    assert (g.root[at[::2]] == g.root[at[1::2]]).all()
+    assert len(np.unique(g.root)) == n // 2
+    cut = g.cut_hi >= g.cut_lo
+    assert cut.sum() == n // 2 and (cut[at[::2]] != cut[at[1::2]]).all()
+
+
+def test_every_passage_stays_somewhere(spark):
+    rng = random.Random(31)
+    docs = {}
+    for k in range(40):
+        base = words(rng, rng.randint(60, 150))
+        for j in range(4):
+            docs[4 * k + j] = words(rng, rng.randint(0, 60)) + (base if j % 2 else edited(rng, base)) + words(rng, rng.randint(0, 60))
+    out = {r["doc_id"]: r["text"].split() for r in P.without_repeats(frame(spark, docs)).collect()}
+    left = {w for x in out.values() for k in range(len(x) - 2) for w in [tuple(x[k : k + 3])]}
+    total = gone = 0
+    for i, w in docs.items():
+        for k in range(len(w) - 2):
+            total += 1
+            gone += tuple(w[k : k + 3]) not in left
+    # only the edited words of a near copy go
+    assert gone <= 0.05 * total
+    assert sum(map(len, out.values())) < 0.8 * sum(map(len, docs.values()))
