@@ -34,7 +34,7 @@ WIDTH, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 3
 #: Places by which equal tokens may be out of step in the first look; the second look allows for all insertions that leave the similarity.
 STEP = 2
 #: Bits of the map that bounds the common tokens of two contexts.
-BITS = 2048
+BITS = 4096
 #: Contents at one anchor up to which all pairs are compared without an index. In larger groups neighbours and leaders are compared first, which only saves work.
 SMALL, NEAR, LEADERS = 48, 6, 64
 #: Of the rarest tokens of a context, as many as may differ and SHARED more are looked up; a link needs SHARED of them. PROBES are made at a time.
@@ -208,11 +208,20 @@ class Group:
         self._bits()
 
     def _bits(self) -> None:
-        """A bitmap of each row's tokens, and how many tokens share a bit with another one."""
-        n = len(self.ctx)
+        """A bitmap of each row's tokens, and how many of them share a bit with another one. The k-th place of a token counts as a token of its own."""
+        n, width = self.ctx.shape
+        by = np.argsort(self.ctx, axis=1, kind="stable")
+        value = np.take_along_axis(self.ctx, by, 1)
+        valid = np.take_along_axis(self.ok, by, 1)
+        new = np.ones((n, width), bool)
+        new[:, 1:] = value[:, 1:] != value[:, :-1]
+        seen = np.cumsum(valid, axis=1)
+        before = np.maximum.accumulate(np.where(new, seen - valid, 0), axis=1)
+        self.token = np.empty((n, width), np.int32)
+        np.put_along_axis(self.token, by, np.where(valid, value.astype(np.int32) * width + (seen - before - 1), -1).astype(np.int32), 1)
         flat = np.zeros((n, BITS), bool)
         r, p = np.nonzero(self.ok)
-        flat[r, self.ctx[r, p] % BITS] = True
+        flat[r, (self.token[r, p].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)] = True
         self.bits = np.packbits(flat, axis=1).view(np.uint64)
         self.spare = self.ok.sum(1) - flat.sum(1)
 
@@ -286,49 +295,72 @@ class Group:
         """The place in `b` of each token of `a`, the least out of step; -1 if there is none."""
         out = np.full(a.shape, -1, np.int16)
         place = np.arange(a.shape[1], dtype=np.int16)
-        for s in [k for d in range(self.step + 1) for k in ((d, -d) if d else (0,))]:
-            here, there = (slice(0, a.shape[1] - s), slice(s, None)) if s >= 0 else (slice(-s, None), slice(0, s))
-            part = out[:, here]
-            new = (part < 0) & (a[:, here] == b[:, there])
-            part[new] = np.broadcast_to(place[there], new.shape)[new]
+        for d in range(self.step, -1, -1):
+            for s in (-d, d) if d else (0,):
+                here, there = (slice(0, a.shape[1] - s), slice(s, None)) if s >= 0 else (slice(-s, None), slice(0, s))
+                np.copyto(out[:, here], place[there], where=a[:, here] == b[:, there])
         return out
 
+    @staticmethod
+    def _distinct(there: np.ndarray) -> np.ndarray:
+        """A run of one repeated token that meets a single one counts once."""
+        there[:, 1:][there[:, 1:] == there[:, :-1]] = -1
+        return there
+
+    def _promising(self, there: np.ndarray) -> np.ndarray:
+        """First places of which some interval of enough tokens could be similar, by its tokens that are in the other row: a bound that takes one pass.
+
+        An interval from place a to b, with partners p and q, is similar if (1 + s) common - s (b - a + 1) - s (q - p + 1) >= 0, which is a sum of what
+        depends on the last place and what depends on the first.
+        """
+        s, mid, n = self.similarity, self.mid, there.shape[1]
+        found = there >= 0
+        run = np.cumsum(found, axis=1, dtype=np.float32)
+        value = np.float32(1 + s) * run - np.float32(s) * (np.arange(n, dtype=np.float32)[None, :] + there)
+        last = np.where(found, value, np.float32(-1e9))[:, mid:]
+        most = np.maximum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+        first = np.where(found, value, np.float32(1e9))[:, : mid + 1]
+        # the least interval has `need` tokens
+        at = np.maximum(np.arange(mid + 1) + self.need - 1 - mid, 0)
+        ok = at < most.shape[1]
+        return np.where(ok, most[:, np.where(ok, at, 0)] - first + np.float32(1 - s) >= -1e-3, False)
+
     def _wide(self, x: np.ndarray, y: np.ndarray, some: np.ndarray, hit: np.ndarray, out: list[np.ndarray]) -> None:
         """Intervals around the anchor of any length, from one common token to another."""
         a, b = self._codes(x[some], -1), self._codes(y[some], -2)
-        there = self._partner(a, b)
-        enough = (there >= 0).sum(1) >= self.need
-        some, a, b, there = some[enough], a[enough], b[enough], there[enough]
+        there = self._distinct(self._partner(a, b))
+        firsts = self._promising(there) & ((there >= 0).sum(1) >= self.need)[:, None]
+        enough = firsts.any(1)
+        some, a, b, there, firsts = some[enough], a[enough], b[enough], there[enough], firsts[enough]
         if not len(some):
             return
-        back = self._partner(b, a) >= 0
+        back = self._distinct(self._partner(b, a)) >= 0
         runs = []
         for found in (there >= 0, back):
             run = np.zeros((len(found), found.shape[1] + 1), np.int32)
             np.cumsum(found, axis=1, out=run[:, 1:])
             runs.append(run)
-        t, mid = self.t, self.mid
-        for at in range(0, len(some), 256):
-            k = slice(at, min(at + 256, len(some)))
-            to = there[k].astype(np.int32)
-            first, last = to[:, : mid + 1, None], to[:, None, mid:]
-            fine = (first >= 0) & (last >= mid) & (first <= mid)
-            nx = (np.arange(mid, 2 * mid + 1)[None, :] - np.arange(mid + 1)[:, None] + 1)[None]
-            ny = np.where(fine, last - first + 1, 0)
-            mx = runs[0][k][:, None, mid + 1 :] - runs[0][k][:, : mid + 1, None]
-            row = np.arange(len(to))[:, None]
-            my = runs[1][k][row, np.where(to[:, mid:] >= 0, to[:, mid:] + 1, 0)][:, None, :] - runs[1][k][row, np.maximum(to[:, : mid + 1], 0)][:, :, None]
-            common = np.minimum(mx, my)
-            fine &= (nx <= 2 * t - 1) & (ny <= 2 * t - 1) & (common * (1 + self.similarity) >= self.similarity * (np.maximum(nx, t) + np.maximum(ny, t)) - 1e-9)
-            best = np.where(fine, nx + ny, -1).reshape(len(to), -1).argmax(1)
-            i, j = best // (mid + 1), best % (mid + 1) + mid
-            sure = fine[np.arange(len(to)), i, j - mid]
-            at_ = some[k][sure]
-            hit[at_] = True
-            i, j, to = i[sure], j[sure], to[sure]
-            each = np.arange(len(to))
-            for o, v in zip(out, (i, j, to[each, i], to[each, j])):
-                o[at_] = v - mid
+        t, mid, s = self.t, self.mid, self.similarity
+        to = there.astype(np.int32)
+        each = np.arange(len(to))[:, None]
+        mine = runs[1][each, np.maximum(to, 0)], runs[1][each, to + 1]
+        row, i = np.nonzero(firsts)
+        for at in range(0, len(row), 1 << 13):
+            k, j = row[at : at + (1 << 13)], i[at : at + (1 << 13)]
+            first, last = to[k, j][:, None], to[k, mid:]
+            nx, ny = np.arange(mid, 2 * mid + 1)[None, :] - j[:, None] + 1, last - first + 1
+            common = np.minimum(runs[0][k, mid + 1 :] - runs[0][k, j][:, None], mine[1][k, mid:] - mine[0][k, j][:, None])
+            fine = (last >= mid) & (first <= mid) & (nx <= 2 * t - 1) & (ny <= 2 * t - 1) & (common * (1 + s) >= s * (np.maximum(nx, t) + np.maximum(ny, t)) - 1e-9)
+            size = np.where(fine, nx + ny, 0)
+            z = size.argmax(1)
+            size = size[np.arange(len(k)), z]
+            # the longest of each pair; the pairs are in order
+            got = np.flatnonzero(size)
+            for q in got[np.argsort(size[got], kind="stable")]:
+                o = some[k[q]]
+                if not hit[o] or size[q] >= out[1][o] - out[0][o] + out[3][o] - out[2][o] + 2:
+                    hit[o] = True
+                    out[0][o], out[1][o], out[2][o], out[3][o] = j[q] - mid, z[q], to[k[q], j[q]] - mid, to[k[q], mid + z[q]] - mid
 
     def link(self, group: np.ndarray) -> None:
         """`group` is sorted: rows of one anchor follow each other."""
@@ -377,7 +409,7 @@ class Group:
         for leader in roots[np.argsort(-n, kind="stable")][:LEADERS]:
             others = rows[self.root[rows] != self.root[leader]]
             self.compare(np.full(len(others), leader), others)
-        self._rest(rows, codes)
+        self._rest(rows, self.token[rows])
 
     def _rest(self, rows: np.ndarray, codes: np.ndarray) -> None:
         """Compare all rows of different components that can have a link: none is left out.
@@ -400,23 +432,23 @@ class Group:
         # sorted by token, then by component: a row skips its own component
         parts = len(roots)
         order = np.lexsort((root[r], token))
-        index, owner, where = token[order] * parts + root[r[order]], r[order], p[order]
+        index, owner = token[order] * parts + root[r[order]], r[order]
         probe = np.flatnonzero(looked & (held[token] > 1))
         at = 0
         while at < len(probe):
             # a row's probes stay together
             to = int(np.searchsorted(r[probe], r[probe[min(at + PROBES // 32, len(probe) - 1)]], "right"))
-            self._look(rows, r, p, token, root, index, owner, where, probe[at:to], parts, n)
+            self._look(rows, r, token, root, index, owner, probe[at:to], parts, n)
             at = to
 
-    def _look(self, rows: np.ndarray, r: np.ndarray, p: np.ndarray, token: np.ndarray, root: np.ndarray, index: np.ndarray, owner: np.ndarray, where: np.ndarray, k: np.ndarray, parts: int, n: int) -> None:
+    def _look(self, rows: np.ndarray, r: np.ndarray, token: np.ndarray, root: np.ndarray, index: np.ndarray, owner: np.ndarray, k: np.ndarray, parts: int, n: int) -> None:
         key, own = token[k] * parts, root[r[k]]
         edges = [np.searchsorted(index, key + d) for d in (0, own, own + 1, parts)]
-        x, at_place = np.concatenate((r[k], r[k])), np.concatenate((p[k], p[k]))
+        x = np.concatenate((r[k], r[k]))
         lo, hi = np.concatenate((edges[0], edges[2])), np.concatenate((edges[1], edges[3]))
         some = hi > lo
         order = np.argsort(x[some], kind="stable")
-        x, at_place, lo, hi = (z[some][order] for z in (x, at_place, lo, hi))
+        x, lo, hi = (z[some][order] for z in (x, lo, hi))
         ends = np.cumsum(hi - lo)
         at = 0
         while at < len(x):
@@ -424,9 +456,7 @@ class Group:
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PROBES, "right"))
             to = max(int(np.searchsorted(x, x[min(to, len(x) - 1)])) if to < len(x) else len(x), int(np.searchsorted(x, x[at], "right")))
             size = hi[at:to] - lo[at:to]
-            found = np.repeat(lo[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            pair = np.repeat(x[at:to], size) * n + owner[found]
-            pair = pair[abs(np.repeat(at_place[at:to], size) - where[found]) <= self.step]
+            pair = np.repeat(x[at:to], size) * n + owner[np.repeat(lo[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             pair, times = np.unique(pair, return_counts=True)
             pair = pair[times >= SHARED]
             for b in range(0, len(pair), 1 << 13):
