@@ -9,8 +9,8 @@ the least length or more inside each must have a Jaccard similarity of at least
 with a probability of 1 - (1 - similarity) ** hashes; one agreeing hash makes a candidate, and the tokens decide.
 
 A window is clipped to less than twice the least length around its anchor, since longer passages are cut into parts of
-such lengths, the best of which is as similar as the whole. Windows of equal content are compared once for all of them, with a digest; only different
-contents at one anchor are compared by their tokens.
+such lengths, the best of which is as similar as the whole. Windows that are equal within the least length on both sides of the anchor are one content
+and are compared once for all of them, by the window of the first; only different contents at one anchor are compared by their tokens.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _windows(texts: DataFrame, t: int, width: int, hashes: int) -> DataFrame:
             keep = (place >= np.array([x[3] for x in held], np.int64)[own]) & (place < np.array([x[4] for x in held], np.int64)[own])
             c, left, right, own, place = c[keep], left[keep], right[keep], own[keep], place[keep]
             key = (v[c] & np.uint64(0xFFFFFFFFFFFFFFF8)) | np.uint64(f)
-            content = _digests(h, c, left, right)
+            content = _digests(h, c, np.minimum(left, t - 1), np.minimum(right, t - 1))
             # a repetitive text has one window again and again; a chain of overlapping ones is one row
             order = np.lexsort((place, content, own))
             own, key, content, place, left, right = (x[order] for x in (own, key, content, place, left, right))
@@ -186,7 +186,7 @@ def _contexts(wanted: DataFrame, texts: DataFrame, t: int, width: int) -> DataFr
 
 
 class Group:
-    """Contents at common anchors: verified links, components, matched spans, and what is cut for which keeper.
+    """Contents at common anchors: verified links, components, matched spans, and what of them rows of lesser order have.
 
     A row has the tokens around its anchor, `left` and `right` of them. A link is a pair of intervals around the anchor, of `t` tokens
     at least each, of which the Jaccard similarity is high enough. Passages of up to 2 t - 1 tokens are looked at: a longer one is cut
@@ -239,14 +239,19 @@ class Group:
         return m
 
     def compare(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Join the components of the pairs that have a link."""
+        """Join the components of the pairs that have a link. What a row shares with one of lesser order can be cut of it: the other one keeps it,
+        or has it cut for what a still lesser row shares."""
         for at in range(0, len(x), 1 << 13):
-            hit, *spans = self.verify(x[at : at + (1 << 13)], y[at : at + (1 << 13)])
-            for k, lo, hi in ((x, spans[0], spans[1]), (y, spans[2], spans[3])):
-                k = k[at : at + (1 << 13)][hit]
-                np.minimum.at(self.lo, k, lo[hit])
-                np.maximum.at(self.hi, k, hi[hit])
-            self._union(x[at : at + (1 << 13)][hit], y[at : at + (1 << 13)][hit])
+            p, q = x[at : at + (1 << 13)], y[at : at + (1 << 13)]
+            hit, *spans = self.verify(p, q)
+            p, q, spans = p[hit], q[hit], [z[hit] for z in spans]
+            for k, other, lo, hi in ((p, q, spans[0], spans[1]), (q, p, spans[2], spans[3])):
+                np.minimum.at(self.lo, k, lo)
+                np.maximum.at(self.hi, k, hi)
+                later = self.order[k] > self.order[other]
+                np.minimum.at(self.cut_lo, k[later], lo[later])
+                np.maximum.at(self.cut_hi, k[later], hi[later])
+            self._union(p, q)
 
     def _union(self, x: np.ndarray, y: np.ndarray) -> None:
         while True:
@@ -372,33 +377,31 @@ class Group:
             self.compare(x, x + d)
         for g in np.unique(group[size > SMALL]):
             self._large(np.flatnonzero(group == g))
-        self._keep()
 
-    def _keep(self) -> None:
-        """What is cut of a row: the passage that it shares with a row of lesser order that keeps it.
-
-        In each component the least row that is not yet cut is compared with all later ones; rows of equal order (of one document) are not cut for each other.
-        """
-        by = np.lexsort((self.order, self.root))
-        left = by[np.bincount(self.root, minlength=len(self.root))[self.root[by]] > 1]
-        while len(left):
-            first = np.concatenate(([True], self.root[left][1:] != self.root[left][:-1]))
-            head = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            hit, _, _, lo, hi = (np.concatenate(z) for z in zip(*[self.verify(head[i : i + (1 << 13)], left[i : i + (1 << 13)]) for i in range(0, len(left), 1 << 13)]))
-            done = hit & (self.order[head] < self.order[left])
-            self.cut_lo[left[done]], self.cut_hi[left[done]] = lo[done], hi[done]
-            left = left[~done & ~first]
-            # components of which only one order is left have nothing more to cut
-            if len(left):
-                start = np.flatnonzero(np.concatenate(([True], self.root[left][1:] != self.root[left][:-1])))
-                size = np.diff(np.append(start, len(left)))
-                left = left[np.repeat(np.minimum.reduceat(self.order[left], start) < np.maximum.reduceat(self.order[left], start), size)]
+    def _trim(self, rows: np.ndarray, orders: list[np.ndarray]) -> None:
+        """Links to lesser rows for those of a large group that have none yet: to the least row of the component, and to the nearest lesser ones in both orders."""
+        first = np.full(len(self.root), -1)
+        by = rows[np.argsort(self.order[rows], kind="stable")][::-1]
+        first[self.root[by]] = by
+        x = rows[self.cut_hi[rows] < self.cut_lo[rows]]
+        self.compare(first[self.root[x]], x)
+        for order in orders:
+            for way in (order, order[::-1]):
+                lesser, stack = np.full(len(self.root), -1), []
+                for row, key in zip(way.tolist(), self.order[way].tolist()):
+                    while stack and self.order[stack[-1]] >= key:
+                        stack.pop()
+                    if stack:
+                        lesser[row] = stack[-1]
+                    stack.append(row)
+                x = rows[(self.cut_hi[rows] < self.cut_lo[rows]) & (lesser[rows] >= 0)]
+                self.compare(lesser[x], x)
 
     def _large(self, rows: np.ndarray) -> None:
         mid = self.mid
         codes = self._codes(rows, -1)
-        for part in (codes[:, mid : mid + self.t], codes[:, mid : mid - self.t : -1]):
-            order = rows[np.lexsort(part[:, ::-1].T)]
+        orders = [rows[np.lexsort(part[:, ::-1].T)] for part in (codes[:, mid : mid + self.t], codes[:, mid : mid - self.t : -1])]
+        for order in orders:
             for d in range(1, NEAR + 1):
                 x, y = order[:-d], order[d:]
                 apart = self.root[x] != self.root[y]
@@ -410,6 +413,7 @@ class Group:
             others = rows[self.root[rows] != self.root[leader]]
             self.compare(np.full(len(others), leader), others)
         self._rest(rows, self.token[rows])
+        self._trim(rows, orders)
 
     def _rest(self, rows: np.ndarray, codes: np.ndarray) -> None:
         """Compare all rows of different components that can have a link: none is left out.
@@ -471,7 +475,7 @@ LINKED = "key long, content long, comp long, lo short, hi short, cut_lo short, c
 
 
 def _linked(contexts: DataFrame, t: int, similarity: float) -> DataFrame:
-    """Contents with a verified link: their component at the anchor, the matched span around it, and what is cut of it (null for a keeper)."""
+    """Contents with a verified link: their component at the anchor, the matched span around it, and what is cut of it (null where no lesser text has it)."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         """The links of whole anchors."""
@@ -546,7 +550,8 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: i
     links = materialize(_linked(_contexts(one, texts.dropDuplicates(["ent"]) if clash else texts, t, width), t, similarity), "passage-links")
     met = met.join(links, ["key", "content"], "left").where("copies > 1 or comp is not null")
     # exact copies have a first document of their own: a near one holds only the matched span, and loses what a keeper has
-    exact = F.struct(F.xxhash64("key", "content").alias("gid"), (-F.col("l")).cast("int").alias("a"), F.col("r").cast("int").alias("b"), F.lit(EXACT).alias("kind"))
+    side = F.lit(t - 1)
+    exact = F.struct(F.xxhash64("key", "content").alias("gid"), (-F.least("l", side)).cast("int").alias("a"), F.least("r", side).cast("int").alias("b"), F.lit(EXACT).alias("kind"))
     near = F.struct(F.xxhash64("key", "comp", F.lit(1)).alias("gid"), F.col("lo").cast("int").alias("a"), F.col("hi").cast("int").alias("b"), F.lit(NEARLY).alias("kind"))
     lost = F.struct(F.lit(None).cast("long").alias("gid"), F.col("cut_lo").cast("int").alias("a"), F.col("cut_hi").cast("int").alias("b"), F.lit(LOST).alias("kind"))
     every = F.filter(F.array(F.when(F.col("copies") > 1, exact), F.when(F.col("comp").isNotNull(), near), F.when(F.col("cut_lo").isNotNull(), lost)), lambda x: x.isNotNull())
@@ -595,7 +600,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` without the passages that a document with a smaller id has too; all columns kept.
 
     An exact copy of a window stays in the first document that has it. Of a near copy goes the part that was verified against a window of a smaller
-    document that is not itself cut there, so that each passage stays in some document.
+    document, which keeps it or loses it to a still smaller one, so that each passage stays in some document.
     A passage is cut from its first word to the start of the word after its last. Further exact copies of a text of
     `min_words` words, and documents of which no word is left after a cut, go; null, empty and untouched texts stay as they are.
     An integer column n_chars, if there is one, is set to the new number of characters of a cut text.
