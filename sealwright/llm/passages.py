@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, materialize, read, slices
 from .components import components
-from .wordhash import _powers, mix, shingles, word_spans
+from .wordhash import _powers, mix, shingles, word_count, word_spans
 
 WIDTH, MIN_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 3
 #: Places by which equal tokens may be out of step in the first look; the second look allows for all insertions that leave the similarity.
@@ -41,7 +41,7 @@ SMALL, NEAR, LEADERS = 48, 6, 64
 SHARED, PROBES = 2, 1 << 21
 PIECE = 1 << 20
 #: Contents that a task compares at a time, or all of one anchor where it has more.
-ROWS = 20_000
+ROWS = 10_000
 
 
 def tokens(text: bytes | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +153,17 @@ def _windows(texts: DataFrame, t: int, width: int, hashes: int) -> DataFrame:
     return texts.mapInArrow(run, WINDOWS)
 
 
+def _marks(rows: DataFrame) -> DataFrame:
+    """(doc, mark, n_words) of the texts in `rows` (doc, t): their MD5 and numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(x).hexdigest() for x in texts], pa.string()), pa.array([word_count(x) for x in texts], pa.int32())], ["doc", "mark", "n_words"])
+
+    return rows.mapInArrow(run, "doc long, mark string, n_words int")
+
+
 CONTEXT = ["key", "content", "l", "r", "first_doc", "first"]
 
 
@@ -200,7 +211,7 @@ class Group:
         #: Places by which equal tokens may be out of step: more inserted words make 2 t - 1 tokens too unlike.
         self.step = max(STEP, int((1 - similarity) * (2 * t - 1)))
         place = np.arange(-self.mid, self.mid + 1)
-        self.ok, self.ctx = (place >= -left[:, None]) & (place <= right[:, None]), ctx
+        self.ok, self.ctx = (place >= -left[:, None]) & (place <= right[:, None]), np.maximum(ctx, np.uint16(2))
         n = len(ctx)
         self.root, self.lo, self.hi = np.arange(n), np.full(n, 2 * t), np.full(n, -2 * t)
         self.cut_lo, self.cut_hi = np.full(n, 2 * t), np.full(n, -2 * t)
@@ -210,24 +221,28 @@ class Group:
     def _bits(self) -> None:
         """A bitmap of each row's tokens, and how many of them share a bit with another one. The k-th place of a token counts as a token of its own."""
         n, width = self.ctx.shape
-        by = np.argsort(self.ctx, axis=1, kind="stable")
-        value = np.take_along_axis(self.ctx, by, 1)
-        valid = np.take_along_axis(self.ok, by, 1)
-        new = np.ones((n, width), bool)
-        new[:, 1:] = value[:, 1:] != value[:, :-1]
-        seen = np.cumsum(valid, axis=1)
-        before = np.maximum.accumulate(np.where(new, seen - valid, 0), axis=1)
-        self.token = np.empty((n, width), np.int32)
-        np.put_along_axis(self.token, by, np.where(valid, value.astype(np.int32) * width + (seen - before - 1), -1).astype(np.int32), 1)
-        flat = np.zeros((n, BITS), bool)
-        r, p = np.nonzero(self.ok)
-        flat[r, (self.token[r, p].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)] = True
-        self.bits = np.packbits(flat, axis=1).view(np.uint64)
-        self.spare = self.ok.sum(1) - flat.sum(1)
+        self.token, self.bits = np.empty((n, width), np.int32), np.zeros((n, BITS // 64), np.uint64)
+        place = np.arange(width, dtype=np.int32)
+        for at in range(0, n, 4096):
+            ok = self.ok[at : at + 4096]
+            x = np.sort((self.ctx[at : at + 4096].astype(np.int32) << 8) | place, axis=1)
+            by, value = x & 255, x >> 8
+            valid = np.take_along_axis(ok, by, 1)
+            new = np.ones(x.shape, bool)
+            new[:, 1:] = value[:, 1:] != value[:, :-1]
+            seen = np.cumsum(valid, axis=1, dtype=np.int32)
+            before = np.maximum.accumulate(np.where(new, seen - valid, np.int32(0)), axis=1)
+            token = np.where(valid, value * width + (seen - before - 1), np.int32(-1))
+            np.put_along_axis(self.token[at : at + 4096], by, token, 1)
+            r, p = np.nonzero(valid)
+            bit = (token[r, p].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(33 - BITS.bit_length())
+            np.bitwise_or.at(self.bits, (at + r, (bit >> 6).astype(np.intp)), np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64))
+        self.spare = self.ok.sum(1) - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
 
     def _codes(self, rows: np.ndarray, none: int, reach: int | None = None) -> np.ndarray:
+        """The tokens of rows, with `none`, 0 or 1, in places out of the window."""
         part = slice(None) if reach is None else slice(self.mid - reach, self.mid + reach + 1)
-        return np.where(self.ok[rows, part], self.ctx[rows, part].astype(np.int32), np.int32(none))
+        return np.where(self.ok[rows, part], self.ctx[rows, part], np.uint16(none))
 
     @staticmethod
     def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,7 +290,7 @@ class Group:
             return hit, *out
         p, q = x[some], y[some]
         places = np.arange(2 * t - 1)
-        a, b = self._codes(p, -1, t - 1), self._codes(q, -2, t - 1)
+        a, b = self._codes(p, 0, t - 1), self._codes(q, 1, t - 1)
         m = self._equal(a, b)
         run = np.zeros((len(p), len(places) + 1), np.int16)
         np.cumsum(m, axis=1, out=run[:, 1:])
@@ -332,7 +347,7 @@ class Group:
 
     def _wide(self, x: np.ndarray, y: np.ndarray, some: np.ndarray, hit: np.ndarray, out: list[np.ndarray]) -> None:
         """Intervals around the anchor of any length, from one common token to another."""
-        a, b = self._codes(x[some], -1), self._codes(y[some], -2)
+        a, b = self._codes(x[some], 0), self._codes(y[some], 1)
         there = self._distinct(self._partner(a, b))
         firsts = self._promising(there) & ((there >= 0).sum(1) >= self.need)[:, None]
         enough = firsts.any(1)
@@ -399,7 +414,7 @@ class Group:
 
     def _large(self, rows: np.ndarray) -> None:
         mid = self.mid
-        codes = self._codes(rows, -1)
+        codes = self._codes(rows, 0)
         orders = [rows[np.lexsort(part[:, ::-1].T)] for part in (codes[:, mid : mid + self.t], codes[:, mid : mid - self.t : -1])]
         for order in orders:
             for d in range(1, NEAR + 1):
@@ -526,8 +541,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: i
     t = min_words - width + 1
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(id_.alias("doc"), text.alias("t"))
-    known = rows.select("doc", F.md5(F.col("t").cast("binary")).alias("mark"), F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words")).where("mark is not null")
-    known = materialize(known, "passage-texts")
+    known = materialize(_marks(rows.where("t is not null")), "passage-texts")
     clash = known.groupBy("doc").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("doc is null or a <> b").limit(1).count()
     # an id names a text unless several texts share it
     ent = F.xxhash64("doc", "mark") if clash else F.col("doc")

@@ -46,6 +46,16 @@ def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
     yield start, data[start:]
 
 
+def word_count(data: bytes) -> int:
+    """The number of words, as word_spans finds them."""
+    n, before = 0, False
+    for at in range(0, len(data), SEGMENT):
+        w = ~_SPACE[np.frombuffer(data[at : at + SEGMENT], np.uint8)]
+        n += int(np.count_nonzero(w[1:] & ~w[:-1])) + int(w[0] and not before)
+        before = bool(w[-1])
+    return n
+
+
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of `data`, which must be lower-cased already."""
     out = []

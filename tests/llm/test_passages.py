@@ -279,3 +279,13 @@ def test_every_passage_stays_somewhere(spark):
     # only the edited words of a near copy go
     assert gone <= 0.05 * total
     assert sum(map(len, out.values())) < 0.8 * sum(map(len, docs.values()))
+
+
+def test_word_count_equals_word_spans(monkeypatch):
+    from sealwright.llm import wordhash
+
+    monkeypatch.setattr(wordhash, "SEGMENT", 7)
+    rng = random.Random(4)
+    for _ in range(200):
+        data = "".join(rng.choice("ab \n\t\u00e9") for _ in range(rng.randrange(40))).encode()
+        assert wordhash.word_count(data) == len(wordhash.word_spans(data)[0]) == len(data.split())
