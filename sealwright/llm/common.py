@@ -17,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset in a local session. On a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="sealwright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -13,27 +13,55 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, held_out, materialize, read
 from .wordhash import mix
 
-#: Bound of the training sample: documents of a language (the smallest hashes of their ids), and characters that training looks at in one.
-MOST_DOCS, MOST_CHARS = 1500, 20000
+#: Bound of the training sample: documents of a language (the smallest hashes of their ids). Their whole texts are learned.
+MOST_DOCS = 1500
 SIZES = (2, 3, 4)
-SLOT_BITS, PROBES, MOST_LANGS, MOST_GRAMS = 20, 3, 64, 60000
+SLOT_BITS, PROBES, MOST_LANGS = 21, 3, 64
+#: Characters that are looked at together; the n-grams across a cut are counted too.
+PIECE = 1 << 20
 
 
 def letters(text: str) -> np.ndarray:
     """Lower-cased code points, every run of other characters than letters as one space, with a space at both ends."""
-    low = text.lower()
-    a = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
-    ok = ((a >= 97) & (a <= 122)) if low.isascii() else _is_letter(a)
-    a = np.where(ok, a, np.uint32(32))
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
-    return np.concatenate((np.array([32], np.uint32), a[keep], np.array([32], np.uint32)))
+    return np.concatenate([np.array([32], np.uint32), *_letters(text)])
+
+
+def _letters(text: str) -> Iterator[np.ndarray]:
+    """The letters after the first space, in pieces cut after a blank where there is one."""
+    at, open_ = 0, False  # open_: the last code point given is a letter
+    while at < len(text):
+        to = len(text)
+        if to - at > PIECE:
+            to = text.find(" ", at + PIECE, at + 2 * PIECE) + 1 or at + PIECE
+        low = text[at:to].lower()
+        a = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+        ok = ((a >= 97) & (a <= 122)) if low.isascii() else _is_letter(a)
+        a = np.where(ok, a, np.uint32(32))
+        keep = np.ones(len(a), bool)
+        keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
+        keep[0] = open_ or a[0] != 32
+        a = a[keep]
+        if len(a):
+            open_ = bool(a[-1] != 32)
+            yield a
+        at = to
+    if open_:
+        yield np.array([32], np.uint32)
+
+
+def text_grams(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of a text, piece by piece."""
+    carried = np.array([32], np.uint32)
+    for a in _letters(text):
+        a = np.concatenate((carried, a))
+        yield grams(a, len(carried))
+        carried = a[-(max(SIZES) - 1) :]
 
 
 def _is_letter(a: np.ndarray) -> np.ndarray:
@@ -49,10 +77,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def grams(a: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams of all SIZES that have a letter."""
+def grams(whole: np.ndarray, old: int = 0) -> np.ndarray:
+    """Hashes of the n-grams of all SIZES that have a letter and end behind the first `old` code points."""
     out = []
     for n in SIZES:
+        a = whole[max(0, old - n + 1) :]
         if len(a) < n:
             continue
         h = np.full(len(a) - n + 1, n, np.uint64)
@@ -92,8 +121,7 @@ class Filters:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         n = 0
-        for at in range(0, len(text), 1 << 20):
-            hashes = grams(letters(text[at : at + (1 << 20)]))
+        for hashes in text_grams(text):
             n += len(hashes)
             mask = None
             for slot in self._at(hashes):
@@ -109,15 +137,24 @@ class Filters:
 
 
 def train(docs: DataFrame, most: int = MOST_DOCS) -> Filters:
-    """Filters of the languages of not held-out rows with a language. Raises if there are more than MOST_LANGS."""
+    """Filters of the languages of not held-out rows with a language. Raises if there are more than MOST_LANGS.
+
+    Learned from whole texts of at most `most` documents of a language. An n-gram is put in the filter of every language in which it is at least half
+    as frequent as where it is most frequent, so a filter has the n-grams that are typical of its language, not the stray ones. What the driver
+    gathers, the n-grams, is bounded by the sample.
+    """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
+    sizes = {r["lang"]: r["n"] for r in known.select("lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    langs = sorted(sizes)
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    picked = [known.where(F.col("lang") == x).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for x in langs]
     if not langs:
         return Filters()
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"],) for p in picked for r in p.collect()], "doc_id long").distinct()
+    # the smallest hashes of ids lie below a bound that leaves about four times as many as are wanted
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 4 * most / sizes[lang]))])
+    order = F.xxhash64("doc_id")
+    few = known.select("lang", "doc_id").where(order.cast("double") <= (share[F.col("lang")] - 0.5) * float(2**64)).distinct()
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("k") <= most).select("lang", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import defaultdict
@@ -131,15 +168,17 @@ def train(docs: DataFrame, most: int = MOST_DOCS) -> Filters:
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, n = np.unique(grams(letters(text[:MOST_CHARS])), return_counts=True)
-                held[lang].append((h, n.astype(np.float64)))
-                if len(held[lang]) > 64:
-                    held[lang] = fold(held[lang])
+                for part in text_grams(text):
+                    h, n = np.unique(part, return_counts=True)
+                    held[lang].append((h, n.astype(np.float64)))
+                    if len(held[lang]) > 64:
+                        held[lang] = fold(held[lang])
         for lang, parts in held.items():
             (h, n), = fold(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    sample = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.col("text").cast("string").alias("text"))
+    # at most MOST_LANGS * most short rows
+    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.col("text").cast("string").alias("text"))
     counts = sample.mapInArrow(run, "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2")
     counts = materialize(counts, "langid-counts")
     size = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -148,7 +187,7 @@ def train(docs: DataFrame, most: int = MOST_DOCS) -> Filters:
     typical = materialize(rate.join(most_rate, "gram").where("rate >= 0.5 * top").select("lang", "gram", "rate"), "langid-grams")
     filters = Filters(langs)
     for k, lang in enumerate(langs):
-        kept = typical.where(F.col("lang") == lang).orderBy(F.desc("rate"), "gram").limit(MOST_GRAMS).select("gram").toPandas()
+        kept = typical.where(F.col("lang") == lang).select("gram").toPandas()
         filters.put(k, kept["gram"].to_numpy(np.int64).view(np.uint64))
     return filters.close()
 

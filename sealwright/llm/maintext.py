@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into a flat row of text blocks at the tags that start a block. Each block is described by its word count
-and link density and those of the blocks before and after it, and by the landmarks and class names around it. A decision tree
+and link density, those of the blocks before and after it and the words of its siblings, and by the landmarks and class names around it. A decision tree
 tells content from boilerplate; it is trained here, on the blocks of a small labelled table of page layouts (`LAYOUTS`).
 """
 
@@ -19,14 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, read, slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|title|textarea|select)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup; title, code and hidden text among them.
+RAW = frozenset("script style noscript template iframe title textarea select".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Quotes count only after an equals sign.
+REST = re.compile(r"(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
@@ -36,16 +33,61 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("nav footer aside form button dialog label legend menu fieldset search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status note".split())
+#: An item ends where the next one of its list begins.
+ITEMS, LISTS = ("li", "dt", "dd", "td", "th"), frozenset("ul ol menu dl table".split())
 CONTENT_TAGS = frozenset("article main".split())
 CHROME_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus dropdown foot footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related reply replies respond responses search share sharing sidebar sidenav signin signup skip skiplink social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
-FEATURES = ["words", "links", "words before", "links before", "words after", "links after", "chrome", "container", "heading", "page has container"]
+FEATURES = ["words", "links", "words before", "links before", "words after", "links after", "chrome", "container", "heading", "page has container", "most words of a sibling", "is paragraph"]
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, is end tag, attributes) of the tags, in one pass; comments, declarations and raw elements have the tag "".
+
+    What is not closed ends with the page: comments and raw elements are left out, a tag without > is text. Once a quote is found to be unclosed, tags end at
+    the first >.
+    """
+    at, last, quoted = 0, html.rfind(">"), True
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at > last and not html.startswith("<!--", at):
+            return
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        ends = html.startswith("/", at + 1)
+        name = NAME.match(html, at + 1 + ends)
+        if not name:
+            if html[at + 1 : at + 2] in ("!", "?", "/"):
+                end = html.find(">", at) + 1
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        rest = REST.match(html, name.end()) if quoted else None
+        if rest:
+            end = rest.end()
+        else:
+            quoted = False
+            end = html.find(">", name.end()) + 1
+        tag = name[0].lower()
+        if tag in RAW and not ends:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, end)
+            end = close.end() if close else len(html)
+            yield at, end, "", False, ""
+        else:
+            yield at, end, tag, ends, html[name.end() : end - 1]
+        at = end
 
 
-def _attributes(attrs: str) -> tuple[bool, bool]:
-    """(is chrome, is the content's container) by class, id, role and visibility."""
-    chrome = content = False
+def _attributes(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(is chrome by role or visibility, is chrome by a class or id, is the content's container)."""
+    chrome = named = content = False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).strip()
         if name == "role":
@@ -62,36 +104,82 @@ def _attributes(attrs: str) -> tuple[bool, bool]:
         else:
             for one in value.split():
                 parts = WORD.findall(one)
-                if parts and (parts[0].lower() in CHROME_WORDS or parts[-1].lower() in CHROME_WORDS):
-                    chrome = True
-    return chrome, content
+                for part in (parts[0].lower(), parts[-1].lower()) if parts else ():
+                    # the header of an article is its title
+                    named |= part in CHROME_WORDS and not (inside and part == "header")
+    return chrome, named, content
+
+
+class Block:
+    """A flat text block: its text, words, words in links, and what is around it."""
 
+    __slots__ = ("text", "words", "linked", "strong", "hint", "container", "heading", "parent", "paragraph", "chrome")
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, chrome, container, heading) of a page's text blocks, in order."""
-    out: list = []
-    stack: list = []  # (tag, chrome before, container before, in a link before)
+    def __init__(self, text: str, words: int, linked: int, strong: bool, hint: int, container: bool, heading: int, parent: int, paragraph: bool):
+        self.text, self.words, self.linked, self.strong, self.hint, self.container, self.heading, self.parent, self.paragraph = text, words, linked, strong, hint, container, heading, parent, paragraph
+        self.chrome = strong or hint >= 0
+
+
+def _wide_hints(page: list[Block], above: list[int]) -> None:
+    """A class name around most of a page, its title included, or around all that it has, says nothing about the blocks in it."""
+    if not above:
+        return
+    words, title, n = [0] * len(above), [False] * len(above), len(above)
+    total = free = 0
+    for b in page:
+        if b.strong:
+            continue
+        total += b.words
+        if b.hint < 0:
+            free += b.words
+        else:
+            words[b.hint] += b.words
+            title[b.hint] |= b.heading == 1
+    for k in range(n - 1, -1, -1):
+        if above[k] >= 0:
+            words[above[k]] += words[k]
+            title[above[k]] |= title[k]
+    says = []
+    for k in range(n):
+        wide = 2 * words[k] > total and (title[k] or not free)
+        says.append(not wide or above[k] >= 0 and says[above[k]])
+    for b in page:
+        b.chrome = b.strong or b.hint >= 0 and says[b.hint]
+
+
+def blocks(html: str) -> list[Block]:
+    """A page's text blocks, in order."""
+    out: list[Block] = []
+    stack: list = []  # (tag, and what held before it: chrome, hint, container, link, parent)
     opened: dict[str, int] = {}
+    above: list[int] = []  # of each element with a chrome name, the one around it
+    items: list[int] = [-1]  # of each open list, the depth of its open item
     chrome = container = link = False
+    hint = -1
+    parent = parents = 0
     parts: list[str] = []
-    linked = 0
-    heading = False
-    state = (False, False)
+    linked = heading = 0
+    paragraph = False
+    state: tuple = (False, -1, False, 0)
 
     def close() -> None:
         nonlocal linked
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), state[0], state[1], heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), *state[:3], heading, state[3], paragraph))
             parts.clear()
         linked = 0
 
     def pop(tag: str) -> None:
-        nonlocal chrome, container, link
+        nonlocal chrome, hint, container, link, parent
         while stack:
-            name, chrome, container, link = stack.pop()
+            name, chrome, hint, container, link, parent = stack.pop()
             opened[name] -= 1
+            if name in LISTS and len(items) > 1:
+                items.pop()
+            elif items[-1] == len(stack):
+                items[-1] = -1
             if name == tag:
                 return
 
@@ -104,30 +192,30 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not parts:
             if piece.isspace():
                 return
-            state = (chrome, container)
-        elif chrome and not state[0]:  # a notice within a line
+            state = (chrome, hint, container, parent)
+        elif chrome and not state[0] or hint >= 0 and hint != state[1]:  # a notice within a line
             return
         parts.append(piece)
         if link:
             linked += len(piece.split())
 
     last = 0
-    for m in TOKEN.finditer(html):
-        at = m.start()
+    for at, end, tag, ends, attrs in tokens(html):
         if at > last:
             text(html[last:at])
-        last = m.end()
-        tag = m.group("tag") or m.group("tag2")
-        if tag is None:
+        last = end
+        if not tag:
             continue
-        tag = tag.lower()
-        ends = bool(m.group("end") or m.group("end2"))
         block = tag in BLOCKS
         if block:
             close()
-            heading = not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            heading = int(tag[1]) if not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
+            paragraph = not ends and tag == "p"
             if not ends and opened.get("p") and stack[-1][0] == "p":
                 pop("p")
+            if not ends and tag in ITEMS and items[-1] >= 0:
+                while len(stack) > items[-1] >= 0:
+                    pop(stack[-1][0])
         elif tag == "br":
             if parts:
                 parts.append(" ")
@@ -136,41 +224,58 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if opened.get(tag):
                 pop(tag)
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "svg" and attrs.endswith("/"):
             continue
-        attrs = m.group("attrs") or ""
-        hint, body = _attributes(attrs) if attrs and "=" in attrs or "hidden" in attrs else (False, False)
+        strong, named, body = _attributes(attrs, container) if "=" in attrs or "hidden" in attrs else (False, False, False)
         if tag in ("html", "body"):
-            hint = False
+            strong = named = False
         content = tag in CONTENT_TAGS or body
-        if block and tag not in ("p", "li", "td", "th", "dd", "dt", "tr", "option") or hint or tag in ("a", "span") or tag in CHROME_TAGS:
+        if block and tag not in ("p", "tr", "option", *ITEMS) or strong or named or tag in ("a", "span", "svg") or tag in CHROME_TAGS:
             if tag == "a" and opened.get("a"):
                 pop("a")
-            stack.append((tag, chrome, container, link))
+            if tag in ITEMS:
+                items[-1] = len(stack)
+            stack.append((tag, chrome, hint, container, link, parent))
             opened[tag] = opened.get(tag, 0) + 1
+            if tag in LISTS:
+                items.append(-1)
+            if block:
+                parents += 1
+                parent = parents
             if content:
                 container = True
+                hint = -1
                 chrome = chrome and any(s[0] in CHROME_TAGS for s in stack)
-            elif hint or tag in CHROME_TAGS or tag == "header" and not container:
+            elif strong or tag in CHROME_TAGS or tag == "svg" or tag == "header" and not container:
                 chrome = True
+            elif named:
+                above.append(hint)
+                hint = len(above) - 1
             link = link or tag == "a"
     if last < len(html):
         text(html[last:])
     close()
+    _wide_hints(out, above)
     return out
 
 
-def features(page: list) -> np.ndarray:
+def features(page: list[Block]) -> np.ndarray:
     n = len(page)
     x = np.zeros((n, len(FEATURES)))
     if n:
-        words = np.array([b[1] for b in page], float)
-        share = np.array([b[2] for b in page], float) / words
+        words = np.array([b.words for b in page], float)
+        share = np.array([b.linked for b in page], float) / words
         x[:, 0], x[:, 1] = words, share
         x[1:, 2], x[1:, 3] = words[:-1], share[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], share[1:]
-        x[:, 6:9] = [[b[3], b[4], b[5]] for b in page]
+        x[:, 6:9] = [[b.chrome, b.container, b.heading > 0] for b in page]
         x[:, 9] = x[:, 7].any()
+        most: dict[int, int] = {}
+        for b in page:
+            if not b.chrome:
+                most[b.parent] = max(most.get(b.parent, 0), b.words - b.linked)
+        x[:, 10] = [most.get(b.parent, 0) for b in page]
+        x[:, 11] = [b.paragraph for b in page]
     return x
 
 
@@ -230,6 +335,18 @@ LAYOUTS = [
     "<table><tr><td><a>-1</a></td><td><a>-1</a></td></tr></table><h1>+3</h1><p>+90</p><p>+15</p><p>+27</p><table><tr><td>-2</td><td><a>-2</a></td></tr></table>",
     "<div class=sidebar><h4>-1</h4><p>-30</p><p>-22</p></div><div><h1>+9</h1><p>+35</p><p>+48</p></div><div class=newsletter><p>-16</p><form>-3</form></div>",
     "<p>+25</p><p>+60</p><p>+14</p>",
+    "<main><article><h1>+3</h1><p>+8 <a>+2</a></p><p>+1</p><aside>-3</aside><ul><li>+1</li><li>+1</li></ul><div class=ad-slot>-2</div><form>-1</form><p>+14</p></article></main><section class=comments><p>-15</p><p>-4</p></section>",
+    "<article><p>+9</p><nav><a>-1</a><a>-2</a></nav><p>+22</p><div class=promo><p>-12</p><p>-30</p></div><ol><li>+5</li><li class=ad>-1</li><li>+2</li></ol><aside><p>-40</p><p>-3</p></aside><p>+2</p><footer>-6</footer></article>",
+    "<article><h1>+6</h1><div class=byline>-4</div><p>+35</p><figure><figcaption>+5</figcaption></figure><p>+1</p><div class=newsletter><h3>-3</h3><p>-9</p><form>-2<button>-1</button></form></div><p>+11</p><h2>+2</h2><p>+3</p></article><div id=comments><p>-50</p><p>-2</p><p>-18</p></div>",
+    "<div role=main><h1>+4</h1><p>+2</p><aside role=complementary><p>-22</p></aside><p>+44</p><div hidden>-10</div><div>+7</div><div class=share>-2 <a>-1</a></div></div><div class=comments><p>-9</p><p>-31</p></div><footer><p>-20</p></footer>",
+    "<main><div><p>+3</p></div><div><p>+1</p></div><div class=advert>-1</div><div><p>+2</p></div><ul><li>+1</li><li>+4</li></ul><div class=widget>-7</div></main>",
+    "<article>+5<div class=ad>-6</div>+12<aside>-1</aside>+1</article>",
+    "<article><header class=entry-header><h1>+3</h1><h2>+5</h2></header><p>+20</p><ul><li>+2<ul><li>+1</li><li>+2</li></ul></li></ul><table><tr><td>+1</td><td>+2</td></tr><tr><td>+1</td><td>+1</td></tr></table></article>",
+    "<div class=cookie>-12</div><div><h1>+4</h1><p>+30</p><div class=ad>-9</div><p>+2</p><p>+24</p></div><div class=comments><p>-28</p><p>-33</p></div><div class=footer><p>-14</p></div>",
+    "<div><a>-1</a> <a>-2</a></div><div><h1>+5</h1><p>+40</p><p>+2</p><p>+31</p><p>+1</p></div><div>-4</div>",
+    "<ul><li><a>-1</a></li><li><a>-2</a></li></ul><div><h1>+3</h1><p>+2</p><p>+55</p><p>+1</p><p>+1</p></div><p>-3</p><p>-5 <a>-1</a></p>",
+    "<div><span>-2</span></div><section><h2>+4</h2><p>+18</p><p>+3</p><p>+26</p><p>+2</p></section><section><h3>-2</h3><ul><li><a>-5</a></li><li><a>-6</a></li></ul></section><div>-9</div>",
+    "<div>-2 <a>-1</a></div><div><h1>+7</h1><h2>+2</h2><p>+21</p><ul><li>+3</li><li>+1</li></ul><p>+64</p><p>+4</p></div><div><p><a>-2</a> <a>-1</a></p></div>",
     "<h1>+3</h1><p>+20</p><p>+4</p><p>+33</p>",
     "<div role=banner>-4</div><div role=main><h1>+2</h1><p>+6</p><p>+18</p></div><div role=contentinfo>-15</div>",
     "<div><a>-3</a></div><p>+16</p><div><a>-5</a></div><div><a>-2</a> -1</div>",
@@ -247,7 +364,7 @@ def _spelled(layout: str) -> str:
 def tree() -> Tree:
     pages = [blocks(_spelled(x)) for x in LAYOUTS]
     x = np.concatenate([features(p) for p in pages])
-    y = np.array([b[0].startswith("content") for p in pages for b in p], float)
+    y = np.array([b.text.startswith("content") for p in pages for b in p], float)
     return Tree(x, y)
 
 
@@ -265,7 +382,7 @@ def main_text(pages: DataFrame, html_col: str = "html") -> tuple[DataFrame, str]
             for b in slices(whole, at):
                 cut = [blocks(t.decode()) if t else [] for t in as_bytes(b.column(at))]
                 keep = iter(model.predict(np.concatenate([features(p) for p in cut])).tolist())
-                text = ["\n\n".join(x[0] for x in p if next(keep)) for p in cut]
+                text = ["\n\n".join(x.text for x in p if next(keep)) for p in cut]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, name])
 
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])), name

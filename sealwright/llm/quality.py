@@ -21,8 +21,8 @@ from .common import as_bytes, held_out, read, slices
 from .wordhash import word_spans
 
 PASSAGE = 64
-#: Bound of the training sample, in labelled documents, and in passages of one of them that training looks at.
-MOST_LABELLED, MOST_PASSAGES = 5000, 64
+#: Bound of the training sample, in labelled documents. All passages of one are learned.
+MOST_LABELLED = 5000
 GRAMS, UNITS, GATES, ROUNDS, BAGS = 32, 24, 12, 30, 128
 
 _CLASS = np.full(256, 12, np.uint8)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Atte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [passages(t)[:MOST_PASSAGES].astype(np.float32).tobytes() for t in as_bytes(b.column(1))]
+            bags = [passages(t).tobytes() for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary()), b.column(2)], ["doc_id", "bag", "y"])
 
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")

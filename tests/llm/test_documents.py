@@ -197,14 +197,14 @@ def test_mixing_of_unusual_rows(odd):
 
 def test_main_text_layouts():
     pages = [maintext.blocks(maintext._spelled(x)) for x in maintext.LAYOUTS]
-    right = [(b[0].startswith("content"), k) for p in pages for b, k in zip(p, maintext.tree().predict(maintext.features(p)))]
+    right = [(b.text.startswith("content"), k) for p in pages for b, k in zip(p, maintext.tree().predict(maintext.features(p)))]
     assert sum(a == b for a, b in right) / len(right) >= 0.97
 
 
 def text_of(html):
     page = maintext.blocks(html)
     keep = maintext.tree().predict(maintext.features(page)) if page else []
-    return "\n\n".join(b[0] for b, k in zip(page, keep) if k)
+    return "\n\n".join(b.text for b, k in zip(page, keep) if k)
 
 
 def test_main_text_of_pages():
@@ -234,3 +234,127 @@ def test_main_text_unusual_rows(spark):
     got = maintext.extracted(df).collect()
     assert sorted(r["n_chars"] for r in got)[:2] == [0, 0] and max(r["n_chars"] for r in got) == 249_999
     assert maintext.extracted(df.limit(0)).count() == 0
+
+
+LONG = "This is a paragraph of the article that goes on for quite a few words, so that it is clearly text."
+
+
+def test_main_text_of_difficult_pages():
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul>"
+    assert text_of(f"<div class='layout-sidebar'>{menu}<div><h1>A title here</h1><p>{LONG}</p><p>{LONG}</p></div></div>") == f"A title here\n\n{LONG}\n\n{LONG}"
+    assert text_of(f"<article><h1>T</h1><p>{LONG}</p><ul><li class=ad>Buy<li>one thing<li>two things</ul></article>") == f"T\n\n{LONG}\n\none thing\n\ntwo things"
+    assert text_of(f"<article><header class='entry-header'><h1>The title</h1></header><p>{LONG}</p></article>") == f"The title\n\n{LONG}"
+    assert text_of(f"<article><p>{LONG} <math><mi>x</mi></math> is <svg/>known.</p><p>After <svg><text>no</text></svg>it.</p><object>Fallback</object></article>") == f"{LONG} x is known.\n\nAfter it.\n\nFallback"
+    assert text_of(f"<div>{menu}</div><div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p><p>No.</p></div><div>Copyright 2020</div>").endswith(f"{LONG}\n\nNo.")
+    assert text_of(f"<article><p title=\"a > b\">{LONG}</p><p>It's 3 < 4, isn't it</p></article>") == f"{LONG}\n\nIt's 3 < 4, isn't it"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p class='ad", "<a x=\">\" ", "<li class=ad>", "<div class=ad>", "<!-", "<a x='y=\">", "&amp", "<ul><li>"])
+def test_main_text_takes_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece)) + "y=\""
+    began = time.process_time()
+    text_of(page)
+    assert time.process_time() - began < 8
+
+
+def test_language_pieces_give_the_same_grams(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(1)
+    # the lower case of a sigma depends on its word, so these cuts lie at blanks
+    for chars, sizes in (("abcé ΣΟΣ 12\n.,x", (64, 300)), ("abcÉ x12\n.,Z", (1, 7, 64))):
+        text = "".join(rng.choice(chars) for _ in range(3000))
+        monkeypatch.setattr(langid, "PIECE", 1 << 20)
+        whole = np.sort(np.concatenate(list(langid.text_grams(text))))
+        assert (whole == np.sort(langid.grams(langid.letters(text)))).all()
+        for size in sizes:
+            monkeypatch.setattr(langid, "PIECE", size)
+            assert (np.sort(np.concatenate(list(langid.text_grams(text)))) == whole).all()
+
+
+def test_language_filters_equal_exact_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)) for _ in range(3)]
+    sets[2] = np.union1d(sets[2], sets[0][:20_000])
+    f = langid.Filters(["a", "b", "c"])
+    for k, x in enumerate(sets):
+        f.put(k, x)
+    f.close()
+    asked = np.concatenate((sets[0][:25_000], rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)))
+    mask = None
+    for slot in f._at(asked):
+        mask = f.slots[slot] if mask is None else mask & f.slots[slot]
+    for k, x in enumerate(sets):
+        bit, held = (mask >> k) & 1 == 1, np.isin(asked, x)
+        assert bit[held].all()  # no false negative
+        assert abs(bit[~held].mean() - f.false[k]) < 0.005
+
+
+def test_attention_gradients_equal_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = quality.Attention(5)
+    bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 4, 7)]
+    f, first = np.concatenate(bags), np.array([0, 1, 5])
+    y, w = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        # a plain version of the model, bag by bag
+        total = 0.0
+        for bag, label, weight in zip(bags, y, w):
+            h = [np.tanh(x @ model.p["W"] + model.p["c"]) for x in bag]
+            e = np.exp([(np.tanh(x @ model.p["A"]) / (1 + np.exp(-(x @ model.p["B"])))) @ model.p["v"] for x in h])
+            z = sum(a * x for a, x in zip(e / e.sum(), h)) @ model.p["w"] + model.p["b"]
+            p = 1 / (1 + np.exp(-z))
+            total -= weight * (label * np.log(p) + (1 - label) * np.log(1 - p))
+        return total / w.sum()
+
+    got = model.step(f, first, y, w)
+    for name, grad in got.items():
+        flat = np.atleast_1d(model.p[name])
+        for at in [tuple(rng.integers(0, n) for n in flat.shape) for _ in range(4)]:
+            was, ends = flat.copy(), []
+            for step in (1e-6, -1e-6):
+                moved = was.copy()
+                moved[at] += step
+                model.p[name] = moved if np.ndim(grad) else moved[0]
+                ends.append(loss())
+            model.p[name] = was if np.ndim(grad) else was[0]
+            assert np.atleast_1d(grad)[at] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-3, abs=1e-7)
+
+
+def test_mixing_equals_a_direct_search(spark):
+    import math
+
+    rng = random.Random(8)
+    for limit in (1.2, 2.0, 5.0):
+        totals = [rng.randint(1, 10**6) for _ in range(12)]
+        got = mixing.mixture(spark.createDataFrame([(str(i), t) for i, t in enumerate(totals)], "source string, total long"), max_repetition=limit)
+
+        def weights(a):
+            powers = [t**a for t in totals]
+            budget = max(t / p for t, p in zip(totals, powers)) * sum(powers)  # every source once in full
+            return [budget * p / sum(powers) for p in powers]
+
+        # the flattest mixture on a fine grid that reads no source too often
+        grid = next(a for a in (k / 20_000 for k in range(20_001)) if max(w / t for w, t in zip(weights(a), totals)) <= limit * (1 + 1e-9))
+        assert got.exponent == pytest.approx(grid, abs=1.1e-4)
+        shares = [w / sum(weights(got.exponent)) for w in weights(got.exponent)]
+        assert got.entropy == pytest.approx(-sum(x * math.log(x) for x in shares), abs=1e-9)
+
+
+def test_both_ways_give_the_same_rows(spark, docs, monkeypatch):
+    """What is looked up depends on sizes, the result does not."""
+    few = docs.where("doc_id < 400").select("doc_id", "source", "text")
+    want = sorted(map(tuple, simhash.near_duplicates(few.repartition(3)).collect()))
+    mixed = sorted(map(str, mixing.mix(few).drop("text").collect()))
+    monkeypatch.setattr(simhash, "FEW_PIECES", 0)
+    assert sorted(map(tuple, simhash.near_duplicates(few.repartition(3)).collect())) == want
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    again = sorted(map(str, mixing.mix(few).drop("text").collect()))
+    assert again == mixed
