@@ -206,8 +206,19 @@ def utf16_length(c: Column) -> Column:
 
 
 def plain_url(c: Column) -> Column:
-    """No user information and no fragment; an empty fragment is none."""
-    return (F.coalesce(F.try_parse_url(c, F.lit("REF")), F.lit("")) == "") & (F.coalesce(F.try_parse_url(c, F.lit("USERINFO")), F.lit("")) == "")
+    """A URL without user information and fragment; an empty fragment or user is none. False for null and for what is no absolute URL.
+
+    A host that has no name, a character that no host may have, or a port above 65535 makes it none; blanks and stray percent signs in a path do not.
+    """
+    text = F.regexp_replace(F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    special = text.rlike(r"(?i)\A(https?|wss?|ftp):")
+    rest = F.regexp_extract(text, r"(?s)\A[A-Za-z][A-Za-z0-9+.\-]*:([^#]*)", 1)
+    authority = F.when(special, F.regexp_extract(rest, r"(?s)\A[/\\]*([^/\\?]*)", 1)).otherwise(F.regexp_extract(rest, r"(?s)\A//([^/?]*)", 1))
+    user, place = F.regexp_extract(authority, r"(?s)\A(.*)@", 1), F.regexp_extract(authority, r"(?s)([^@]*)\z", 1)
+    host, port = F.regexp_replace(place, r":[0-9]*\z", ""), F.regexp_extract(place, r":([0-9]*)\z", 1)
+    fine = host.rlike(r"\A(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F#/:<>?@\[\\\]^|%]*)\z") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535) & (F.length(F.ltrim(F.lit("0"), port)) <= 5)
+    ok = text.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") & fine & (~special | (host != "")) & user.isin("", ":") & ~text.rlike(r"(?s)#.")
+    return F.coalesce(ok, F.lit(False))
 
 
 def media_type_matches(kind: Column, pattern: str) -> Column:

@@ -79,12 +79,35 @@ def attestation_violations(starts: DataFrame, attempts: DataFrame, attestations:
     return no_start.union(no_attempt).union(two).union(open_starts).union(open_attempts)
 
 
-def recordable_headers(headers: Column, most: int = 32, longest: int = 1024) -> Column:
-    """[(name, value)] lower-cased, trimmed, without empty values, cut, different, sorted and at most `most`. Header values are ASCII."""
+#: Headers that no record carries.
+UNRECORDABLE = ("authorization", "cookie", "proxy-authenticate", "proxy-authorization", "set-cookie", "set-cookie2")
+
+
+def _clean_headers(headers: Column, longest: int) -> Column:
     from sealwright.functions.values import trimmed
 
     clean = F.transform(headers, lambda h: F.struct(F.lower(trimmed(h["name"])).alias("name"), F.substring(trimmed(h["value"]), 1, longest).alias("value")))
-    return F.slice(F.array_sort(F.array_distinct(F.filter(clean, lambda h: h["value"] != ""))), 1, most)
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda h: h["value"] != "")))
+
+
+def header_issues(headers: Column, most: int = 32, longest: int = 1024) -> Column:
+    """Why a selection of headers is refused: a name that is never recorded, whatever its value, or more than `most` different headers."""
+    from sealwright.functions.values import trimmed
+
+    return F.array_compact(
+        F.array(
+            F.when(F.exists(headers, lambda h: F.lower(trimmed(h["name"])).isin(*UNRECORDABLE)), "unrecordable"),
+            F.when(F.size(_clean_headers(headers, longest)) > most, "too_many"),
+        )
+    )
+
+
+def recordable_headers(headers: Column, most: int = 32, longest: int = 1024) -> Column:
+    """[(name, value)] lower-cased, trimmed, without empty values, values cut, different and sorted; null for a refused selection, which is never cut.
+
+    `header_issues` says why. Header values are ASCII.
+    """
+    return F.when(F.size(header_issues(headers, most, longest)) == 0, _clean_headers(headers, longest))
 
 
 def exchange_issues(started: Column, finished: Column, method: Column, url: Column, header_names: Column, body_bytes: Column) -> Column:
@@ -96,7 +119,7 @@ def exchange_issues(started: Column, finished: Column, method: Column, url: Colu
             F.when(finished < started, "time_order"),
             F.when(~plain_url(url), "url"),
             F.when(~strictly_ascending(header_names), "header_order"),
-            F.when(F.exists(header_names, lambda n: n.isin("cookie", "set-cookie")), "cookie"),
+            F.when(F.exists(header_names, lambda n: n.isin(*UNRECORDABLE)), "cookie"),
             F.when(method.isin("GET", "HEAD") & (body_bytes > 0), "body"),
         )
     )

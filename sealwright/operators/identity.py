@@ -73,6 +73,17 @@ def conflicts(keys: DataFrame, matches: DataFrame, candidate: dict) -> DataFrame
     return held.groupBy("key_digest").agg(F.count("*").alias("n_matches"), F.bool_or(F.col("verdict") == "hold_changed").alias("identity_changed"))
 
 
+def conflict_violations(keys: DataFrame, matches: DataFrame, candidate: dict) -> DataFrame:
+    """(key_digest, check_ordinal, code): keys given twice, and matches that contradict the candidate or belong to no key.
+
+    `conflicts` is meaningful only where this is empty.
+    """
+    twice = keys.groupBy("key_digest").agg(F.count("*").alias("n")).where("n > 1").select("key_digest", F.lit(1).alias("check_ordinal"), F.lit("repeated_key").alias("code"))
+    judged = matches.join(keys, "key_digest", "left").withColumn("code", conflict_verdict(candidate)).where(F.col("code").startswith("error_"))
+    ordinal = F.when(F.col("code") == "error_unknown_key", 2).when(F.col("code") == "error_other_head", 3).otherwise(4)
+    return twice.union(judged.select("key_digest", ordinal.alias("check_ordinal"), F.substring("code", 7, 99).alias("code")).distinct())
+
+
 def resolved_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     """`references` with status, by the first rule that fails.
 
@@ -108,28 +119,58 @@ def dependency_key(spark: SparkSession) -> Column:
 
 
 def transition_edges(transitions: DataFrame) -> DataFrame:
-    """(src, dst) of merges and successions. transitions: ord, kind, surviving, retired (array), predecessor, successor, predecessor_retires."""
+    """(src, dst) of merges, of splits that go on as one of their new subjects, and of successions.
+
+    transitions: ord, kind, surviving, retired (array), original, continuing, new (array), predecessor, successor, predecessor_retires, subject.
+    """
     merged = transitions.where("kind = 'merge'").select(F.explode("retired").alias("src"), F.col("surviving").alias("dst"))
+    went_on = transitions.where("kind = 'split' and continuing is not null and continuing <> original").select(F.col("original").alias("src"), F.col("continuing").alias("dst"))
     succeeded = transitions.where("kind = 'succession' and predecessor_retires").select(F.col("predecessor").alias("src"), F.col("successor").alias("dst"))
-    return merged.union(succeeded)
+    return merged.union(went_on).union(succeeded)
 
 
 def resolutions(transitions: DataFrame) -> DataFrame:
     """(src, root, steps) after all transitions: as sets, since the end of a chain does not depend on the order in which its links were made.
 
-    `ambiguous(transition_edges(...))` gives the sources that an ordered reading would refuse for a second resolution.
+    `transition_violations` gives what an ordered reading would refuse, second resolutions and cycles among it.
     """
     return closure(transition_edges(transitions).groupBy("src").agg(F.min("dst").alias("dst")))
 
 
 def split_branches(transitions: DataFrame) -> DataFrame:
-    """(original, child): what each split subject went on as, children resolved to their present identity."""
-    parts = transitions.where("kind = 'split'").select(F.col("original"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("continuing"), F.coalesce("new", F.array().cast("array<string>")))))).alias("child"))
+    """(original, child): the new subjects of each split, resolved to their present identity."""
+    parts = transitions.where("kind = 'split'").select("original", F.explode("new").alias("child")).distinct()
     now = resolutions(transitions).where("root is not null").select(F.col("src").alias("child"), "root")
     return parts.join(now, "child", "left").select("original", F.coalesce("root", "child").alias("child")).distinct()
 
 
 def retired_subjects(transitions: DataFrame) -> DataFrame:
-    """(subject): retired, merged away or succeeded."""
+    """(subject): retired, merged away, succeeded, or split without going on under its own name."""
     gone = transitions.where("kind = 'retirement'").select("subject")
-    return gone.union(transition_edges(transitions).select("src")).distinct()
+    split = transitions.where("kind = 'split' and (continuing is null or continuing <> original)").select(F.col("original").alias("subject"))
+    return gone.union(split).union(transition_edges(transitions).select("src")).distinct()
+
+
+def transition_violations(transitions: DataFrame) -> DataFrame:
+    """(subject, check_ordinal, code) of everything that a reading of the transitions in order refuses.
+
+    1 not_distinct: an empty or repeating list of merged or new subjects. 2 self_merge, 3 self_split, 4 self_succession. 5 not_new: a split goes on as a
+    subject that is neither its original nor new. 6 other_split: two splits of one subject differ. 7 two_resolutions. 8 cycle, on it or behind it.
+    """
+    t = transitions
+    same = lambda c: F.coalesce(F.size(F.array_distinct(c)) != F.size(c), F.lit(True)) | (F.size(c) < 1)
+
+    def of(rows: DataFrame, subject: str, ordinal: int, code: str) -> DataFrame:
+        return rows.select(F.col(subject).alias("subject"), F.lit(ordinal).alias("check_ordinal"), F.lit(code).alias("code"))
+
+    splits = t.where("kind = 'split'")
+    other = splits.groupBy("original").agg(F.countDistinct(F.array_sort("new")).alias("n")).where("n > 1")
+    out = of(t.where("kind = 'merge'").where(same(F.col("retired"))), "surviving", 1, "not_distinct")
+    out = out.union(of(splits.where(same(F.col("new"))), "original", 1, "not_distinct"))
+    out = out.union(of(t.where("kind = 'merge' and array_contains(retired, surviving)"), "surviving", 2, "self_merge"))
+    out = out.union(of(splits.where("array_contains(new, original)"), "original", 3, "self_split"))
+    out = out.union(of(t.where("kind = 'succession' and predecessor = successor"), "predecessor", 4, "self_succession"))
+    out = out.union(of(splits.where("continuing <> original and not coalesce(array_contains(new, continuing), false)"), "original", 5, "not_new"))
+    out = out.union(of(other, "original", 6, "other_split"))
+    out = out.union(of(ambiguous(transition_edges(t)), "src", 7, "two_resolutions"))
+    return out.union(of(resolutions(t).where("root is null"), "src", 8, "cycle")).distinct()

@@ -81,6 +81,27 @@ def test_conflict_rules(spark):
     assert (got["n_matches"], got["identity_changed"]) == (3, True)
 
 
+def test_contradicting_matches(spark):
+    keys = spark.createDataFrame([("k", "me", "id1"), ("two", "me", "id1"), ("two", "me", "id2")], "key_digest string, key_reference string, key_identity_digest string")
+    schema = "key_digest string, kind string, repository string, pull_request_number long, head_sha string, candidate_reference string, candidate_digest string, target_reference string, target_identity_digest string"
+    rows = [("gone", "live", None, None, None, None, None, "x", "id"), ("k", "open_pull_request", "r", 5, "other", None, None, "x", None), ("k", "pending_submission", None, None, None, "cand", "d2", "x", None)]
+    matches = spark.createDataFrame(rows, schema)
+    asked = {"kind": "pull_request", "repository": "r", "pull_request_number": 5, "head_sha": "h"}
+    assert {(r["key_digest"], r["code"]) for r in identity.conflict_violations(keys, matches, asked).collect()} == {("gone", "unknown_key"), ("k", "other_head"), ("two", "repeated_key")}
+    asked = {"kind": "candidate", "candidate_reference": "cand", "candidate_digest": "d1"}
+    assert {(r["key_digest"], r["code"]) for r in identity.conflict_violations(keys, matches, asked).collect()} == {("gone", "unknown_key"), ("k", "other_candidate"), ("two", "repeated_key")}
+
+
+def test_refused_headers(spark):
+    many = [(f"x-{i}", "v") for i in range(33)]
+    rows = [(0, many), (1, many[:32]), (2, many[:32] + [("X-0", " v ")]), *[(3 + i, [(n, ""), ("a", "b")]) for i, n in enumerate(authority.UNRECORDABLE)], (9, [("Set-Cookie", "x"), *many]), (10, [])]
+    df = spark.createDataFrame(rows, "i int, h array<struct<name string, value string>>")
+    got = {r["i"]: (r["issues"], r["n"]) for r in df.select("i", authority.header_issues(F.col("h")).alias("issues"), F.size(F.coalesce(authority.recordable_headers(F.col("h")), F.lit(None))).alias("n")).collect()}
+    assert got[0] == (["too_many"], -1) or got[0] == (["too_many"], None)
+    assert got[1] == ([], 32) and got[2] == ([], 32) and got[10] == ([], 0)
+    assert all(got[3 + i][0] == ["unrecordable"] for i in range(6)) and got[9][0] == ["unrecordable", "too_many"]
+
+
 def test_headers(spark):
     df = spark.createDataFrame([([("X-RateLimit-Remaining", "99"), ("Content-Type", " application/json "), ("content-type", "application/json"), ("Empty", " ")],)], "h array<struct<name string, value string>>")
     assert [tuple(x) for x in df.select(authority.recordable_headers(F.col("h")).alias("h")).first()["h"]] == [("content-type", "application/json"), ("x-ratelimit-remaining", "99")]
@@ -101,17 +122,45 @@ TRANSITIONS = "ord int, kind string, surviving string, retired array<string>, or
 def test_transitions(spark):
     rows = [
         (1, "merge", "b", ["a"], None, None, None, None, None, None, None),
-        (2, "split", None, None, "s", "c", ["b"], None, None, None, None),
+        (2, "split", None, None, "s", "c", ["b", "c"], None, None, None, None),
         (3, "merge", "d", ["b"], None, None, None, None, None, None, None),
         (4, "succession", None, None, None, None, None, "d", "e", True, None),
         (5, "succession", None, None, None, None, None, "g", "h", False, None),
         (6, "retirement", None, None, None, None, None, None, None, None, "r"),
     ]
     t = spark.createDataFrame(rows, TRANSITIONS)
-    assert {r["src"]: r["root"] for r in identity.resolutions(t).collect()} == {"a": "e", "b": "e", "d": "e"}
+    assert {r["src"]: r["root"] for r in identity.resolutions(t).collect()} == {"a": "e", "b": "e", "d": "e", "s": "c"}
     assert {(r["original"], r["child"]) for r in identity.split_branches(t).collect()} == {("s", "c"), ("s", "e")}
-    assert {r["subject"] for r in identity.retired_subjects(t).collect()} == {"a", "b", "d", "r"}
-    assert identity.ambiguous(identity.transition_edges(t)).count() == 0
+    assert {r["subject"] for r in identity.retired_subjects(t).collect()} == {"a", "b", "d", "r", "s"}
+    assert identity.transition_violations(t).count() == 0
+    kept = spark.createDataFrame([(1, "split", None, None, "a", "a", ["b"], None, None, None, None), (2, "split", None, None, "x", None, ["y", "z"], None, None, None, None)], TRANSITIONS)
+    assert {(r["original"], r["child"]) for r in identity.split_branches(kept).collect()} == {("a", "b"), ("x", "y"), ("x", "z")}
+    assert {r["subject"] for r in identity.retired_subjects(kept).collect()} == {"x"} and identity.resolutions(kept).count() == 0
+
+
+def test_refused_transitions(spark):
+    def row(kind, surviving=None, retired=None, original=None, continuing=None, new=None, predecessor=None, successor=None):
+        return (1, kind, surviving, retired, original, continuing, new, predecessor, successor, True if kind == "succession" else None, None)
+
+    rows = [
+        row("merge", "a", ["b", "b"]),
+        row("merge", "a2", []),
+        row("merge", "c", ["c", "d"]),
+        row("split", original="e", new=["e", "f"]),
+        row("succession", predecessor="g", successor="g"),
+        row("split", original="h", continuing="x", new=["i"]),
+        row("split", original="j", continuing="j", new=["k"]),
+        row("split", original="j", continuing="j", new=["l"]),
+        row("merge", "m", ["o"]),
+        row("merge", "n", ["o"]),
+        row("succession", predecessor="p", successor="q"),
+        row("succession", predecessor="q", successor="p"),
+        row("split", original="r", continuing="r", new=["t", "s"]),
+        row("split", original="r", continuing="r", new=["s", "t"]),
+    ]
+    got = {(r["subject"], r["code"]) for r in identity.transition_violations(spark.createDataFrame(rows, TRANSITIONS)).collect()}
+    want = {("a", "not_distinct"), ("a2", "not_distinct"), ("c", "self_merge"), ("e", "self_split"), ("g", "self_succession"), ("h", "not_new"), ("j", "other_split"), ("o", "two_resolutions"), ("p", "cycle"), ("q", "cycle"), ("d", "cycle")}
+    assert want <= got and {s for s, _ in got} == {s for s, _ in want}
 
 
 def test_dataset_card():

@@ -92,3 +92,11 @@ def test_urls_and_segments(spark):
 
 def test_visited_strings():
     assert V.visited_strings({"a": ["x", {"b": "y"}], "c": 1}) == [("$.a[0]", "x"), ("$.a[1].b", "y")]
+
+
+def test_plain_urls(spark):
+    plain = ["https://h/", "https://h", "https://h/a b", "https://h/%zz", "https://h:8080/x?y=1", "https://[::1]/", "http:h.org/a", "mailto:me@h.org", "https://@h/", "https://h/#", " https://h/ ", "https://h/a@b", "https://h:/"]
+    other = ["not a url", "", "h.org/a", "https://u:p@h/a b", "https://h/%zz#frag x", "https://u@h/", "https://:p@h/", "https://", "https:///#", "https://h:99999/", "https://a b/", "https://h/#a", "//h/x", "https://u:p@h/a@b", None]
+    df = spark.createDataFrame([(u,) for u in plain + other], "u string")
+    got = [r[0] for r in df.select(V.plain_url(F.col("u"))).collect()]
+    assert dict(zip(plain + other, got)) == dict.fromkeys(plain, True) | dict.fromkeys(other, False)
