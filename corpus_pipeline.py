@@ -56,7 +56,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL cannot express a trained classifier; the stages are tested one by one against brute force.
+#: SQL cannot express a trained classifier; the operators of the stages are tested on their own, and the stages on planted cases.
 ORACLE_SQL = None
 
 
