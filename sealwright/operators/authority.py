@@ -83,23 +83,28 @@ def attestation_violations(starts: DataFrame, attempts: DataFrame, attestations:
 UNRECORDABLE = ("authorization", "cookie", "proxy-authenticate", "proxy-authorization", "set-cookie", "set-cookie2")
 
 
-def _clean_headers(headers: Column, longest: int) -> Column:
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _named_headers(headers: Column, longest: int) -> Column:
     from sealwright.functions.values import trimmed
 
-    clean = F.transform(headers, lambda h: F.struct(F.lower(trimmed(h["name"])).alias("name"), F.substring(trimmed(h["value"]), 1, longest).alias("value")))
-    return F.array_sort(F.array_distinct(F.filter(clean, lambda h: h["value"] != "")))
+    return F.transform(headers, lambda h: F.struct(F.lower(trimmed(h["name"])).alias("name"), F.substring(trimmed(h["value"]), 1, longest).alias("value")))
+
+
+def _kept_headers(named: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(named, lambda h: h["value"] != "")))
+
+
+def _unrecordable(named: Column) -> Column:
+    return F.exists(named, lambda h: h["name"].isin(*UNRECORDABLE))
 
 
 def header_issues(headers: Column, most: int = 32, longest: int = 1024) -> Column:
     """Why a selection of headers is refused: a name that is never recorded, whatever its value, or more than `most` different headers."""
-    from sealwright.functions.values import trimmed
-
-    return F.array_compact(
-        F.array(
-            F.when(F.exists(headers, lambda h: F.lower(trimmed(h["name"])).isin(*UNRECORDABLE)), "unrecordable"),
-            F.when(F.size(_clean_headers(headers, longest)) > most, "too_many"),
-        )
-    )
+    return _once(_named_headers(headers, longest), lambda n: F.array_compact(F.array(F.when(_unrecordable(n), "unrecordable"), F.when(F.size(_kept_headers(n)) > most, "too_many"))))
 
 
 def recordable_headers(headers: Column, most: int = 32, longest: int = 1024) -> Column:
@@ -107,7 +112,8 @@ def recordable_headers(headers: Column, most: int = 32, longest: int = 1024) ->
 
     `header_issues` says why. Header values are ASCII.
     """
-    return F.when(F.size(header_issues(headers, most, longest)) == 0, _clean_headers(headers, longest))
+    kept = _once(_named_headers(headers, longest), lambda n: F.when(~_unrecordable(n), _kept_headers(n)))
+    return _once(kept, lambda k: F.when(F.size(k) <= most, k))
 
 
 def exchange_issues(started: Column, finished: Column, method: Column, url: Column, header_names: Column, body_bytes: Column) -> Column:
