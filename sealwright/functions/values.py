@@ -2,15 +2,18 @@
 
 Canonical JSON has NFC strings, keys in UTF-16 order, no white space, and numbers as ECMAScript prints them. A struct
 type is compiled once into one expression that stays in the JVM; Python is used only for double numbers, NFC of texts
-that are not ASCII, and IP literals.
+that are not ASCII, arrays and maps that hold either, free JSON, and IP literals.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import json
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,7 @@ MAX_DEPTH = 256
 
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
+    # Arrow's own kernel leaves some texts decomposed (pyarrow 23)
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
@@ -89,10 +93,13 @@ def nfc(c: Column) -> Column:
 SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
 
 
+def _raw_quoted(text: str) -> str:
+    return '"' + "".join("\\" + x if x in '"\\' else "\\" + SHORT.get(ord(x), f"u{ord(x):04x}") if x < " " else x for x in text) + '"'
+
+
 def json_literal(text: str) -> str:
     """A quoted canonical string of a Python text, as `json_string` gives it for a column."""
-    text = unicodedata.normalize("NFC", text)
-    return '"' + "".join("\\" + x if x in '"\\' else "\\" + SHORT.get(ord(x), f"u{ord(x):04x}") if x < " " else x for x in text) + '"'
+    return _raw_quoted(unicodedata.normalize("NFC", text))
 
 
 def json_string(c: Column, ascii_only: bool = False) -> Column:
@@ -105,51 +112,182 @@ def json_string(c: Column, ascii_only: bool = False) -> Column:
     return F.when(c.rlike(r'["\\\x00-\x1f]'), F.concat(quote, out, quote)).otherwise(F.concat(quote, c, quote))
 
 
+def _quoted(text: str) -> str:
+    """`json_literal`, and lone surrogates as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json_literal(text))
+
+
+class NotCanonical(ValueError):
+    """A value without a canonical form; its text is one of depth, number, colliding_keys, syntax."""
+
+
+def _members(pairs: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """The members of an object by canonical key, in UTF-16 order."""
+    by_key: dict[str, object] = {}
+    for key, value in pairs:
+        key = unicodedata.normalize("NFC", key)
+        if key in by_key:
+            raise NotCanonical("colliding_keys")
+        by_key[key] = value
+    return sorted(by_key.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+
+
+def canonical_value(value: object, depth: int = 0) -> str:
+    """Canonical JSON of what `json.loads` gives."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return _quoted(value)
+    if isinstance(value, (int, float)):
+        try:
+            return js_number(float(value))
+        except (ValueError, OverflowError):
+            raise NotCanonical("number") from None
+    if depth >= MAX_DEPTH:
+        raise NotCanonical("depth")
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_quoted(k)}:{canonical_value(v, depth + 1)}" for k, v in _members(list(value.items()))) + "}"
+    return "[" + ",".join(canonical_value(v, depth + 1) for v in value) + "]"
+
+
+def _typed(value: object, kind: T.DataType, normal_keys: bool) -> str:
+    """Canonical JSON of an Arrow value of Spark type `kind`."""
+    if value is None:
+        return "null"
+    if isinstance(kind, T.StructType):
+        kept = [(f.name, (value[f.name], f.dataType)) for f in kind.fields if value[f.name] is not None or (f.metadata or {}).get("presence") != "optional"]
+        return "{" + ",".join(f"{_quoted(k)}:{_typed(*v, normal_keys)}" for k, v in _members(kept)) + "}"
+    if isinstance(kind, T.MapType):
+        if normal_keys:
+            members = [(_quoted(k), v) for k, v in _members(list(value))]
+        else:
+            members = [(_raw_quoted(k), v) for k, v in sorted(value, key=lambda kv: kv[0].encode("utf-16-be"))]
+        return "{" + ",".join(f"{k}:{_typed(v, kind.valueType, normal_keys)}" for k, v in members) + "}"
+    if isinstance(kind, T.ArrayType):
+        return "[" + ",".join(_typed(v, kind.elementType, normal_keys) for v in value) + "]"
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return str(value)
+    return canonical_value(value)
+
+
+def _collection(c: Column, kind: T.DataType, normal_keys: bool) -> Column:
+    """A whole array or map column, rendered batch by batch: no Python function can stand inside a lambda."""
+
+    @F.arrow_udf(T.StringType())
+    def render(s: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _typed(v, kind, normal_keys) for v in s.to_pylist()], pa.string())
+
+    return render(c)
+
+
+def _in_python(kind: T.DataType, ascii_only: bool, normal_keys: bool) -> bool:
+    """Whether elements of `kind` need Python."""
+    if isinstance(kind, T.StructType):
+        return any(_in_python(f.dataType, ascii_only, normal_keys) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return (normal_keys and not ascii_only) or _in_python(kind.valueType, ascii_only, normal_keys)
+    if isinstance(kind, T.ArrayType):
+        return _in_python(kind.elementType, ascii_only, normal_keys)
+    return isinstance(kind, (T.FloatType, T.DoubleType)) or (isinstance(kind, T.StringType) and not ascii_only)
+
+
+def _check(kind: T.DataType, depth: int = 0) -> None:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else None
+    if inner is None:
+        if not isinstance(kind, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
+            raise TypeError(f"no canonical form of {kind.simpleString()}")
+        return
+    if depth >= MAX_DEPTH:
+        raise ValueError(f"nested deeper than {MAX_DEPTH}")
+    if isinstance(kind, T.MapType) and not isinstance(kind.keyType, T.StringType):
+        raise TypeError("the keys of an object are strings")
+    names = [unicodedata.normalize("NFC", f.name) for f in kind.fields] if isinstance(kind, T.StructType) else []
+    if len(set(names)) < len(names):
+        raise ValueError("two keys have one normal form")
+    for each in inner:
+        _check(each, depth + 1)
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("issue", T.StringType())]))
+def _free(s: pa.Array) -> pa.Array:
+    def constant(name: str) -> None:
+        raise NotCanonical("syntax")
+
+    texts: list[str | None] = []
+    issues: list[str | None] = []
+    for given in s.to_pylist():
+        text = issue = None
+        if given is not None:
+            try:
+                text = canonical_value(json.loads(given, parse_int=float, parse_constant=constant))
+            except NotCanonical as e:
+                issue = str(e)
+            except RecursionError:
+                issue = "depth"
+            except ValueError:
+                issue = "syntax"
+        texts.append(text)
+        issues.append(issue)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(issues, pa.string())], ["text", "issue"])
+
+
+def canonical_json(c: Column) -> Column:
+    """(text, issue) of JSON texts: the canonical form, or why there is none; both null for null.
+
+    Issues are syntax, number (not finite), depth, and colliding_keys (different keys of one normal form). Of a key given twice the last value
+    counts, and numbers are doubles, as ECMAScript reads them.
+    """
+    return _free(c)
+
+
 def utf16_key(c: Column) -> Column:
     """Sorts as UTF-16 code units."""
     return F.encode(c, "UTF-16BE")
 
 
-def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, depth: int = 0) -> Column:
+def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = False) -> Column:
     """Canonical JSON of a column of type `kind`.
 
     A null field is left out if its metadata say {"presence": "optional"}, else it is null. A null value is null.
+    Map keys keep the form they have, or with `normal_keys` get their normal form, and keys of one normal form then fail the job.
     """
-    if depth > MAX_DEPTH:
-        raise ValueError(f"nested deeper than {MAX_DEPTH}")
-    null = F.lit("null")
+    _check(kind)
+    return _canonical(c, kind, ascii_only, normal_keys)
+
+
+def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool) -> Column:
     if isinstance(kind, T.StructType):
         members = []
         for f in sorted(kind.fields, key=lambda f: unicodedata.normalize("NFC", f.name).encode("utf-16-be")):
-            value = canonical(c.getField(f.name), f.dataType, ascii_only, depth + 1)
+            value = _canonical(c.getField(f.name), f.dataType, ascii_only, normal_keys)
             key = F.lit(json_literal(f.name) + ":")
             optional = (f.metadata or {}).get("presence") == "optional"
             members.append(F.when(c.getField(f.name).isNotNull(), F.concat(key, value)) if optional else F.concat(key, value))
-        out = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+        out = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    elif isinstance(kind, (T.ArrayType, T.MapType)) and _in_python(kind, ascii_only, normal_keys):
+        out = _collection(c, kind, normal_keys)
     elif isinstance(kind, T.ArrayType):
-        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical(x, kind.elementType, True if ascii_only else False, depth + 1)), ","), F.lit("]"))
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _canonical(x, kind.elementType, True, False)), ","), F.lit("]"))
     elif isinstance(kind, T.MapType):
         entries = F.transform(F.map_entries(c), lambda e: F.struct(utf16_key(e["key"]).alias("o"), e["key"].alias("k"), e["value"].alias("v")))
-        out = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(json_string(e["k"], True), F.lit(":"), canonical(e["v"], kind.valueType, True, depth + 1))), ","), F.lit("}"))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(json_string(e["k"], True), F.lit(":"), _canonical(e["v"], kind.valueType, True, False))), ","), F.lit("}"))
     elif isinstance(kind, T.StringType):
         out = json_string(c, ascii_only)
-    elif isinstance(kind, T.BooleanType):
-        out = c.cast("string")
-    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        out = c.cast("string")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         out = _number(c.cast("double"))
     else:
-        raise TypeError(f"no canonical form of {kind.simpleString()}")
-    return F.coalesce(out, null)
+        out = c.cast("string")
+    return F.coalesce(out, F.lit("null"))
 
 
 def sha256(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
-def digest(c: Column, kind: T.DataType, ascii_only: bool = False) -> Column:
-    return sha256(canonical(c, kind, ascii_only))
+def digest(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = False) -> Column:
+    return sha256(canonical(c, kind, ascii_only, normal_keys))
 
 
 def base32_128(hexadecimal: Column) -> Column:

@@ -100,3 +100,42 @@ def test_plain_urls(spark):
     df = spark.createDataFrame([(u,) for u in plain + other], "u string")
     got = [r[0] for r in df.select(V.plain_url(F.col("u"))).collect()]
     assert dict(zip(plain + other, got)) == dict.fromkeys(plain, True) | dict.fromkeys(other, False)
+
+
+def test_collections(spark):
+    kind = T.StructType([T.StructField("a", T.ArrayType(T.StringType())), T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("m", T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("x", T.DoubleType(), metadata={"presence": "optional"}), T.StructField("t", T.StringType())]))))])
+    rows = [((["e\u0301", None, "a"], [1.0, None, 1e21], {"e\u0301": [(0.5, "b"), (None, None)], "z": None}),), ((None, [], {}),), (None,)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("v", kind)]))
+    got = [r["c"] for r in df.select(V.canonical(F.col("v"), kind, normal_keys=True).alias("c")).collect()]
+    assert got == ['{"a":["\u00e9",null,"a"],"d":[1,null,1e+21],"m":{"z":null,"\u00e9":[{"t":"b","x":0.5},{"t":null}]}}', '{"a":null,"d":[],"m":{}}', "null"]
+    clash = spark.createDataFrame([({"e\u0301": 1, "\u00e9": 2},)], "m map<string, int>")
+    with pytest.raises(Exception, match="colliding_keys"):
+        clash.select(V.canonical(F.col("m"), clash.schema["m"].dataType, normal_keys=True)).collect()
+    for bad in (T.DateType(), T.ArrayType(T.DecimalType()), T.MapType(T.IntegerType(), T.StringType())):
+        with pytest.raises(TypeError):
+            V.canonical(F.lit(None), bad)
+
+
+def test_free_json(spark):
+    deep = "[" * 256 + "]" * 256
+    cases = {
+        '{"b": [1, "e\u0301"], "a": {"A\u030a": true, "z": null}}': ('{"a":{"z":null,"\u00c5":true},"b":[1,"\u00e9"]}', None),
+        '{"\U0001f600": 1, "\uffff": 2, "\ud7ff": 3}': ('{"\ud7ff":3,"\U0001f600":1,"\uffff":2}', None),
+        '{"2": 2, "10": 10}': ('{"10":10,"2":2}', None),
+        '{"a": 1, "a": 2}': ('{"a":2}', None),
+        '"\\ud800"': ('"\\ud800"', None),
+        "9007199254740993": ("9007199254740992", None),
+        "-0": ("0", None),
+        "1e21": ("1e+21", None),
+        deep: (deep, None),
+        f"[{deep}]": (None, "depth"),
+        "[" * 100000: (None, "depth"),
+        '{"e\u0301": 1, "\u00e9": 2}': (None, "colliding_keys"),
+        "1e999": (None, "number"),
+        "[NaN]": (None, "syntax"),
+        "[1,]": (None, "syntax"),
+        "": (None, "syntax"),
+        None: (None, None),
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", V.canonical_json(F.col("c")).alias("r"))
+    assert {r["c"]: tuple(r["r"]) for r in df.collect()} == cases
