@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealwright.functions.values import DIGEST, IDENTIFIER
 from sealwright.session import written
 
 
@@ -84,6 +85,32 @@ def conflict_violations(keys: DataFrame, matches: DataFrame, candidate: dict) ->
     return twice.union(judged.select("key_digest", ordinal.alias("check_ordinal"), F.substring("code", 7, 99).alias("code")).distinct())
 
 
+def _identity_rules() -> list[tuple[str, Column]]:
+    return [("instance_id", F.col("instance_id").rlike(IDENTIFIER)), ("kind", F.col("kind").rlike(IDENTIFIER)), ("id", F.col("id").rlike(IDENTIFIER) | F.col("id").rlike(DIGEST))]
+
+
+def _broken(rules: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules]))
+
+
+def reference_issues(visibilities: list[str]) -> Column:
+    """The broken rules of a reference (columns as in `resolved_references`), whatever it points at; `visibilities` are the known scopes."""
+    allowed, exact = F.col("allowed_visibility"), F.col("mode") == "exact_revision"
+    return _broken(
+        [
+            *_identity_rules(),
+            ("semantics", F.col("required").isNotNull() & F.col("same_subject").isNotNull()),
+            ("visibility", (F.size(allowed) > 0) & (F.size(F.array_distinct(allowed)) == F.size(allowed)) & F.forall(allowed, lambda v: v.isin(*visibilities))),
+            ("binding", (F.col("mode") == "current") | (exact & F.col("revision_digest").rlike(DIGEST))),
+        ]
+    )
+
+
+def current_record_issues() -> Column:
+    """The broken rules of a current record: instance_id, kind, id, subject_id, revision (a digest)."""
+    return _broken([*_identity_rules(), ("subject_id", F.col("subject_id").rlike(IDENTIFIER)), ("revision", F.col("revision").rlike(DIGEST))])
+
+
 def resolved_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     """`references` with status, by the first rule that fails.
 
@@ -155,7 +182,7 @@ def transition_violations(transitions: DataFrame) -> DataFrame:
     """(subject, check_ordinal, code) of everything that a reading of the transitions in order refuses.
 
     1 not_distinct: an empty or repeating list of merged or new subjects. 2 self_merge, 3 self_split, 4 self_succession. 5 not_new: a split goes on as a
-    subject that is neither its original nor new. 6 other_split: two splits of one subject differ. 7 two_resolutions. 8 cycle, on it or behind it.
+    subject that is neither its original nor new. 6 other_split: two splits of one subject differ. 7 two_resolutions. 8 cycle, on it or behind it. 9 grammar of a subject's name.
     """
     t = transitions
     same = lambda c: F.coalesce(F.size(F.array_distinct(c)) != F.size(c), F.lit(True)) | (F.size(c) < 1)
@@ -173,4 +200,7 @@ def transition_violations(transitions: DataFrame) -> DataFrame:
     out = out.union(of(splits.where("continuing <> original and not coalesce(array_contains(new, continuing), false)"), "original", 5, "not_new"))
     out = out.union(of(other, "original", 6, "other_split"))
     out = out.union(of(ambiguous(transition_edges(t)), "src", 7, "two_resolutions"))
+    lists = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("retired", "new")])
+    named = t.select(F.explode(F.array_compact(F.concat(F.array("surviving", "original", "continuing", "predecessor", "successor", "subject"), lists))).alias("s"))
+    out = out.union(of(named.where(~F.col("s").rlike(IDENTIFIER)), "s", 9, "grammar"))
     return out.union(of(resolutions(t).where("root is null"), "src", 8, "cycle")).distinct()

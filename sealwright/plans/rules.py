@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealwright.functions import values as V
+from sealwright.operators import exchange, identity
+from sealwright.operators import keys as keys_
 from sealwright.plans.catalogue import _esc, query
 from sealwright.session import table
 
@@ -44,3 +48,238 @@ def q37_free_json(spark, sf_dir):
     text = F.concat(F.lit('{ "text" :'), V.json_string(F.col("text"), True), F.lit(',\t"é":[ true, null, {}, -0.0 ],\n '), end)
     out = table(spark, sf_dir, "documents").select("doc_id", V.canonical_json(text).alias("c"))
     return out.select("doc_id", "c.issue", F.sha2("c.text", 256).alias("digest"))
+
+
+# -- exchanges -------------------------------------------------------------------------------------------------------
+
+@query(
+    """WITH e AS (SELECT event_id, event_id % 16 AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, 'sha256:' || sha256(event_type) AS d, octet_length(encode(event_type)) AS n FROM events),
+i AS (SELECT *, CASE k WHEN 1 THEN 'time_order' WHEN 2 THEN 'url' WHEN 3 THEN 'header_order' WHEN 4 THEN 'credential_header' WHEN 5 THEN 'credential_form' WHEN 6 THEN 'credential_query'
+ WHEN 7 THEN 'bodyless' WHEN 8 THEN 'unrecordable' WHEN 9 THEN 'response_order' WHEN 10 THEN 'outcome' WHEN 11 THEN 'status' WHEN 12 THEN 'https' WHEN 13 THEN 'credential_order' ELSE '' END AS issues FROM e)
+SELECT event_id, issues, CASE WHEN issues = '' THEN 'sha256:' || sha256('{"finished_at":"' || t || 'Z","outcome":"' || CASE WHEN k = 15 THEN 'transport_error","reason":"tls_failure' ELSE 'responded' END
+ || '","request":{"body":{"content_bytes":' || n || ',"content_digest":"' || d || '","media_type":"application/x-www-form-urlencoded"},"credentials":[{"field":"token","handle_digest":"' || d || '","scheme":"form"},{"handle_digest":"' || d
+ || '","header_name":"authorization","scheme":"bearer"},{"handle_digest":"' || d || '","parameter":"key","scheme":"query"}],"header_names":["accept","authorization"],"method":"POST","url":"https://host.example/' || event_id || '?a=1&key=' || replace(d, ':', '%3A') || '"}'
+ || CASE WHEN k = 15 THEN '' ELSE ',"response":{"body":{"content_bytes":' || n || ',"content_digest":"' || d || '","media_type":"text/plain"},"headers":[["content-type","text/plain"],["etag","é"]],"status":200}' END
+ || ',"started_at":"' || t || '.0Z"}') END AS exchange_digest FROM i"""
+)
+def q38_exchange_seal(spark, sf_dir):
+    """Events as records of exchanges: thirteen in sixteen break one rule each, the others are sealed."""
+    k = F.col("event_id") % 16
+
+    def but(n: int, other, usual):
+        return F.when(k == n, other).otherwise(usual)
+
+    def credential(scheme, **where):
+        return F.struct(F.col("d").alias("handle_digest"), F.lit(scheme).alias("scheme"), *[F.lit(where.get(w)).cast("string").alias(w) for w in ("header_name", "field", "parameter")])
+
+    def body(media_type):
+        return F.struct(media_type.alias("media_type"), F.col("d").alias("content_digest"), F.octet_length("event_type").cast("long").alias("content_bytes"))
+
+    def texts(*items):
+        return F.array(*[F.lit(x) for x in items])
+
+    form, bearer, by_query = credential("form", field="token"), credential("bearer", header_name="authorization"), credential("query", parameter="key")
+    headers = F.array(texts("content-type", "text/plain"), texts("etag", "é"))
+    headers = but(8, F.array(texts("content-type", "text/plain"), texts("set-cookie", "a=b")), but(9, F.array(texts("etag", "é"), texts("content-type", "text/plain")), headers))
+    code = F.concat(F.col("event_id").cast("string"), F.lit("?a=1&key="), F.replace(F.col("d"), F.lit(":"), F.lit("%3A")))
+    url = F.concat(but(12, F.lit("http"), F.lit("https")), F.lit("://host.example/"), code, but(2, F.lit("#x"), but(6, F.lit("&key=2"), F.lit(""))))
+    sent = but(3, texts("authorization", "accept"), but(4, texts("accept"), texts("accept", "authorization")))
+    request = F.struct(
+        but(7, F.lit("GET"), F.lit("POST")).alias("method"),
+        url.alias("url"),
+        sent.alias("header_names"),
+        but(13, F.array(bearer, form, by_query), F.array(form, bearer, by_query)).alias("credentials"),
+        body(but(5, F.lit("text/plain"), F.lit(exchange.FORM))).alias("body"),
+    )
+    response = F.when(k != 15, F.struct(but(11, F.lit(99), F.lit(200)).alias("status"), headers.alias("headers"), body(F.lit("text/plain")).alias("body")))
+    second = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    records = (
+        table(spark, sf_dir, "events")
+        .withColumn("d", V.sha256(F.col("event_type")))
+        .select(
+            "event_id",
+            F.concat(second, but(1, F.lit(".1Z"), F.lit(".0Z"))).alias("started_at"),
+            F.concat(second, F.lit("Z")).alias("finished_at"),
+            but(15, F.lit("transport_error"), F.lit("responded")).alias("outcome"),
+            request.alias("request"),
+            response.alias("response"),
+            F.when(k.isin(10, 15), "tls_failure").alias("reason"),
+        )
+    )
+    return exchange.sealed(records).select("event_id", F.array_join("issues", ",").alias("issues"), "exchange_digest")
+
+
+# -- identities ------------------------------------------------------------------------------------------------------
+
+TRANSITION = "ord int, kind string, surviving string, retired array<string>, original string, continuing string, new array<string>, predecessor string, successor string, predecessor_retires boolean, subject string"
+#: Transitions by case: one JSON array each, with {} for the number of the document.
+REFUSED = [
+    [{"kind": "merge", "surviving": "s{}a", "retired": ["s{}b"]}],
+    [{"kind": "merge", "surviving": "s{}a", "retired": ["s{}b", "s{}b"]}],
+    [{"kind": "merge", "surviving": "s{}a", "retired": ["s{}a", "s{}b"]}],
+    [{"kind": "split", "original": "s{}a", "new": ["s{}a", "s{}b"]}],
+    [{"kind": "split", "original": "s{}a", "continuing": "s{}x", "new": ["s{}b"]}],
+    [{"kind": "succession", "predecessor": "s{}a", "successor": "s{}a", "predecessor_retires": True}],
+    [{"kind": "succession", "predecessor": "s{}a", "successor": "s{}b", "predecessor_retires": True}, {"kind": "succession", "predecessor": "s{}a", "successor": "s{}c", "predecessor_retires": True}],
+    [{"kind": "succession", "predecessor": "s{}a", "successor": "s{}b", "predecessor_retires": True}, {"kind": "succession", "predecessor": "s{}b", "successor": "s{}a", "predecessor_retires": True}],
+    [{"kind": "split", "original": "s{}a", "new": ["s{}b"]}, {"kind": "split", "original": "s{}a", "new": ["s{}c"]}],
+    [{"kind": "retirement", "subject": "S{}"}],
+]
+ACCEPTED = [
+    [{"kind": "split", "original": "s{}a", "continuing": "s{}b", "new": ["s{}b", "s{}c"]}, {"kind": "merge", "surviving": "s{}d", "retired": ["s{}b"]}],
+    [{"kind": "split", "original": "s{}a", "continuing": "s{}a", "new": ["s{}b", "s{}c"]}, {"kind": "succession", "predecessor": "s{}b", "successor": "s{}e", "predecessor_retires": True}],
+    [{"kind": "succession", "predecessor": "s{}a", "successor": "s{}b", "predecessor_retires": False}, {"kind": "retirement", "subject": "s{}c"}],
+]
+
+
+def _transitions(spark, sf_dir, cases):
+    """The case of each document, by its number modulo the number of cases."""
+    n = F.col("doc_id") % len(cases)
+    texts = F.element_at(F.array(*[F.lit(json.dumps(c)) for c in cases]), (n + 1).cast("int"))
+    rows = F.from_json(F.replace(texts, F.lit("{}"), F.col("doc_id").cast("string")), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in TRANSITION.split(', '))}>>")
+    return table(spark, sf_dir, "documents").select(F.explode(rows).alias("t")).select("t.*")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT doc_id AS i, doc_id % 10 AS k FROM documents),
+c AS (SELECT * FROM (VALUES (1, 'a', 1, 'not_distinct'), (2, 'a', 2, 'self_merge'), (2, 'a', 8, 'cycle'), (2, 'b', 8, 'cycle'), (3, 'a', 3, 'self_split'), (4, 'a', 5, 'not_new'), (5, 'a', 4, 'self_succession'),
+ (5, 'a', 8, 'cycle'), (6, 'a', 7, 'two_resolutions'), (7, 'a', 8, 'cycle'), (7, 'b', 8, 'cycle'), (8, 'a', 6, 'other_split'), (9, '', 9, 'grammar')) AS t(k, s, check_ordinal, code))
+SELECT CASE WHEN k = 9 THEN 'S' ELSE 's' END || i || s AS subject, check_ordinal, code FROM d JOIN c USING (k)"""
+)
+def q39_transition_violations(spark, sf_dir):
+    """One refused case of transitions for each document, but for one in ten."""
+    return identity.transition_violations(_transitions(spark, sf_dir, REFUSED))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT doc_id AS i, doc_id % 3 AS k FROM documents),
+c AS (SELECT * FROM (VALUES (0, 'resolves', 'a', 'd'), (0, 'resolves', 'b', 'd'), (0, 'branch', 'a', 'c'), (0, 'branch', 'a', 'd'), (0, 'retired', 'a', NULL), (0, 'retired', 'b', NULL),
+ (1, 'resolves', 'b', 'e'), (1, 'branch', 'a', 'e'), (1, 'branch', 'a', 'c'), (1, 'retired', 'b', NULL), (2, 'retired', 'c', NULL)) AS t(k, state, s, o))
+SELECT state, 's' || i || s AS subject, 's' || i || o AS other FROM d JOIN c USING (k)"""
+)
+def q40_identity_states(spark, sf_dir):
+    """What three kinds of histories come to: resolutions, branches of splits, retired subjects."""
+    t = _transitions(spark, sf_dir, ACCEPTED)
+    out = identity.resolutions(t).select(F.lit("resolves").alias("state"), F.col("src").alias("subject"), F.col("root").alias("other"))
+    out = out.union(identity.split_branches(t).select(F.lit("branch"), "original", "child"))
+    return out.union(identity.retired_subjects(t).select(F.lit("retired"), "subject", F.lit(None).cast("string")))
+
+
+_MATCHES_SQL = """k AS (SELECT sha256(text) AS key_digest, 'doc_' || min(doc_id) AS ref, sha256(min(source)) AS ident FROM documents GROUP BY 1),
+m AS (SELECT sha256(text) AS key_digest, doc_id, 'doc_' || doc_id AS target, sha256(source) AS t_ident FROM documents)"""
+
+
+def _matches(spark, sf_dir):
+    """Keys by text, and every document as a match of one of four kinds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key_digest"))
+    keys = docs.groupBy("key_digest").agg(F.concat(F.lit("doc_"), F.min("doc_id").cast("string")).alias("key_reference"), F.sha2(F.min("source"), 256).alias("key_identity_digest"))
+    kinds = F.array(*[F.lit(k) for k in ("live", "merged_lineage", "open_pull_request", "pending_submission")])
+    matches = docs.select(
+        "doc_id",
+        "key_digest",
+        F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind"),
+        F.lit("main").alias("repository"),
+        F.when(F.col("doc_id") % 4 == 2, F.col("doc_id")).alias("pull_request_number"),
+        F.when(F.col("doc_id") % 8 == 2, "head").otherwise("other").alias("head_sha"),
+        F.when(F.col("doc_id") % 4 == 3, F.when(F.col("doc_id") % 12 == 3, "mine").otherwise("theirs")).alias("candidate_reference"),
+        F.when(F.col("doc_id") % 24 == 3, "digest").otherwise("other").alias("candidate_digest"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("target_reference"),
+        F.sha2("source", 256).alias("target_identity_digest"),
+    )
+    return keys, matches
+
+
+@query(
+    f"""WITH {_MATCHES_SQL}, v AS (SELECT m.key_digest, CASE WHEN doc_id % 4 = 3 AND doc_id % 12 = 3 THEN 'skip' WHEN doc_id % 4 IN (0, 1) AND target = ref THEN CASE WHEN t_ident <> ident THEN 'changed' ELSE 'skip' END ELSE 'hold' END AS verdict FROM m JOIN k USING (key_digest))
+SELECT key_digest, count(*) AS n_matches, bool_or(verdict = 'changed') AS identity_changed FROM v WHERE verdict <> 'skip' GROUP BY 1"""
+)
+def q41_submission_conflicts(spark, sf_dir):
+    """The matches of all documents against the keys of a submission that is not a pull request."""
+    keys, matches = _matches(spark, sf_dir)
+    return identity.conflicts(keys, matches, {"kind": "submission", "candidate_reference": "mine", "candidate_digest": "digest"})
+
+
+@query(
+    f"""WITH {_MATCHES_SQL}, x AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'none' || doc_id ELSE key_digest END AS kd FROM m)
+SELECT DISTINCT kd AS key_digest, 2 AS check_ordinal, 'unknown_key' AS code FROM x WHERE doc_id % 5 = 0
+UNION ALL SELECT DISTINCT kd, 4, 'other_candidate' FROM x WHERE doc_id % 5 <> 0 AND doc_id % 12 = 3 AND doc_id % 24 <> 3
+UNION ALL SELECT key_digest, 1, 'repeated_key' FROM k WHERE right(key_digest, 1) = '0'"""
+)
+def q42_conflict_violations(spark, sf_dir):
+    """A sixteenth of the keys given twice, a fifth of the matches without a key, and half of the own submissions with another digest."""
+    keys, matches = _matches(spark, sf_dir)
+    keys = keys.union(keys.where("right(key_digest, 1) = '0'"))
+    matches = matches.withColumn("key_digest", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("none"), F.col("doc_id").cast("string"))).otherwise(F.col("key_digest")))
+    return identity.conflict_violations(keys, matches, {"kind": "submission", "candidate_reference": "mine", "candidate_digest": "digest"})
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 11 = 1 THEN 'instance_id' END, CASE WHEN doc_id % 11 = 2 THEN 'kind' END, CASE WHEN doc_id % 11 = 3 THEN 'id' END, CASE WHEN doc_id % 11 = 4 THEN 'semantics' END,
+ CASE WHEN doc_id % 11 IN (5, 6, 7) THEN 'visibility' END, CASE WHEN doc_id % 11 IN (8, 9) THEN 'binding' END) AS issues FROM documents"""
+)
+def q43_reference_issues(spark, sf_dir):
+    """Documents as references to themselves; nine in eleven break a rule."""
+    k = F.col("doc_id") % 11
+    v = lambda *names: F.array(*[F.lit(n) for n in names])
+    refs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(k == 1, "One").otherwise("one").alias("instance_id"),
+        F.when(k == 2, "").otherwise("document").alias("kind"),
+        F.when(k == 3, "no id\n").when(k == 10, V.sha256(F.col("text"))).otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("id"),
+        F.when(k == 8, "latest").when(k.isin(9, 10), "exact_revision").otherwise("current").alias("mode"),
+        F.when(k == 9, "sha256:1").when(k == 10, V.sha256(F.col("text"))).alias("revision_digest"),
+        F.when(k == 4, F.lit(None)).otherwise(F.lit(True)).alias("required"),
+        F.lit(False).alias("same_subject"),
+        F.when(k == 5, v()).when(k == 6, v("public", "public")).when(k == 7, v("public", "nobody")).otherwise(v("public", "members")).alias("allowed_visibility"),
+    )
+    return refs.select("doc_id", F.array_join(identity.reference_issues(["public", "members"]), ",").alias("issues"))
+
+
+# -- keys ------------------------------------------------------------------------------------------------------------
+
+
+def _keys(spark, sf_dir):
+    """Suppliers as signing keys, some of them against the rules; those of one nation are one issuer."""
+    k = F.col("s_suppkey") % 9
+    pem = F.concat(F.lit("-----BEGIN PUBLIC KEY-----\nMCowBQYDK2VwAyEA"), F.repeat(F.lit("A"), 43), F.when(k == 7, "!").otherwise("="), F.lit("\n-----END PUBLIC KEY-----\n"))
+    keys = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.concat(F.lit("key-"), F.col("s_suppkey").cast("string")).alias("key_id"),
+        F.when(k == 1, "").otherwise(F.concat(F.lit("issuer-"), F.col("s_nationkey").cast("string"))).alias("issuer_id"),
+        F.when(k == 2, F.array(F.lit("release"), F.lit("release"))).otherwise(F.array(F.lit("release"), F.lit("capture"))).alias("purposes"),
+        pem.alias("public_key"),
+        F.when(k == 3, "never").when(k == 4, "1999-01-01T00:00:00Z").otherwise("1994-01-01T00:00:00Z").alias("valid_from"),
+        F.when(k == 5, F.lit(None)).otherwise("1997-01-01T01:00:00+01:00").alias("valid_until"),
+        F.when(k == 6, 0).when(k == 8, 3).cast("long").alias("compromised_after_sequence"),
+    )
+    return keys.union(keys.where("s_suppkey % 10 = 0")).drop("s_suppkey")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS i, s_suppkey % 9 AS k FROM supplier), t AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE i % 10 = 0),
+c AS (SELECT * FROM (VALUES (1, 2, 'issuer_id'), (2, 4, 'purposes'), (3, 5, 'instants'), (3, 6, 'interval'), (4, 6, 'interval'), (6, 7, 'sequence'), (7, 8, 'public_key')) AS v(k, check_ordinal, code))
+SELECT 'key-' || i AS key_id, check_ordinal, code FROM t JOIN c USING (k) UNION ALL SELECT 'key-' || i, 1, 'named_twice' FROM s WHERE i % 10 = 0"""
+)
+def q44_key_registry(spark, sf_dir):
+    return keys_.registry_violations(_keys(spark, sf_dir))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN s_suppkey IS NULL THEN 'unknown_key' WHEN l_linenumber = 7 AND n <> 0 THEN 'other_issuer' WHEN l_linenumber = 6 THEN 'purpose'
+ WHEN l_shipdate < TIMESTAMP '1994-01-01' OR (l_shipdate >= TIMESTAMP '1997-01-01' AND l_suppkey % 9 <> 5) THEN 'interval' WHEN l_suppkey % 9 = 8 AND l_linenumber >= 3 THEN 'compromised' ELSE 'authorized' END AS verdict
+FROM lineitem LEFT JOIN (SELECT s_suppkey, s_nationkey AS n FROM supplier WHERE s_suppkey % 10 <> 0 AND s_suppkey % 9 IN (0, 5, 8)) ON l_suppkey = s_suppkey"""
+)
+def q45_key_verdicts(spark, sf_dir):
+    """Every line as a fact signed with its supplier's key; only keys that no rule refuses are held."""
+    keys = _keys(spark, sf_dir)
+    held = keys.join(keys_.registry_violations(keys).select("key_id"), "key_id", "left_anti")
+    facts = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.concat(F.lit("key-"), F.col("l_suppkey").cast("string")).alias("key_id"),
+        F.when(F.col("l_linenumber") == 7, "issuer-0").alias("issuer_id"),
+        F.when(F.col("l_linenumber") == 6, "mail").otherwise("release").alias("purpose"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+        F.col("l_linenumber").cast("long").alias("sequence"),
+    )
+    return keys_.key_verdicts(facts, held).select("l_orderkey", "l_linenumber", "verdict")

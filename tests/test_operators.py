@@ -174,3 +174,11 @@ def test_dataset_card():
     for bad in (T.StructType([]), T.StructType([T.StructField("bad:key", T.StringType())])):
         with pytest.raises(ValueError):
             dataset_features(bad)
+
+
+def test_current_record_issues(spark):
+    d = "sha256:" + "0" * 64
+    rows = [("one", "document", "a", "s", d), ("one", "document", d, "s", d), ("One", "", "a b", "S", "d"), (None,) * 5]
+    df = spark.createDataFrame(rows, "instance_id string, kind string, id string, subject_id string, revision string")
+    everything = ["instance_id", "kind", "id", "subject_id", "revision"]
+    assert [r[0] for r in df.select(identity.current_record_issues()).collect()] == [[], [], everything, everything]
