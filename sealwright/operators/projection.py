@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealwright.functions.values import sha256
+from sealwright.functions.values import DIGEST, canonical_json, json_string, sha256, utf16_key
 
 DEPTH = 4
 
@@ -50,6 +50,99 @@ def shards(rows: DataFrame, max_bytes: int) -> DataFrame:
     return inventory(placed(rows, max_bytes))
 
 
+def shard_rows(files: DataFrame) -> DataFrame:
+    """(path, n, id, line): the rows of shard files (path, content: bytes or null) by line; nothing for a shard that is missing."""
+    text = F.decode(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content")), "utf-8")
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")).alias("n", "line"))
+    return lines.select("path", "n", F.get_json_object("line", "$.id").alias("id"), "line")
+
+
+def _found(ordinal: int, code: str) -> Column:
+    return F.struct(F.lit(ordinal).alias("check_ordinal"), F.lit(code).alias("code"))
+
+
+def shard_violations(files: DataFrame) -> DataFrame:
+    """(path, check_ordinal, code) of shard files (path, content: bytes or null, a missing shard is empty): what a strict reader refuses.
+
+    1 empty: stored without bytes. 2 encoding: not UTF-8. 3 final_newline. 4 blank_row. 5 row: no canonical form, or no text as id. 6 misplaced: the id
+    belongs elsewhere. 7 order: ids repeat or descend. 8 not_canonical. A file is bounded by the layout's limit, so its rows meet in one group.
+    """
+    stored = files.where("content is not null")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    whole = F.array_compact(
+        F.array(
+            F.when(F.octet_length("content") == 0, _found(1, "empty")),
+            F.when(~valid, _found(2, "encoding")),
+            F.when(valid & (F.octet_length("content") > 0) & (F.expr("right(hex(content), 2)") != "0A"), _found(3, "final_newline")),
+        )
+    )
+    rows = shard_rows(stored.where(F.octet_length("content") > 0)).withColumn("c", canonical_json(F.col("line")))
+    before = F.lag("id").over(Window.partitionBy("path").orderBy("n"))
+    depth = F.length("path") - F.lit(len("data/.jsonl"))
+    text, known = F.col("c.text"), F.col("id").isNotNull()
+    by_row = F.array_compact(
+        F.array(
+            F.when(F.col("line") == "", _found(4, "blank_row")),
+            F.when((F.col("line") != "") & (text.isNull() | ~known), _found(5, "row")),
+            F.when(known & (shard_path(F.col("id"), depth) != F.col("path")), _found(6, "misplaced")),
+            F.when(known & (utf16_key(F.col("before")) >= utf16_key(F.col("id"))), _found(7, "order")),
+            F.when(text != F.col("line"), _found(8, "not_canonical")),
+        )
+    )
+    found = rows.withColumn("before", before).select("path", F.explode(by_row).alias("x"))
+    return stored.select("path", F.explode(whole).alias("x")).union(found).select("path", "x.check_ordinal", "x.code").distinct()
+
+
+def manifest(inventories: DataFrame, contract: str, max_bytes: int) -> DataFrame:
+    """(source_release_id, manifest) from shard entries (source_release_id, source_sequence, projector_digest, path, digest, bytes, rows).
+
+    The manifest is the canonical text of the closed snapshot with a final line feed. A snapshot has 65536 shards at most, so its entries meet in one row.
+    Release and projector must be digests and the sequence positive, else the manifest is null.
+    """
+    entry = F.concat(F.lit('{"bytes":'), F.col("bytes").cast("string"), F.lit(',"digest":'), json_string(F.col("digest"), True), F.lit(',"path":'), json_string(F.col("path"), True), F.lit(',"rows":'), F.col("rows").cast("string"), F.lit("}"))
+    shards_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("entry")))), lambda x: x["entry"]), ",")
+    closed = inventories.groupBy("source_release_id", "source_sequence", "projector_digest").agg(shards_.alias("s"), F.sum("rows").alias("n"))
+    text = F.concat(
+        F.lit('{"contract":'), json_string(F.lit(contract), contract.isascii()), F.lit(f',"maxShardBytes":{max_bytes},"projectorDigest":'), json_string(F.col("projector_digest"), True), F.lit(',"rowCount":'), F.col("n").cast("string"),
+        F.lit(',"shards":['), F.col("s"), F.lit('],"sourceReleaseId":'), json_string(F.col("source_release_id"), True), F.lit(',"sourceSequence":'), F.col("source_sequence").cast("string"), F.lit("}\n"),
+    )
+    ok = F.col("source_release_id").rlike(DIGEST) & F.col("projector_digest").rlike(DIGEST) & (F.col("source_sequence") >= 1)
+    return closed.select("source_release_id", F.when(ok, text).alias("manifest"))
+
+
+ENTRIES = "struct<bytes: bigint, digest: string, path: string, rows: bigint>"
+
+
+def parsed_manifest(manifests: DataFrame, contract: str) -> DataFrame:
+    """`manifests` (manifest: text) with issue and snapshot, which is null where the text is refused.
+
+    Issues, the first that applies: not_canonical (or no final line feed), shape (other members or types), contract, digests, counts, size (a shard over
+    the limit), path, order (paths repeat or descend), overlap, total.
+    """
+    line = F.regexp_replace("manifest", r"\n\z", "")
+    kind = f"struct<contract: string, maxShardBytes: bigint, projectorDigest: string, rowCount: bigint, shards: array<{ENTRIES}>, sourceReleaseId: string, sourceSequence: bigint>"
+    # what the fixed shape reads must write the same text again: nothing else was there, nothing was converted
+    rows = manifests.withColumn("snapshot", F.from_json(line, kind)).withColumn("c_", canonical_json(line))
+    s = F.col("snapshot")
+    entries, prefixes = s["shards"], F.transform(s["shards"]["path"], lambda p: F.regexp_extract(p, r"\Adata/([0-9a-f]{1,4})\.jsonl\z", 1))
+    inside = F.exists(prefixes, lambda p: F.exists(F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: i < F.length(p)), lambda i: F.array_contains(F.col("prefixes_"), F.substring(p, F.lit(1), i))))
+    rules = [
+        ("not_canonical", F.col("manifest").endswith("\n") & (F.col("c_.text") == line)),
+        ("shape", F.to_json(s) == line),
+        ("contract", s["contract"] == contract),
+        ("digests", s["sourceReleaseId"].rlike(DIGEST) & s["projectorDigest"].rlike(DIGEST) & F.forall(entries, lambda e: e["digest"].rlike(DIGEST))),
+        ("counts", (s["sourceSequence"] >= 1) & (s["maxShardBytes"] >= 1) & (s["rowCount"] >= 0) & F.forall(entries, lambda e: (e["bytes"] >= 1) & (e["rows"] >= 1))),
+        ("size", F.forall(entries, lambda e: e["bytes"] <= s["maxShardBytes"])),
+        ("path", F.forall(F.col("prefixes_"), lambda p: p != "")),
+        ("order", entries["path"] == F.array_sort(F.array_distinct(entries["path"]))),
+        ("overlap", ~inside),
+        ("total", F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e["rows"]) == s["rowCount"]),
+    ]
+    issue = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules])
+    out = rows.withColumn("prefixes_", prefixes).withColumn("issue", issue)
+    return out.withColumn("snapshot", F.when(F.col("issue").isNull(), s)).drop("c_", "prefixes_")
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").count().where("count > 1").select("id")
 
@@ -79,9 +172,9 @@ def closure_violations(manifest: DataFrame, max_bytes: int, row_count: int | Non
 def route(ids: DataFrame, leaves: DataFrame) -> DataFrame:
     """`ids` (id) with the path that holds or would hold each: its leaf, else the first branch that is not split.
 
-    `leaves` (path) has 65536 rows at most.
+    Different prefixes of four hex digits at most bound what is broadcast, however many `leaves` (path) there are.
     """
-    own = leaves.select(F.regexp_extract("path", r"\Adata/([0-9a-f]{1,4})\.jsonl\z", 1).alias("prefix"))
+    own = leaves.select(F.regexp_extract("path", r"\Adata/([0-9a-f]{1,4})\.jsonl\z", 1).alias("prefix")).distinct()
     branches = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix") - 1), lambda i: F.substring("prefix", F.lit(1), i))).alias("prefix")).where("prefix <> ''").distinct()
     marked = own.withColumn("leaf", F.lit(True)).unionByName(branches.withColumn("leaf", F.lit(False)))
     steps = ids.withColumn("h", F.sha2("id", 256)).select("id", "h", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth")).withColumn("prefix", F.expr("substring(h, 1, depth)"))
@@ -117,6 +210,6 @@ def inventory_changes(before: DataFrame, after_affected: DataFrame, affected_pat
     """(path, action, digest, bytes, rows): write new or changed shards, delete shards that are gone, carry the rest."""
     was = before.select("path", F.col("digest").alias("was"), F.col("bytes").alias("was_bytes"), F.col("rows").alias("was_rows"))
     touched = affected_paths.select("path", F.lit(True).alias("touched"))
-    both = was.join(after_affected, "path", "full").join(F.broadcast(touched), "path", "left")
+    both = was.join(after_affected, "path", "full").join(touched, "path", "left")
     action = F.when(F.col("digest").isNull() & F.col("touched"), "delete").when(F.col("digest").isNull() | F.col("digest").eqNullSafe(F.col("was")), "carry").otherwise("write")
     return both.select("path", action.alias("action"), F.coalesce("digest", "was").alias("digest"), F.coalesce("bytes", "was_bytes").alias("bytes"), F.coalesce("rows", "was_rows").alias("rows"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealwright.functions import values as V
-from sealwright.operators import exchange, identity
+from sealwright.operators import exchange, identity, projection
 from sealwright.operators import keys as keys_
-from sealwright.plans.catalogue import _esc, query
+from sealwright.plans.catalogue import _ROWS, MAX_SHARD_BYTES, _esc, _leaves_sql, query, record_rows
 from sealwright.session import table
 
 # -- canonical values ------------------------------------------------------------------------------------------------
@@ -283,3 +283,63 @@ def q45_key_verdicts(spark, sf_dir):
         F.col("l_linenumber").cast("long").alias("sequence"),
     )
     return keys_.key_verdicts(facts, held).select("l_orderkey", "l_linenumber", "verdict")
+
+
+# -- shard files and manifests ---------------------------------------------------------------------------------------
+
+SNAPSHOT_CONTRACT = "catalogue.snapshot/v1"
+_FILES = f"""WITH {_ROWS}, {_leaves_sql('r')}, f AS (SELECT leaf, count(*) AS n FROM l GROUP BY leaf)"""
+
+
+@query(
+    _FILES
+    + """ SELECT 'data/' || CASE WHEN leaf[1] = '5' THEN 'X' || leaf[2:] ELSE leaf END || '.jsonl' AS path, check_ordinal, code
+FROM f JOIN (VALUES ('0', 1, 'empty'), ('1', 2, 'encoding'), ('2', 3, 'final_newline'), ('3', 4, 'blank_row'), ('4', 5, 'row'), ('5', 6, 'misplaced'), ('6', 7, 'order'), ('7', 8, 'not_canonical')) AS v(d, check_ordinal, code) ON leaf[1] = d WHERE n > 1 OR d <> '6'"""
+)
+def q46_shard_reader(spark, sf_dir):
+    """Every shard as a file; those of eight first digits are spoiled, each in another way."""
+    rows = projection.placed(record_rows(spark, sf_dir), MAX_SHARD_BYTES)
+    digit = F.substring("path", 6, 1)
+    line = F.when(digit == "7", F.replace("line", F.lit(":"), F.lit(": "))).otherwise(F.col("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"])
+    files = rows.groupBy("path").agg(lines.alias("lines")).withColumn("d", digit)
+    text = F.concat(F.array_join(F.when(F.col("d") == "6", F.reverse("lines")).otherwise(F.col("lines")), "\n"), F.when(F.col("d") == "2", "").when(F.col("d") == "3", "\n\n").when(F.col("d") == "4", '\n{"id":1,\n').otherwise("\n"))
+    content = F.when(F.col("d") == "0", F.unhex(F.lit(""))).when(F.col("d") == "1", F.concat(F.unhex(F.lit("ff")), F.encode(text, "utf-8"))).otherwise(F.encode(text, "utf-8"))
+    path = F.when(F.col("d") == "5", F.concat(F.lit("data/X"), F.substring("path", 7, 99))).otherwise(F.col("path"))
+    return projection.shard_violations(files.select(path.alias("path"), content.alias("content")))
+
+
+def _manifest_sql(rows: str = "sum(rows)") -> str:
+    return f"""'{{"contract":"{SNAPSHOT_CONTRACT}","maxShardBytes":{MAX_SHARD_BYTES},"projectorDigest":"' || d || '","rowCount":' || {rows} || ',"shards":[' || string_agg('{{"bytes":' || bytes || ',"digest":"' || digest || '","path":"' || path || '","rows":' || rows || '}}', ',' ORDER BY path) || '],"sourceReleaseId":"' || d || '","sourceSequence":1}}' || chr(10)"""
+
+
+def _manifests(spark, sf_dir):
+    d = V.sha256(F.lit("release"))
+    entries = projection.shards(record_rows(spark, sf_dir), MAX_SHARD_BYTES).select(d.alias("source_release_id"), F.lit(1).cast("long").alias("source_sequence"), d.alias("projector_digest"), "*")
+    return projection.manifest(entries, SNAPSHOT_CONTRACT, MAX_SHARD_BYTES)
+
+
+@query(f"WITH {_ROWS}, {_leaves_sql('r')}, x AS (SELECT *, 'sha256:' || sha256('release') AS d FROM i) SELECT d AS source_release_id, sha256({_manifest_sql()}) AS manifest_sha256 FROM x GROUP BY d")
+def q47_snapshot_manifest(spark, sf_dir):
+    return _manifests(spark, sf_dir).select("source_release_id", F.sha2("manifest", 256).alias("manifest_sha256"))
+
+
+@query(
+    f"WITH {_ROWS}, {_leaves_sql('r')}, n AS (SELECT count(*) AS n FROM r) SELECT k, issue, CASE WHEN issue IS NULL THEN n END AS row_count FROM n, (VALUES (0, NULL), (1, 'not_canonical'), (2, 'not_canonical'), (3, 'shape'), (4, 'contract'), (5, 'digests'), (6, 'counts'), (7, 'size'), (8, 'total')) AS v(k, issue)"
+)
+def q48_manifest_reader(spark, sf_dir):
+    """One manifest over all documents, read as it is and spoiled in eight ways."""
+    m = F.col("manifest")
+    spoiled = [
+        m,
+        F.concat(m, F.lit("\n")),
+        F.replace(m, F.lit('"rows":'), F.lit('"rows": ')),
+        F.replace(m, F.lit('"sourceSequence":1}'), F.lit('"sourceSequence":1,"x":1}')),
+        F.replace(m, F.lit(SNAPSHOT_CONTRACT), F.lit("other/v1")),
+        F.regexp_replace(m, '"projectorDigest":"sha256:.', '"projectorDigest":"sha256:'),
+        F.replace(m, F.lit('"sourceSequence":1}'), F.lit('"sourceSequence":0}')),
+        F.regexp_replace(m, f'"maxShardBytes":{MAX_SHARD_BYTES}', '"maxShardBytes":10'),
+        F.regexp_replace(m, '"rowCount":', '"rowCount":1'),
+    ]
+    texts = _manifests(spark, sf_dir).select(F.posexplode(F.array(*spoiled)).alias("k", "manifest"))
+    return projection.parsed_manifest(texts, SNAPSHOT_CONTRACT).select("k", "issue", F.col("snapshot.rowCount").alias("row_count"))

@@ -182,3 +182,26 @@ def test_current_record_issues(spark):
     df = spark.createDataFrame(rows, "instance_id string, kind string, id string, subject_id string, revision string")
     everything = ["instance_id", "kind", "id", "subject_id", "revision"]
     assert [r[0] for r in df.select(identity.current_record_issues()).collect()] == [[], [], everything, everything]
+
+
+def test_shard_reader(spark):
+    path = {i: projection.shard_path(F.lit(i), 1) for i in ("a", "b")}
+    own = {i: spark.range(1).select(p.alias("p")).first()["p"] for i, p in path.items()}
+    files = spark.createDataFrame([(own["a"], bytearray(b'{"id":"a"}\n')), (own["b"], None), ("data/0.jsonl", bytearray(b"[]\n")), ("data/1.jsonl", bytearray(b"\n"))], "path string, content binary")
+    assert {(r["path"], r["code"]) for r in projection.shard_violations(files).collect()} == {("data/0.jsonl", "row"), ("data/1.jsonl", "blank_row")}
+    assert [(r["path"], r["id"]) for r in projection.shard_rows(files.where("content = cast('{\"id\":\"a\"}\n' as binary)")).collect()] == [(own["a"], "a")]
+
+
+def test_manifest_rules(spark):
+    d = "sha256:" + "0" * 64
+    schema = "source_release_id string, source_sequence long, projector_digest string, path string, digest string, bytes long, rows long"
+
+    def issue(*entries, release=d):
+        m = projection.manifest(spark.createDataFrame([(release, 1, d, *e) for e in entries], schema), "c/v1", 100)
+        return projection.parsed_manifest(m, "c/v1").first()["issue"]
+
+    assert issue(("data/1.jsonl", d, 5, 1), ("data/2.jsonl", d, 100, 2)) is None
+    assert issue(("data/1.jsonl", d, 5, 1), ("data/12.jsonl", d, 5, 1)) == "overlap"
+    assert issue(("data/1.jsonl", d, 5, 1), ("data/1.jsonl", d, 5, 1)) == "order"
+    assert issue(("data/g.jsonl", d, 5, 1)) == "path" and issue(("data/1.jsonl", d, 101, 1)) == "size"
+    assert issue(("data/1.jsonl", d, 5, 1), release="d") == "not_canonical"
