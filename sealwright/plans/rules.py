@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealwright.functions import values as V
-from sealwright.operators import exchange, identity, projection
+from sealwright.operators import authority, capture, changes, exchange, identity, projection
 from sealwright.operators import keys as keys_
-from sealwright.plans.catalogue import _ROWS, MAX_SHARD_BYTES, _esc, _leaves_sql, query, record_rows
+from sealwright.plans.catalogue import _ROWS, _SP, MAX_SHARD_BYTES, _esc, _leaves_sql, query, record_rows
 from sealwright.session import table
 
 # -- canonical values ------------------------------------------------------------------------------------------------
@@ -343,3 +343,154 @@ def q48_manifest_reader(spark, sf_dir):
     ]
     texts = _manifests(spark, sf_dir).select(F.posexplode(F.array(*spoiled)).alias("k", "manifest"))
     return projection.parsed_manifest(texts, SNAPSHOT_CONTRACT).select("k", "issue", F.col("snapshot.rowCount").alias("row_count"))
+
+
+# -- captures --------------------------------------------------------------------------------------------------------
+
+
+def _methods(spark):
+    rows = "VALUES ('r', 'fetch', '1', array('direct')), ('r', 'render', '1', array('rendered-page')), ('r', 'manual', '1', array('manual-review')), ('r', 'archive', '1', array('history-only'))"
+    return spark.sql(f"SELECT * FROM {rows} AS t(registry_digest, name, version, capabilities)")
+
+
+@query(
+    """WITH c AS (SELECT * FROM (VALUES (1, 1, 'method'), (2, 2, 'https'), (3, 3, 'plain_url'), (4, 3, 'plain_url'), (5, 4, 'lease_token'), (6, 5, 'lease')) AS v(k, check_ordinal, code))
+SELECT page_id, check_ordinal, code FROM pages JOIN c ON page_id % 8 = k"""
+)
+def q49_capture_starts(spark, sf_dir):
+    """Pages as reservations; six in eight break a rule."""
+    k = F.col("page_id") % 8
+    url = F.concat(F.lit("https://host.example/p/"), F.col("page_id").cast("string"))
+    starts = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(k == 2, F.replace(url, F.lit("https:"), F.lit("http:"))).when(k == 3, F.concat(url, F.lit("#part"))).otherwise(url).alias("source_url"),
+        F.when(k == 4, F.replace(url, F.lit("//"), F.lit("//me@"))).otherwise(url).alias("requested_url"),
+        F.lit("2026-01-01T00:00:00Z").alias("started_at"),
+        F.when(k == 6, "2026-01-01T01:00:00.0+01:00").otherwise("2026-01-01T00:00:00.001Z").alias("lease_until"),
+        F.when(k == 5, "").otherwise("token").alias("lease_token"),
+        F.struct(F.lit("fetch").alias("name"), F.when(k == 1, "2").otherwise("1").alias("version")).alias("method"),
+        F.lit("r").alias("registry_digest"),
+    )
+    return capture.start_violations(starts, _methods(spark), "page_id")
+
+
+@query(
+    """WITH c AS (SELECT * FROM (VALUES (1, 17, 'navigation'), (2, 14, 'chain_acyclic'), (2, 17, 'navigation'), (3, 12, 'chain_contiguous'), (4, 11, 'chain_start'), (5, 13, 'chain_https'), (6, 7, 'status'), (7, 3, 'reason'), (8, 16, 'manual'),
+ (9, 18, 'archive_time'), (10, 19, 'archive_order'), (11, 5, 'content'), (12, 6, 'media_type'), (13, 15, 'chain_end')) AS v(k, check_ordinal, code))
+SELECT page_id, check_ordinal, code FROM pages JOIN c ON page_id % 15 = k"""
+)
+def q50_capture_attempts(spark, sf_dir):
+    """Pages as outcomes of captures; thirteen in fifteen break a rule, some of them two."""
+    k = F.col("page_id") % 15
+    a = F.concat(F.lit("https://host.example/p/"), F.col("page_id").cast("string"))
+    b, c, plain = F.concat(a, F.lit("/b")), F.concat(a, F.lit("/c")), F.replace(F.concat(a, F.lit("/b")), F.lit("https:"), F.lit("http:"))
+
+    def but(usual, **cases):
+        out = usual
+        for name, value in cases.items():
+            out = F.when(k == int(name[1:]), value).otherwise(out)
+        return out
+
+    def hop(x, y):
+        return F.struct(x.alias("from"), y.alias("to"))
+
+    none, bytes_ = F.lit(None).cast("string"), ~k.isin(6, 7, 13)
+    chain = but(F.array(hop(a, b)), k1=F.array(hop(a, b)), k2=F.array(hop(a, b), hop(b, a)), k3=F.array(hop(a, b), hop(plain, c)), k4=F.array(hop(c, b)), k5=F.array(hop(a, plain), hop(plain, b)), k6=F.array(hop(a, b)), k8=F.lit(None))
+    attempts = table(spark, sf_dir, "pages").select(
+        "page_id",
+        but(F.lit("captured"), k6=F.lit("unreachable"), k7=F.lit("transport_error"), k8=F.lit("manual_imported"), k13=F.lit("redirected_outside_authority")).alias("outcome"),
+        but(none, k6=F.lit("http_status"), k7=F.lit("dns_failure")).alias("reason"),
+        a.alias("source_url"),
+        a.alias("requested_url"),
+        but(b, k1=c, k2=b, k3=c, k6=none, k7=none, k8=none, k13=c).alias("final_url"),
+        F.lit("2026-01-02T00:00:00Z").alias("checked_at"),
+        but(none, k9=F.lit("2026-01-01T00:00:00Z"), k10=F.lit("2026-01-02T00:00:00.1Z")).alias("archive_snapshot_at"),
+        chain.alias("redirect_chain"),
+        F.when(k == 6, 200).when(~k.isin(7, 8, 13), 200).alias("response_status_code"),
+        F.when(~k.isin(6, 7, 8, 12, 13), "text/html").alias("media_type"),
+        F.when(bytes_ & (k != 11), "digest").alias("content_digest"),
+        F.when(bytes_, F.octet_length("html")).cast("long").alias("content_bytes"),
+        F.struct(but(F.lit("fetch"), k10=F.lit("archive")).alias("name"), F.lit("1").alias("version")).alias("method"),
+        F.lit("r").alias("registry_digest"),
+    )
+    return capture.attempt_violations(attempts, _methods(spark), "page_id")
+
+
+@query(
+    """WITH m AS (SELECT s_nationkey AS registry, s_suppkey AS k FROM supplier), l AS (SELECT registry, 'm' || k || ':1' AS o, '{"capabilities":["a","c' || (k % 3) || '"],"name":"m' || k || '","version":"1"}' AS line FROM m)
+SELECT registry, 'sha256:' || sha256('{"methods":[' || string_agg(line, ',' ORDER BY o) || ']}') AS registry_digest, count(*) AS n_methods FROM l GROUP BY registry"""
+)
+def q51_method_registries(spark, sf_dir):
+    """Suppliers as the methods that the registry of their nation declares."""
+    k = F.col("s_suppkey").cast("string")
+    methods = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("registry"), F.concat(F.lit("m"), k).alias("name"), F.lit("1").alias("version"), F.array(F.concat(F.lit("c"), (F.col("s_suppkey") % 3).cast("string")), F.lit("a")).alias("capabilities"))
+    return capture.registry_digests(methods)
+
+
+# -- whole tables with planted faults --------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_MATCHES_SQL}, v AS (SELECT m.key_digest, CASE WHEN doc_id % 4 = 2 AND doc_id >= 12 THEN 'skip' WHEN doc_id % 4 IN (0, 1) AND target = ref THEN CASE WHEN t_ident <> ident THEN 'changed' ELSE 'skip' END ELSE 'hold' END AS verdict FROM m JOIN k USING (key_digest))
+SELECT key_digest, count(*) AS n_matches, bool_or(verdict = 'changed') AS identity_changed FROM v WHERE verdict <> 'skip' GROUP BY 1"""
+)
+def q52_pull_request_conflicts(spark, sf_dir):
+    """The matches of all documents, of any language, against the keys of one pull request."""
+    keys, matches = _matches(spark, sf_dir)
+    return identity.conflicts(keys, matches, {"kind": "pull_request", "repository": "main", "pull_request_number": 12, "head_sha": "other"})
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn + (turn + 2) // 5 + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END AS turn FROM conversations UNION ALL SELECT conv_id, 100 FROM conversations WHERE turn <= 1 AND conv_id % 3 = 0),
+p AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t)
+SELECT conv_id, turn, CASE WHEN p IS NULL THEN 'genesis' WHEN p = turn THEN 'repeated' ELSE 'gap' END AS code, CASE WHEN p IS NULL THEN 1 WHEN p = turn THEN 2 ELSE 3 END AS check_ordinal
+FROM p WHERE (p IS NULL AND turn <> 0) OR p + 1 <> turn"""
+)
+def q53_position_faults(spark, sf_dir):
+    """All turns, renumbered with gaps; a quarter of the conversations starts late, a third has its first turns once more, far behind."""
+    c = table(spark, sf_dir, "conversations")
+    late = F.when(F.col("conv_id") % 4 == 0, 1).otherwise(0)
+    turns = c.select("conv_id", (F.col("turn") + F.floor((F.col("turn") + 2) / 5) + late).alias("turn"))
+    again = c.where("turn <= 1 and conv_id % 3 = 0").select("conv_id", F.lit(100).cast("long").alias("turn"))
+    return changes.position_violations(turns.union(again), "conv_id", "turn", 0)
+
+
+@query(
+    """SELECT e.event_id, CASE WHEN s.event_id IS NULL THEN 'no_start' WHEN e.event_type <> s.event_type THEN 'method' WHEN e.user_id % 3 <> s.user_id % 3 THEN 'url' WHEN e.ts < s.ts THEN 'too_early' ELSE 'settled' END AS verdict
+FROM events e LEFT JOIN events s ON e.event_id = CASE WHEN s.event_id % 3 = 0 THEN -1 - s.event_id ELSE s.event_id + 1 END"""
+)
+def q54_all_settlements(spark, sf_dir):
+    """Every event is a result and a reservation: of the event after it, or, if its number is divisible by 3, of none that there is."""
+    e = table(spark, sf_dir, "events")
+    url = (F.col("user_id") % 3).cast("string").alias("url")
+    results = e.select("event_id", F.col("event_type").alias("method"), url, F.col("ts").alias("checked_at"))
+    reserved = F.when(F.col("event_id") % 3 == 0, -1 - F.col("event_id")).otherwise(F.col("event_id") + 1)
+    starts = e.select(reserved.alias("event_id"), F.col("event_type").alias("method"), url, F.col("ts").alias("started_at"))
+    return authority.settlements(results, starts, "event_id").select("event_id", "verdict")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'undeclared' ELSE 'missing' END AS code FROM (SELECT DISTINCT CASE WHEN doc_id % 9 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def q55_all_declared(spark, sf_dir):
+    """All documents against the labels; a ninth of the documents under another number."""
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 9 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"))
+    return changes.set_differences(docs, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT source || '/' || lang AS name, count(DISTINCT doc_id % 7) AS n_owners FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 7) > 1")
+def q56_shared_names(spark, sf_dir):
+    """Names that more than one of seven owners claims."""
+    claims = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("name"), (F.col("doc_id") % 7).alias("owner"))
+    return changes.shared_names(claims)
+
+
+@query(
+    rf"""SELECT page_id, CAST(octet_length(encode(url)) AS INTEGER) AS ascii_units, 'sha256-' || sha256(url) AS segment, 'sha256:' || sha256(url) AS restored, page_id % 3 <> 1 AS html,
+ sha256(regexp_replace(regexp_replace(nfc_normalize(html), '{_SP}+', ' ', 'g'), '^ | $', '', 'g')) AS inline_sha256, page_id % 2 = 0 AS ascending FROM pages"""
+)
+def q57_text_rules(spark, sf_dir):
+    """Lengths, path segments, media types and orders over all pages."""
+    url, k = F.col("url"), F.col("page_id")
+    segment = V.path_segment(V.sha256(url))
+    kind = F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "application/xhtml").otherwise("TEXT/HTML")
+    order = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("b")))
+    return table(spark, sf_dir, "pages").select("page_id", V.utf16_length(url).alias("ascii_units"), segment.alias("segment"), V.from_path_segment(segment).alias("restored"), V.media_type_matches(kind, "text/*").alias("html"), F.sha2(V.normal_inline(F.col("html")), 256).alias("inline_sha256"), V.strictly_ascending(order).alias("ascending"))
