@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +51,39 @@ def position_violations(rows: DataFrame, chain: str, sequence: str, first: int =
     return rows.select(chain, sequence, code.alias("code")).where("code is not null").withColumn("check_ordinal", at)
 
 
+def by_chain(rows: DataFrame, chain: str, order: list[str]) -> DataFrame:
+    """`rows` with each chain together in one partition and in order: a fold streams over them, and a long chain spills instead of filling a row."""
+    return rows.repartition(chain).sortWithinPartitions(chain, *order)
+
+
 def chain_heads(rows: DataFrame, chain: str, order: list[str], payload: str, seed: Column) -> DataFrame:
-    """Fold sha256(previous hash + ':' + payload) along each chain; a chain's rows meet in one group, as a fold needs them."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, payload))), lambda x: x[payload])
-    head = F.aggregate(items, seed, lambda acc, x: F.sha2(F.concat(acc, F.lit(":"), F.coalesce(x, F.lit(""))), 256))
-    return rows.groupBy(chain).agg(head.alias("head"), F.count("*").alias("length"))
+    """(chain, head, length): sha256(previous hash + ':' + payload) folded along each chain. A chain is one task, which keeps one hash of it."""
+    kind = rows.select(chain).schema
+    kind.add("head", "string").add("length", "long")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, length = None, "", 0
+        types = None
+        for batch in batches:
+            types = batch.schema.field(0).type
+            done: list[tuple] = []
+            for key, text, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if not length or key != now:
+                    if length:
+                        done.append((now, head, length))
+                    now, head, length = key, first, 0
+                head = hashlib.sha256(f"{head}:{text or ''}".encode()).hexdigest()
+                length += 1
+            yield made(done, types)
+        if length:
+            yield made([(now, head, length)], types)
+
+    def made(done: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        keys, heads, lengths = zip(*done) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(heads, pa.string()), pa.array(lengths, pa.int64())], [chain, "head", "length"])
+
+    ordered = by_chain(rows.select(*dict.fromkeys([chain, *order, payload]), seed.alias("seed_")), chain, [*order, payload])
+    return ordered.select(chain, F.col(payload).cast("string"), "seed_").mapInArrow(fold, kind)
 
 
 def canonical_path(c: Column) -> Column:

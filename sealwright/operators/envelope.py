@@ -6,8 +6,11 @@ bounded by the limits of a release; releases are spread over the cluster. All va
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,24 +97,44 @@ def manifests(contracts: dict[str, str], objects: DataFrame) -> DataFrame:
 
 
 def _release_core(contracts: dict[str, str], sequence: Column, snapshot_id: Column, parent: Column, diff_digest: Column) -> Column:
-    return _object(release_contract=_quoted(contracts["release"]), release_sequence=sequence.cast("string"), snapshot_id=_quoted(snapshot_id), parent_release_id=_quoted(parent), diff_digest=_quoted(diff_digest))
+    return _object(**_release_members(contracts, sequence, snapshot_id, diff_digest), parent_release_id=_quoted(parent))
 
 
-def _chained(contracts: dict[str, str], rows: DataFrame, parents: DataFrame | None) -> DataFrame:
-    """(chain, sequence, parent_release_id, parent_snapshot_id, release_id). An id covers its parent's, so a chain's releases are folded in one group."""
-    chains = rows.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("sequence", "snapshot_id", "diff_digest"))).alias("all_"))
-    none = F.lit(None).cast("string")
-    chains = chains.withColumns({"p_r": none, "p_s": none}) if parents is None else chains.join(parents.select("chain", F.col("release_id").alias("p_r"), F.col("snapshot_id").alias("p_s")), "chain", "left")
+def _release_members(contracts: dict[str, str], sequence: Column, snapshot_id: Column, diff_digest: Column) -> dict[str, Column]:
+    """All but the parent."""
+    return {"release_contract": _quoted(contracts["release"]), "release_sequence": sequence.cast("string"), "snapshot_id": _quoted(snapshot_id), "diff_digest": _quoted(diff_digest)}
+
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(done, -1))
-        parent = F.coalesce(last["release_id"], F.col("p_r"))
-        core = _release_core(contracts, x["sequence"], x["snapshot_id"], parent, x["diff_digest"])
-        item = F.struct(x["sequence"].alias("sequence"), parent.alias("parent_release_id"), F.coalesce(last["snapshot_id"], F.col("p_s")).alias("parent_snapshot_id"), sha256(core).alias("release_id"), x["snapshot_id"].alias("snapshot_id"))
-        return F.concat(done, F.array(item))
+#: Stands for the parent in a release core until the fold knows it; no text holds it.
+PARENT = "\x00parent\x00"
 
-    empty = F.array().cast("array<struct<sequence: bigint, parent_release_id: string, parent_snapshot_id: string, release_id: string, snapshot_id: string>>")
-    return chains.select("chain", F.explode(F.aggregate("all_", empty, step)).alias("x")).select("chain", "x.sequence", "x.parent_release_id", "x.parent_snapshot_id", "x.release_id")
+
+def _chained(contracts: dict[str, str], rows: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """(chain, sequence, parent_release_id, parent_snapshot_id, release_id). An id covers its parent's, so a chain's releases are folded in one task, which keeps the last of them."""
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"p_r": none, "p_s": none}) if parents is None else rows.join(parents.select("chain", F.col("release_id").alias("p_r"), F.col("snapshot_id").alias("p_s")), "chain", "left")
+    core = _object(**_release_members(contracts, F.col("sequence"), F.col("snapshot_id"), F.col("diff_digest")), parent_release_id=F.lit(PARENT))
+    rows = rows.select("chain", "sequence", "snapshot_id", core.alias("core_"), "p_r", "p_s", _quoted(F.col("p_r")).alias("q_r"), "diff_digest")
+    names = ["chain", "sequence", "parent_release_id", "parent_snapshot_id", "release_id"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, release, snapshot = False, None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for chain, sequence, own, text, p_r, p_s, q_r in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or chain != now:
+                    begun, now, release, snapshot = True, chain, None, None
+                parent, quoted = (p_r, q_r) if release is None else (release, f'"{release}"')
+                parent_snapshot = p_s if snapshot is None else snapshot
+                release, snapshot = None if text is None else "sha256:" + hashlib.sha256(text.replace(PARENT, quoted).encode()).hexdigest(), own
+                out.append((chain, sequence, parent, parent_snapshot, release))
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.string(), pa.string()))], names)
+
+    kind = rows.select("chain", "sequence").schema
+    for name in names[2:]:
+        kind.add(name, "string")
+    return C.by_chain(rows, "chain", ["sequence", "snapshot_id", "diff_digest"]).drop("diff_digest").mapInArrow(fold, kind)
 
 
 def seal(contracts: dict[str, str], heads: DataFrame, objects: DataFrame, changes: DataFrame, kind: T.StructType, state: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:

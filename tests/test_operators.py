@@ -205,3 +205,16 @@ def test_manifest_rules(spark):
     assert issue(("data/1.jsonl", d, 5, 1), ("data/1.jsonl", d, 5, 1)) == "order"
     assert issue(("data/g.jsonl", d, 5, 1)) == "path" and issue(("data/1.jsonl", d, 101, 1)) == "size"
     assert issue(("data/1.jsonl", d, 5, 1), release="d") == "not_canonical"
+
+
+def test_long_chains(spark):
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("long", i, f"t{i}") for i in range(25_000)] + [(None, 2, "b"), (None, 1, None), ("one", 1, "é")]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "chain string, n int, text string")
+    got = {r["chain"]: (r["head"], r["length"]) for r in changes.chain_heads(df, "chain", ["n"], "text", F.lit("seed")).collect()}
+    want = "seed"
+    for i in range(25_000):
+        want = h(f"{want}:t{i}")
+    assert got == {"long": (want, 25_000), None: (h(h("seed:") + ":b"), 2), "one": (h("seed:é"), 1)}
+    assert changes.chain_heads(df.limit(0), "chain", ["n"], "text", F.lit("seed")).count() == 0
