@@ -12,6 +12,7 @@ from .quality import op4_quality
 from .simhash import op3_simhash
 from .tokencount import op5_tokencount
 from .toolcalls import OP6_SQL, op6_toolcalls
+from .warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_passages": op1_passages,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_maintext": op9_maintext,
     "op10_decontaminate": op10_decontaminate,
+    "op11_warc": op11_warc,
 }
 ORACLES: dict[str, str] = {
     "op6_toolcalls": OP6_SQL,
     "op7_neighbours": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_warc": OP11_SQL,
 }
