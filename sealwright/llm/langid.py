@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
-Learning counts character n-grams of letters for each language and keeps those that are typical of it. They are put
-into bit-sliced Bloom filters: one table of slots whose bits are the languages, so that one probe, the AND of a few
-slots, returns all languages that contain an n-gram. A text's n-grams are looked up together, the
+Learning puts every character n-gram of letters of a language's sample into bit-sliced Bloom filters: one table of slots whose bits are the
+languages, so that one probe, the AND of a few slots, returns all languages that contain an n-gram. The tasks that read the sample fill slots, and
+Spark joins the masks of a slot by OR, so the driver gathers one row a slot at most. A text's n-grams are looked up together, the
 popcount of each language is corrected for the rate of false positives measured on the filled filter, and the largest decides.
 """
 
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, held_out, materialize, read
+from .common import as_bytes, held_out, read
 from .wordhash import mix
 
 #: Bound of the training sample: documents of a language (the smallest hashes of their ids). Their whole texts are learned.
 MOST_DOCS = 1500
-SIZES = (2, 3, 4)
-SLOT_BITS, PROBES, MOST_LANGS = 21, 3, 64
+SIZES = (3, 4, 5)
+SLOT_BITS, PROBES, MOST_LANGS = 21, 3, 512
 #: Characters that are looked at together; the n-grams across a cut are counted too.
 PIECE = 1 << 20
 
@@ -96,19 +96,30 @@ def grams(whole: np.ndarray, old: int = 0) -> np.ndarray:
 
 @dataclass
 class Filters:
+    """slots[g] has the masks of the languages 64 g to 64 g + 63."""
+
     langs: list[str] = field(default_factory=list)
-    slots: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOT_BITS, np.uint64))
+    slots: list[np.ndarray] = field(default_factory=list)
     false: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def _group(self, g: int) -> np.ndarray:
+        while len(self.slots) <= g:
+            self.slots.append(np.zeros(1 << SLOT_BITS, np.uint64))
+        return self.slots[g]
+
     def put(self, lang: int, hashes: np.ndarray) -> None:
         for at in self._at(hashes):
-            np.bitwise_or.at(self.slots, at, np.uint64(1 << lang))
+            self._group(lang // 64)[at] |= np.uint64(1 << lang % 64)
+
+    def put_masks(self, group: int, at: np.ndarray, masks: np.ndarray) -> None:
+        self._group(group)[at] |= masks
 
     def close(self) -> "Filters":
         """A bit of a slot is set at random with its fill rate; all probes must meet one."""
-        self.false = np.array([float(((self.slots >> np.uint64(k)) & np.uint64(1)).mean()) ** PROBES for k in range(len(self.langs))])
+        self._group((len(self.langs) - 1) // 64 if self.langs else 0)
+        self.false = np.array([float(((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** PROBES for k in range(len(self.langs))])
         if len(self.langs) <= 8:
-            self.slots = self.slots.astype(np.uint8)
+            self.slots = [x.astype(np.uint8) for x in self.slots]
         return self
 
     @staticmethod
@@ -123,14 +134,17 @@ class Filters:
         n = 0
         for hashes in text_grams(text):
             n += len(hashes)
-            mask = None
-            for slot in self._at(hashes):
-                mask = self.slots[slot] if mask is None else mask & self.slots[slot]
-            if self.slots.dtype == np.uint8:
-                count = np.bincount(mask, minlength=256)
-                total += [count[(np.arange(256) >> k) & 1 == 1].sum() for k in range(len(self.langs))]
-            else:
-                total += [int(((mask >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(len(self.langs))]
+            at = self._at(hashes)
+            for g, slots in enumerate(self.slots):
+                mask = slots[at[0]]
+                for k in at[1:]:
+                    mask = mask & slots[k]
+                some = range(64 * g, min(64 * g + 64, len(self.langs)))
+                if slots.dtype == np.uint8:
+                    count = np.bincount(mask, minlength=256)
+                    total[some] += [count[(np.arange(256) >> k) & 1 == 1].sum() for k in range(len(some))]
+                else:
+                    total[some] += [int(((mask >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in some]
         share = np.clip((total - self.false * n) / np.maximum(1 - self.false, 1e-9) / max(1, n), 0, 1)
         best = int(np.argmax(share))
         return self.langs[best], float(share[best] / max(share.sum(), 1e-12)) if share[best] > 0 else 0.0
@@ -139,12 +153,12 @@ class Filters:
 def train(docs: DataFrame, most: int = MOST_DOCS) -> Filters:
     """Filters of the languages of not held-out rows with a language. Raises if there are more than MOST_LANGS.
 
-    Learned from whole texts of at most `most` documents of a language. An n-gram is put in the filter of every language in which it is at least half
-    as frequent as where it is most frequent, so a filter has the n-grams that are typical of its language, not the stray ones. What the driver
-    gathers, the n-grams, is bounded by the sample.
+    Learned from one whole text each (that with the smallest hash, where an id has several) of at most `most` ids of a language: those with the
+    smallest hashes. Every n-gram of them is in the filter of its language. However often an id is repeated, it counts once.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.select("lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    ids = known.select("lang", "doc_id").distinct()
+    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGS + 1).collect()}
     langs = sorted(sizes)
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
@@ -153,42 +167,27 @@ def train(docs: DataFrame, most: int = MOST_DOCS) -> Filters:
     # the smallest hashes of ids lie below a bound that leaves about four times as many as are wanted
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 4 * most / sizes[lang]))])
     order = F.xxhash64("doc_id")
-    few = known.select("lang", "doc_id").where(order.cast("double") <= (share[F.col("lang")] - 0.5) * float(2**64)).distinct()
+    few = ids.where(order.cast("double") <= (share[F.col("lang")] - 0.5) * float(2**64))
     chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("k") <= most).select("lang", "doc_id")
+    code = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import defaultdict
-
-        held: dict[str, list] = defaultdict(list)
-
-        def fold(parts: list) -> list:
-            h = np.concatenate([p[0] for p in parts])
-            u, back = np.unique(h, return_inverse=True)
-            return [(u, np.bincount(back, np.concatenate([p[1] for p in parts])))]
-
+        own = Filters(langs)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for part in text_grams(text):
-                    h, n = np.unique(part, return_counts=True)
-                    held[lang].append((h, n.astype(np.float64)))
-                    if len(held[lang]) > 64:
-                        held[lang] = fold(held[lang])
-        for lang, parts in held.items():
-            (h, n), = fold(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    # at most MOST_LANGS * most short rows
-    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.col("text").cast("string").alias("text"))
-    counts = sample.mapInArrow(run, "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2")
-    counts = materialize(counts, "langid-counts")
-    size = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(size), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    most_rate = rate.groupBy("gram").agg(F.max("rate").alias("top"))
-    typical = materialize(rate.join(most_rate, "gram").where("rate >= 0.5 * top").select("lang", "gram", "rate"), "langid-grams")
+                    own.put(code[lang], part)
+        for g, slots in enumerate(own.slots):
+            at = np.flatnonzero(slots)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at.astype(np.int32)), pa.array(slots[at].view(np.int64))], ["g", "slot", "mask"])
+
+    # at most MOST_LANGS * most short rows are broadcast; of repeated rows of an id, partial minima leave one text
+    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.col("text").cast("string").alias("text"))
+    sample = sample.groupBy("lang", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("lang", "text")
+    filled = sample.mapInArrow(run, "g int, slot int, mask long").groupBy("g", "slot").agg(F.bit_or("mask").alias("mask"))
     filters = Filters(langs)
-    for k, lang in enumerate(langs):
-        kept = typical.where(F.col("lang") == lang).select("gram").toPandas()
-        filters.put(k, kept["gram"].to_numpy(np.int64).view(np.uint64))
+    for g, part in filled.toPandas().groupby("g"):
+        filters.put_masks(int(g), part["slot"].to_numpy(np.intp), part["mask"].to_numpy(np.int64).view(np.uint64))
     return filters.close()
 
 
@@ -196,7 +195,7 @@ def languages(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, lang_pred, score.
 
     Texts that are null or have no letter are `und` with score 0, and so is every text when no language could be
-    learned. Ties go to the language that sorts first. Repeated rows get the same answer; other columns are ignored.
+    learned. Ties go to the language that sorts first. Repeated rows get the same answer and are learned once; other columns are ignored.
     """
     filters = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))))
 

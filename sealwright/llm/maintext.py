@@ -245,7 +245,7 @@ def blocks(html: str) -> list[Block]:
             if content:
                 container = True
                 hint = -1
-                chrome = chrome and any(s[0] in CHROME_TAGS for s in stack)
+                chrome = chrome and any(opened.get(t) for t in CHROME_TAGS)
             elif strong or tag in CHROME_TAGS or tag == "svg" or tag == "header" and not container:
                 chrome = True
             elif named:

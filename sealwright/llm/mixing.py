@@ -148,7 +148,8 @@ def mix(
     taken = blocks.where("room > 0 or epoch = 0").select(F.col("s").alias("of"), F.col("block").alias("part"), "epoch", "rank", "room", "size")
     laid = placed(rows).drop("total", "blocks", "want", "epochs")
     out = laid.join(taken, F.col("s").eqNullSafe(F.col("of")) & (F.col("block") == F.col("part"))).drop("of", "part")
-    out = out.withColumn("order", F.xxhash64(s, "epoch", "k"))
+    # rows of one id lie apart by their texts
+    out = out.withColumn("order", F.xxhash64(s, "epoch", "k", F.col("row").getField(text_col).cast("string")))
     # whole blocks pass; only the rows of a cut block are ordered and summed, and a block is bounded
     whole = out.where("size <= room").withColumn("sum", F.lit(0).cast("long"))
     cut = out.where("size > room").withColumn("sum", F.sum("n").over(Window.partitionBy("s", "block", "epoch").orderBy("order", "k").rowsBetween(Window.unboundedPreceding, 0)))

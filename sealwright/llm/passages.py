@@ -617,15 +617,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document, which keeps it or loses it to a still smaller one, so that each passage stays in some document.
     A passage is cut from its first word to the start of the word after its last. Further exact copies of a text of
     `min_words` words, and documents of which no word is left after a cut, go; null, empty and untouched texts stay as they are.
-    An integer column n_chars, if there is one, is set to the new number of characters of a cut text.
+    An integer column n_chars, if there is one, is set to the new number of characters of a cut text. Columns may have any other names.
     """
     _, cuts, known = _spans(docs, id_col, text_col, width, min_words, similarity, hashes)
     cuts = _merged(cuts.withColumn("first_doc", F.lit(0)), ["rep"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     gone = (F.col("ent") != F.col("rep")) & (F.col("n_words") >= min_words)
-    fate = known.join(cuts, "rep", "left").where(gone | F.col("spans").isNotNull()).select(F.col("doc").alias("doc_"), F.col("mark").alias("mark_"), gone.alias("gone_"), F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), lambda x: x.cast("int")).alias("spans_"))
+    # names that no column of `docs` has
+    free = "_"
+    while any(c.endswith(free) for c in docs.columns):
+        free += "_"
+    doc_, mark_, gone_, spans_ = (f"{c}{free}" for c in ("doc", "mark", "gone", "spans"))
+    fate = known.join(cuts, "rep", "left").where(gone | F.col("spans").isNotNull()).select(F.col("doc").alias(doc_), F.col("mark").alias(mark_), gone.alias(gone_), F.transform(F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), lambda x: x.cast("int")).alias(spans_))
     # an id, or its absence, does not name one text
-    same = docs[id_col].cast("long").eqNullSafe(F.col("doc_")) & (F.md5(docs[text_col].cast("string").cast("binary")) == F.col("mark_"))
-    joined = docs.join(fate, same, "left").where("not coalesce(gone_, false)").drop("doc_", "mark_", "gone_")
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(doc_)) & (F.md5(docs[f"`{text_col}`"].cast("string").cast("binary")) == F.col(mark_))
+    joined = docs.join(fate, same, "left").where(~F.coalesce(F.col(gone_), F.lit(False))).drop(doc_, mark_, gone_)
     at = joined.columns.index(text_col)
     schema = T.StructType([f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields])
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -634,11 +639,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for whole in batches:
             for b in slices(whole, at):
                 text, kept, sizes = [], [], []
-                for s, spans_ in zip(as_bytes(b.column(at)), b.column(b.num_columns - 1).to_pylist()):
-                    if spans_:
+                for s, cut in zip(as_bytes(b.column(at)), b.column(b.num_columns - 1).to_pylist()):
+                    if cut:
                         starts = word_spans(s.lower())[0]
                         edge = np.append(starts, len(s))
-                        pick = np.minimum(np.array(spans_).reshape(-1, 2), len(starts))
+                        pick = np.minimum(np.array(cut).reshape(-1, 2), len(starts))
                         parts, last = [], 0
                         for lo, hi in pick:
                             parts.append(s[last : edge[lo]])

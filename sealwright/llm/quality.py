@@ -127,7 +127,10 @@ class Attention:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Attention:
-    """Fit on at most `most` labelled, not held-out documents, both labels alike as far as they go and weighted back to their shares."""
+    """Fit on at most `most` labelled, not held-out documents, both labels alike as far as they go and weighted back to their shares.
+
+    An id that several rows have is one document, whose text is the one with the smallest hash.
+    """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
@@ -145,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Atte
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary()), b.column(2)], ["doc_id", "bag", "y"])
 
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
     rows = sorted(sample.mapInArrow(run, "doc_id long, bag binary, y int").collect(), key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["y"] for r in rows], np.float64)
     share = {k: totals[k] / max(1, quota[k]) for k in totals}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -287,13 +288,55 @@ def test_language_filters_equal_exact_sets():
     asked = np.concatenate((sets[0][:25_000], rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)))
     mask = None
     for slot in f._at(asked):
-        mask = f.slots[slot] if mask is None else mask & f.slots[slot]
+        mask = f.slots[0][slot] if mask is None else mask & f.slots[0][slot]
     for k, x in enumerate(sets):
         bit, held = (mask >> k) & 1 == 1, np.isin(asked, x)
         assert bit[held].all()  # no false negative
         assert abs(bit[~held].mean() - f.false[k]) < 0.005
 
 
+def test_a_language_of_few_ids_in_many_rows_is_learned(spark):
+    few = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:7]
+    rows = [(i, f"qqz xqw zzq wqx qzx {k} xwq", "xx") for i in few for k in range(400)] + [(1000 + i, f"der hund und die katze laufen weit {i}", "de") for i in range(3000)]
+    got = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {(r["lang"], r["lang_pred"]) for r in got.join(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("doc_id", "lang").distinct(), "doc_id").select("lang", "lang_pred").distinct().collect()} == {("xx", "xx"), ("de", "de")}
+
+
+def test_trained_filters_hold_all_ngrams_of_many_languages(spark):
+    import numpy as np
+
+    rows = [(i, " ".join(chr(0x4E00 + 100 * lang + (i * 7 + k) % 90) * 3 for k in range(5)), f"l{lang:03}") for lang in range(70) for i in range(lang * 5, lang * 5 + 5)]
+    f = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert f.langs == [f"l{k:03}" for k in range(70)] and len(f.slots) == 2
+    for i, text, lang in rows:
+        k = f.langs.index(lang)
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for hashes in langid.text_grams(text):
+                assert all(((f.slots[k // 64][at] >> np.uint64(k % 64)) & np.uint64(1)).all() for at in f._at(hashes))
+            assert f.predict(text)[0] == lang
+
+
+def test_one_labelled_id_in_many_rows_is_one_document(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"word{i} some text of {i} here") for i in ids] + [(ids[0], f"other {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = quality.quality(docs, labels)
+    assert got.count() == docs.count()
+
+
+def test_hidden_containers_take_linear_time():
+    html = "<div hidden><article>" * 47_000
+    began = time.time()
+    maintext.blocks(html)
+    assert time.time() - began < 4
+
+
+def test_places_of_one_id_differ(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c d e", "s"), (2, "x", "s")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len({r["place"] for r in got}) == len(got) == 3
+
+
 def test_attention_gradients_equal_differences():
     import numpy as np
 
