@@ -20,17 +20,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without a doc_id stay. Rows that share a doc_id are judged by their own texts; of those in one group one stays.
     """
-    groups = materialize(simhash.grouped(docs.where("doc_id is not null")), "near-duplicates")
+    groups = materialize(simhash.grouped(docs.where("doc_id is not null").select("doc_id", "text")), "near-duplicates")
     many = materialize(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")), "repeated-ids")
     gone = groups.where("component_id <> id").select(F.col("id").alias("doc_id"))
     if not many.limit(1).count():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     once = docs.join(many.union(gone), "doc_id", "left_anti").select(*docs.columns)
-    several = docs.join(many, "doc_id", "left_semi").withColumn("text_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    prints = simhash.fingerprints(several.dropDuplicates(["text_"]), "text_").withColumnRenamed("id", "text_")
+    # the whole row is one column, so that its names meet no others
+    rows = docs.join(many, "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    several = rows.withColumn("own", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    texts = several.groupBy("own").agg(F.min("text").alias("text"))
+    prints = simhash.fingerprints(texts, "own").withColumnRenamed("id", "own")
     own = groups.where("component_id = id").select(F.col("id").alias("doc_id"), "fp", "root").distinct()
-    kept = several.join(prints, "text_").join(own, ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"])
-    return once.unionByName(kept.select(*docs.columns))
+    # of the rows of an id in one group, the one with the least text, then the least row as JSON
+    order = F.struct(F.coalesce("text", F.lit("")), F.to_json("row"))
+    kept = several.join(prints, "own").join(own, ["doc_id", "fp"]).groupBy("doc_id", "root").agg(F.min_by("row", order).alias("row"))
+    return once.unionByName(kept.select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
