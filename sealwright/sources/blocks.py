@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK = 64 << 20
 CHUNK = 4 << 20
+#: Options that bound a tree.
+LIMITS_OPTIONS = ("maxFiles", "maxFileBytes", "maxTotalBytes")
 
 
 def _local(root: str) -> str | None:
@@ -106,7 +108,7 @@ class _Reader(DataSourceReader):
             raise ValueError("a path is needed")
         self.root = options["path"]
         self.block = int(options.get("blockBytes", BLOCK))
-        limits = {k: options.get(k) for k in ("maxFiles", "maxFileBytes", "maxTotalBytes")}
+        limits = {k: options.get(k) for k in LIMITS_OPTIONS}
         self.limits = {k: int(v) if v is not None else None for k, v in limits.items()}
         if self.block <= 0 or any(v is not None and v <= 0 for v in self.limits.values()):
             raise ValueError("limits must be positive")
