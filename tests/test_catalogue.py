@@ -1,7 +1,7 @@
 import pytest
 from conftest import same_as_duckdb
 
-from sealwright.plans import rules  # noqa: F401  (adds its queries to the catalogue)
+from sealwright.plans import rules, trees  # noqa: F401  (they add their queries to the catalogue)
 from sealwright.plans.catalogue import ORACLES, QUERIES
 
 
