@@ -41,16 +41,23 @@ def closure_violations(resolved: DataFrame, historical: DataFrame, current: Data
     return cyclic.union(unknown).union(stale)
 
 
-def conflict_verdict(candidate: dict) -> Column:
+#: Says that matches carry no live parent.
+UNREAD = object()
+
+
+def conflict_verdict(candidate: dict, live_parent: str | None | object = UNREAD) -> Column:
     """hold, hold_changed, skip or an error for one match (columns kind, repository, pull_request_number, head_sha, candidate_reference,
     candidate_digest, target_reference, target_identity_digest) joined to its key (key_reference, key_identity_digest).
 
-    `candidate` has kind and, by kind, repository, pull_request_number, head_sha, or candidate_reference, candidate_digest.
+    `candidate` has kind and, by kind, repository, pull_request_number, head_sha, or candidate_reference, candidate_digest. With `live_parent`, a digest or null, the
+    column parent_id of a live match must be the same: it was read at another published state otherwise.
     """
     kind = F.col("kind")
     own = kind.isin("live", "merged_lineage") & (F.col("target_reference") == F.col("key_reference"))
     changed = F.col("key_identity_digest").isNotNull() & ~F.col("target_identity_digest").eqNullSafe(F.col("key_identity_digest"))
     rules: list[tuple[Column, str]] = [(F.col("key_reference").isNull(), "error_unknown_key")]
+    if live_parent is not UNREAD:
+        rules.append(((kind == "live") & ~F.col("parent_id").eqNullSafe(F.lit(live_parent)), "error_other_parent"))
     if candidate["kind"] == "pull_request":
         same = F.col("repository") == candidate["repository"]
         number = F.col("pull_request_number")
@@ -67,21 +74,21 @@ def conflict_verdict(candidate: dict) -> Column:
     return out.otherwise("hold")
 
 
-def conflicts(keys: DataFrame, matches: DataFrame, candidate: dict) -> DataFrame:
+def conflicts(keys: DataFrame, matches: DataFrame, candidate: dict, live_parent: str | None | object = UNREAD) -> DataFrame:
     """(key_digest, n_matches, identity_changed) of the keys with a held match. keys: key_digest, key_reference, key_identity_digest."""
-    judged = matches.join(keys, "key_digest", "left").withColumn("verdict", conflict_verdict(candidate))
+    judged = matches.join(keys, "key_digest", "left").withColumn("verdict", conflict_verdict(candidate, live_parent))
     held = judged.where(F.col("verdict").isin("hold", "hold_changed"))
     return held.groupBy("key_digest").agg(F.count("*").alias("n_matches"), F.bool_or(F.col("verdict") == "hold_changed").alias("identity_changed"))
 
 
-def conflict_violations(keys: DataFrame, matches: DataFrame, candidate: dict) -> DataFrame:
-    """(key_digest, check_ordinal, code): keys given twice, and matches that contradict the candidate or belong to no key.
+def conflict_violations(keys: DataFrame, matches: DataFrame, candidate: dict, live_parent: str | None | object = UNREAD) -> DataFrame:
+    """(key_digest, check_ordinal, code): keys given twice, and matches that contradict the candidate, belong to no key or were read at another live parent.
 
     `conflicts` is meaningful only where this is empty.
     """
     twice = keys.groupBy("key_digest").agg(F.count("*").alias("n")).where("n > 1").select("key_digest", F.lit(1).alias("check_ordinal"), F.lit("repeated_key").alias("code"))
-    judged = matches.join(keys, "key_digest", "left").withColumn("code", conflict_verdict(candidate)).where(F.col("code").startswith("error_"))
-    ordinal = F.when(F.col("code") == "error_unknown_key", 2).when(F.col("code") == "error_other_head", 3).otherwise(4)
+    judged = matches.join(keys, "key_digest", "left").withColumn("code", conflict_verdict(candidate, live_parent)).where(F.col("code").startswith("error_"))
+    ordinal = F.when(F.col("code") == "error_unknown_key", 2).when(F.col("code") == "error_other_head", 3).when(F.col("code") == "error_other_parent", 5).otherwise(4)
     return twice.union(judged.select("key_digest", ordinal.alias("check_ordinal"), F.substring("code", 7, 99).alias("code")).distinct())
 
 
@@ -204,3 +211,100 @@ def transition_violations(transitions: DataFrame) -> DataFrame:
     named = t.select(F.explode(F.array_compact(F.concat(F.array("surviving", "original", "continuing", "predecessor", "successor", "subject"), lists))).alias("s"))
     out = out.union(of(named.where(~F.col("s").rlike(IDENTIFIER)), "s", 9, "grammar"))
     return out.union(of(resolutions(t).where("root is null"), "src", 8, "cycle")).distinct()
+
+
+# -- a projection of identities that goes on from a prior one -----------------------------------------------------------
+
+
+def _last(subjects: DataFrame, column: str, moves: DataFrame) -> DataFrame:
+    """`subjects` with `column` replaced by its root among `moves` (src, root), where it has one."""
+    return subjects.join(moves.select(F.col("src").alias(column), "root"), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+
+
+def moves(prior: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(src, root) of the new edges alone, on top of the flat resolutions `prior` (src, root); root is null on or behind a cycle. Written.
+
+    A new edge's target is first taken to where it stands now. After that no target is a source of `prior`, so the rounds of the closure run over the new
+    edges, however large `prior` is; it is looked up once.
+    """
+    edges = transition_edges(transitions).groupBy("src").agg(F.min("dst").alias("dst"))
+    return written(closure(_last(edges, "dst", prior)).select("src", "root"), "identity-moves")
+
+
+def extended_resolutions(prior: DataFrame, moved: DataFrame) -> DataFrame:
+    """(src, root) of all subjects that resolve: prior ones whose root has moved on, and the new ones (`moved`, as `moves` gives them).
+
+    Each prior row is looked up by its root in the new edges; those with another root stay as they are.
+    """
+    ahead = prior.join(moved.select(F.col("src").alias("root"), F.col("root").alias("next"), F.lit(True).alias("hit")), "root", "left")
+    went = ahead.select("src", F.when(F.col("hit"), F.col("next")).otherwise(F.col("root")).alias("root"))
+    return went.unionByName(moved.join(prior.select("src"), "src", "left_anti"))
+
+
+def extended_branches(prior: DataFrame, prior_branches: DataFrame, moved: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(original, child) of all splits, children at their present identity. `prior_branches` has those of the prior projection."""
+    new = transitions.where("kind = 'split'").select("original", F.explode("new").alias("child")).distinct()
+    solid = moved.where("root is not null")
+    return _last(prior_branches.select("original", "child").unionByName(_last(new, "child", prior)), "child", solid).select("original", "child").distinct()
+
+
+def extended_retired(prior_retired: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(subject): retired before or by the transitions."""
+    return prior_retired.select("subject").union(retired_subjects(transitions)).distinct()
+
+
+def extension_violations(prior: DataFrame, prior_branches: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(subject, check_ordinal, code): what `transition_violations` gives of the transitions alone, and what they contradict in the prior projection.
+
+    7 two_resolutions: a prior source gets another target. 8 cycle, through prior resolutions too. 6 other_split: a prior split gets other children.
+    """
+    own = transition_violations(transitions)
+    edges = transition_edges(transitions).distinct()
+    twice = edges.join(prior, "src").where("dst <> root").select(F.col("src").alias("subject"), F.lit(7).alias("check_ordinal"), F.lit("two_resolutions").alias("code"))
+    cycle = moves(prior, transitions).where("root is null").select(F.col("src").alias("subject"), F.lit(8).alias("check_ordinal"), F.lit("cycle").alias("code"))
+    was = prior_branches.groupBy("original").agg(F.array_sort(F.collect_set("child")).alias("was"))
+    new = transitions.where("kind = 'split'").select("original", F.array_sort("new").alias("new"))
+    other = new.join(was, "original").where("not new <=> was").select(F.col("original").alias("subject"), F.lit(6).alias("check_ordinal"), F.lit("other_split").alias("code"))
+    return own.union(twice).union(cycle).union(other).distinct()
+
+
+def projection_violations(resolved: DataFrame, branches: DataFrame, retired: DataFrame, historical: DataFrame, current: DataFrame) -> DataFrame:
+    """(subject, check_ordinal, code) of a projection that is not closed over history and the current subjects (each `id`, without repeats).
+
+    Of resolutions (src, root): 1 cycle, 2 not_historical, 3 target_not_current, 4 source_current, 5 source_not_retired, 6 self. Of retired subjects: 7 retired_not_historical,
+    8 retired_current. Of splits (original, child): 9 original_not_historical, 10 no_children (a null child and no other), 11 child_is_original, 12 repeated_child, 13 child_not_current,
+    14 continuation: the original resolves to none of its children. Every rule is a semi or anti join on a subject.
+    """
+
+    def of(rows: DataFrame, subject: str, ordinal: int, code: str) -> DataFrame:
+        return rows.select(F.col(subject).alias("subject"), F.lit(ordinal).alias("check_ordinal"), F.lit(code).alias("code"))
+
+    def known(rows: DataFrame, column: str, among: DataFrame, how: str) -> DataFrame:
+        return rows.join(among.select(F.col(among.columns[0]).alias(column)), column, how)
+
+    ended = resolved.where("root is not null")
+    children = branches.where("child is not null")
+    whole = branches.groupBy("original").agg(F.count("child").alias("n"), F.countDistinct("child").alias("d"))
+    held = children.select("original", F.col("child").alias("root")).distinct()
+    went = ended.select(F.col("src").alias("original"), "root").join(branches.select("original").distinct(), "original", "left_semi")
+    gone = retired.select("subject").distinct()
+    parts = [
+        of(resolved.where("root is null"), "src", 1, "cycle"),
+        of(known(resolved, "src", historical, "left_anti"), "src", 2, "not_historical"),
+        of(known(ended, "root", current, "left_anti"), "src", 3, "target_not_current"),
+        of(known(resolved, "src", current, "left_semi"), "src", 4, "source_current"),
+        of(known(resolved, "src", gone, "left_anti"), "src", 5, "source_not_retired"),
+        of(ended.where("src = root"), "src", 6, "self"),
+        of(known(gone, "subject", historical, "left_anti"), "subject", 7, "retired_not_historical"),
+        of(known(gone, "subject", current, "left_semi"), "subject", 8, "retired_current"),
+        of(known(whole, "original", historical, "left_anti"), "original", 9, "original_not_historical"),
+        of(whole.where("n = 0"), "original", 10, "no_children"),
+        of(children.where("child = original"), "original", 11, "child_is_original"),
+        of(whole.where("n > d"), "original", 12, "repeated_child"),
+        of(known(children, "child", current, "left_anti"), "original", 13, "child_not_current"),
+        of(went.join(held, ["original", "root"], "left_anti"), "original", 14, "continuation"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
