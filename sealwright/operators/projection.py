@@ -213,3 +213,76 @@ def inventory_changes(before: DataFrame, after_affected: DataFrame, affected_pat
     both = was.join(after_affected, "path", "full").join(touched, "path", "left")
     action = F.when(F.col("digest").isNull() & F.col("touched"), "delete").when(F.col("digest").isNull() | F.col("digest").eqNullSafe(F.col("was")), "carry").otherwise("write")
     return both.select("path", action.alias("action"), F.coalesce("digest", "was").alias("digest"), F.coalesce("bytes", "was_bytes").alias("bytes"), F.coalesce("rows", "was_rows").alias("rows"))
+
+
+# -- what a writer and a successor refuse ------------------------------------------------------------------------------
+
+
+def leaf_violations(leaves: DataFrame) -> DataFrame:
+    """(path, check_ordinal, code) of leaves (path) that cannot route: 1 path: no shard's name, 2 duplicate, 3 overlap: below another leaf.
+
+    `route` is meaningful only where this is empty. Ancestors are three prefixes at most, so the last is an equi-join.
+    """
+    known = leaves.select("path", F.regexp_extract("path", r"\Adata/([0-9a-f]{1,4})\.jsonl\z", 1).alias("prefix"))
+    bad = known.where("coalesce(prefix, '') = ''").select("path", F.lit(1).alias("check_ordinal"), F.lit("path").alias("code")).distinct()
+    twice = known.groupBy("path").count().where("count > 1").select("path", F.lit(2), F.lit("duplicate"))
+    above = known.where("length(prefix) > 1").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix") - 1), lambda i: F.substring("prefix", F.lit(1), i))).alias("prefix"))
+    inside = above.join(known.where("prefix <> ''").select("prefix").distinct(), "prefix", "left_semi").select("path").distinct()
+    return bad.union(twice).union(inside.select("path", F.lit(3), F.lit("overlap")))
+
+
+def writer_violations(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """(check_ordinal, code, name) of rows (id, line) that no snapshot can hold: 1 no_id, 2 repeated_id, 3 no_line, 4 oversized: a leaf of the last depth above the limit."""
+    none = F.lit(None).cast("string").alias("name")
+    parts = [
+        rows.where("id is null").limit(1).select(F.lit(1).alias("check_ordinal"), F.lit("no_id").alias("code"), none),
+        duplicate_ids(rows.where("id is not null")).select(F.lit(2), F.lit("repeated_id"), "id"),
+        rows.where("id is not null and line is null").select(F.lit(3), F.lit("no_line"), "id").distinct(),
+        layout(rows.where("id is not null and line is not null"), max_bytes).where(F.col("bytes") > max_bytes).select(F.lit(4), F.lit("oversized"), F.concat(F.lit("data/"), "p4", F.lit(".jsonl"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def successor_violations(entries: DataFrame, files: DataFrame, changes: DataFrame, previous_sequence: int | None = None, next_sequence: int | None = None) -> DataFrame:
+    """(path, check_ordinal, code): why no successor can be made of the manifest's `entries` (path, digest, bytes, rows), prior `files` (path, content) and `changes` (id, line).
+
+    0 sequence: the next source does not follow the previous one. 1 to 3 as `leaf_violations` of the manifest. 4 repeated_change (path: the id) and 5 no_id. 6 not_affected: a file that no
+    change needs, or of no entry. 7 missing: a needed file that is not there or null. 8 repeated_file. 9 digest, 10 counts: a file's bytes are not those of its entry. 11 to 18 as
+    `shard_violations` of the needed files. Only needed files are hashed and parsed; the rest of the projection is not read.
+    """
+    leaves = entries.select("path").distinct()
+    parts = [leaf_violations(entries.select("path"))]
+    if next_sequence is not None and previous_sequence is not None and next_sequence <= previous_sequence:
+        parts.append(entries.sparkSession.createDataFrame([(None, 0, "sequence")], "path string, check_ordinal int, code string"))
+    ids = changes.where("id is not null").select("id")
+    parts.append(duplicate_ids(ids).select("id", F.lit(4), F.lit("repeated_change")))
+    parts.append(changes.where("id is null").limit(1).select(F.lit(None).cast("string"), F.lit(5), F.lit("no_id")))
+    needed = affected(ids.distinct(), leaves).join(leaves, "path", "left_semi")
+    given = files.where("content is not null").select("path", "content")
+    parts.append(files.select("path").distinct().join(needed, "path", "left_anti").select("path", F.lit(6), F.lit("not_affected")))
+    parts.append(needed.join(given.select("path").distinct(), "path", "left_anti").select("path", F.lit(7), F.lit("missing")))
+    twice = files.groupBy("path").count().where("count > 1").select("path")
+    parts.append(twice.select("path", F.lit(8), F.lit("repeated_file")))
+    used = given.join(needed, "path", "left_semi").join(twice, "path", "left_anti")
+    text = F.col("content").cast("string")
+    have = used.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("has"), F.octet_length("content").alias("n"), F.regexp_count(text, F.lit("\n")).alias("k"))
+    both = have.join(entries.select("path", "digest", "bytes", "rows"), "path")
+    parts.append(both.where("has <> digest").select("path", F.lit(9), F.lit("digest")).distinct())
+    parts.append(both.where("n <> bytes or k <> rows").select("path", F.lit(10), F.lit("counts")).distinct())
+    parts.append(shard_violations(used).select("path", (F.col("check_ordinal") + 10).cast("int"), "code"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def prepared_successor(entries: DataFrame, files: DataFrame, changes: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the shards to write with their path, the inventory changes as `inventory_changes` gives them), from files that `successor_violations` finds nothing against."""
+    leaves = entries.select("path")
+    touched = affected(changes.select("id"), leaves)
+    prior = shard_rows(files).select("id", "line", "path")
+    rows = successor(prior, leaves, changes, max_bytes)
+    return rows, inventory_changes(entries, inventory(rows), touched)
