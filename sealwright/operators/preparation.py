@@ -17,10 +17,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sealwright.session import exists
+
 RECORD = "key string, rows long, digest string, folder string"
 
 
@@ -61,13 +62,10 @@ def stage_key(name: str, version: str, inputs: list[str]) -> str:
 
 
 def _known(spark: SparkSession, at: str, key: str) -> Stored | None:
-    try:
-        # the record is one row; if two runs wrote one each, both hold the same rows
-        found = spark.read.schema(RECORD).json(f"{at}/record").where(F.col("key") == key).orderBy("folder").first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, f"{at}/record/_SUCCESS"):
         return None
+    # the record is one row; if two runs wrote one each, both hold the same rows
+    found = spark.read.schema(RECORD).json(f"{at}/record").where(F.col("key") == key).orderBy("folder").first()
     return found and Stored(found["folder"], found["rows"], found["digest"])
 
 

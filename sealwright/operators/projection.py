@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealwright.functions.values import DIGEST, canonical_json, json_string, sha256, utf16_key
+from sealwright.session import written
 
 DEPTH = 4
 
@@ -260,7 +261,7 @@ def successor_violations(entries: DataFrame, files: DataFrame, changes: DataFram
     ids = changes.where("id is not null").select("id")
     parts.append(duplicate_ids(ids).select("id", F.lit(4), F.lit("repeated_change")))
     parts.append(changes.where("id is null").limit(1).select(F.lit(None).cast("string"), F.lit(5), F.lit("no_id")))
-    needed = affected(ids.distinct(), leaves).join(leaves, "path", "left_semi")
+    needed = written(affected(ids.distinct(), leaves).join(leaves, "path", "left_semi"), "needed-shards")
     given = files.where("content is not null").select("path", "content")
     parts.append(files.select("path").distinct().join(needed, "path", "left_anti").select("path", F.lit(6), F.lit("not_affected")))
     parts.append(needed.join(given.select("path").distinct(), "path", "left_anti").select("path", F.lit(7), F.lit("missing")))
