@@ -354,7 +354,7 @@ def plain_url(c: Column) -> Column:
     authority = F.when(special, F.regexp_extract(rest, r"(?s)\A[/\\]*([^/\\?]*)", 1)).otherwise(F.regexp_extract(rest, r"(?s)\A//([^/?]*)", 1))
     user, place = F.regexp_extract(authority, r"(?s)\A(.*)@", 1), F.regexp_extract(authority, r"(?s)([^@]*)\z", 1)
     host, port = F.regexp_replace(place, r":[0-9]*\z", ""), F.regexp_extract(place, r":([0-9]*)\z", 1)
-    fine = host.rlike(r"\A(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F#/:<>?@\[\\\]^|%]*)\z") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535) & (F.length(F.ltrim(F.lit("0"), port)) <= 5)
+    fine = host.rlike(r"\A(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F#/:<>?@\[\\\]^|%]*)\z") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535) & (F.length(F.ltrim(port, F.lit("0"))) <= 5)
     ok = text.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") & fine & (~special | (host != "")) & user.isin("", ":") & ~text.rlike(r"(?s)#.")
     # most URLs are simple and need one look
     simple = c.rlike(r"\Ahttps?://[A-Za-z0-9.\-]+(:[0-9]{1,4})?([/?][^\x00-\x20#\\@]*)?#?\z")

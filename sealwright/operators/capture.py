@@ -62,21 +62,34 @@ def _codes(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return rows.select(key, F.explode(broken).alias("x")).select(key, "x.check_ordinal", "x.code")
 
 
+def issues_of(rules: dict[str, Column]) -> Column:
+    """The codes of all broken rules, in order."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules.items()]))
+
+
+def with_method(rows: DataFrame, methods: DataFrame) -> DataFrame:
+    """`rows` with the capabilities of their method in their registry; null where it is not installed."""
+    held = methods.select("registry_digest", "name", "version", "capabilities").dropDuplicates(["registry_digest", "name", "version"])
+    return rows.withColumns({"name": F.col("method.name"), "version": F.col("method.version")}).join(held, ["registry_digest", "name", "version"], "left")
+
+
 def start_violations(starts: DataFrame, methods: DataFrame, key: str = "start_digest") -> DataFrame:
     """(key, check_ordinal, code) of reservations: source_url, requested_url, started_at, lease_until, lease_token, method (name, version), registry_digest.
 
     methods: registry_digest, name, version, capabilities of the installed registries.
     """
-    held = methods.select("registry_digest", "name", "version", "capabilities")
-    rows = starts.withColumns({"name": F.col("method.name"), "version": F.col("method.version")}).join(held, ["registry_digest", "name", "version"], "left")
-    rules = {
+    return _codes(with_method(starts, methods), key, start_rules())
+
+
+def start_rules() -> dict[str, Column]:
+    """The rules of a reservation that has its method's capabilities."""
+    return {
         "method": F.col("capabilities").isNotNull(),
         "https": _https(F.col("source_url")) & _https(F.col("requested_url")),
         "plain_url": plain_url(F.col("source_url")) & plain_url(F.col("requested_url")),
         "lease_token": F.col("lease_token") != "",
         "lease": instant_key(F.col("lease_until")) > instant_key(F.col("started_at")),
     }
-    return _codes(rows, key, rules)
 
 
 def attempt_violations(attempts: DataFrame, methods: DataFrame, key: str = "attempt_digest") -> DataFrame:
@@ -85,9 +98,15 @@ def attempt_violations(attempts: DataFrame, methods: DataFrame, key: str = "atte
     attempts: outcome, reason, source_url, requested_url, final_url, checked_at, archive_snapshot_at, redirect_chain array<struct<from, to>>,
     response_status_code, media_type, content_digest, content_bytes, method (name, version), registry_digest. methods as in `start_violations`.
     """
-    held = methods.select("registry_digest", "name", "version", "capabilities")
-    rows = attempts.withColumns({"name": F.col("method.name"), "version": F.col("method.version"), "chain_": F.coalesce("redirect_chain", F.array().cast("array<struct<from: string, to: string>>"))})
-    rows = rows.join(held, ["registry_digest", "name", "version"], "left")
+    return _codes(_chained(with_method(attempts, methods)), key, attempt_rules())
+
+
+def _chained(attempts: DataFrame) -> DataFrame:
+    return attempts.withColumn("chain_", F.coalesce("redirect_chain", F.array().cast("array<struct<from: string, to: string>>")))
+
+
+def attempt_rules() -> dict[str, Column]:
+    """The rules of an outcome that has its method's capabilities and its chain."""
     chain, outcome, requested, final, status = F.col("chain_"), F.col("outcome"), F.col("requested_url"), F.col("final_url"), F.col("response_status_code")
     n = F.size(chain)
     last = F.when(n > 0, F.try_element_at(chain, F.lit(-1))["to"])
@@ -99,7 +118,7 @@ def attempt_violations(attempts: DataFrame, methods: DataFrame, key: str = "atte
     holds_bytes = outcome.isin("captured", "manual_imported")
     urls = F.concat(F.array("source_url", "requested_url"), froms, tos, F.when(captured | outside, F.array(final)).otherwise(F.array().cast("array<string>")))
     arrived = F.coalesce(last, requested)
-    rules = {
+    return {
         "method": F.col("capabilities").isNotNull(),
         "outcome": outcome.isin(*REASONS),
         "reason": reasons,
@@ -109,7 +128,8 @@ def attempt_violations(attempts: DataFrame, methods: DataFrame, key: str = "atte
         "status": F.when(captured, F.coalesce(status.between(200, 299), F.lit(False)))
         .when(outcome == "unreachable", F.when(F.col("reason") == "http_status", F.coalesce(status.between(400, 599), F.lit(False))).otherwise(status.isNull()))
         .otherwise(status.isNull()),
-        "redirect_count": (n <= MOST_REDIRECTS) & (~outside | (n > 0)) & (~manual | F.col("redirect_chain").isNull()),
+        # every outcome but a manual one has a chain, an empty one where nothing redirected
+        "redirect_count": (n <= MOST_REDIRECTS) & (~outside | (n > 0)) & (manual == F.col("redirect_chain").isNull()),
         "https": _https(F.col("source_url")) & _https(requested) & (~captured | _https(final)),
         "plain_url": F.forall(urls, plain_url),
         "chain_start": (n == 0) | (F.try_element_at(froms, F.lit(1)) == requested),
@@ -122,4 +142,3 @@ def attempt_violations(attempts: DataFrame, methods: DataFrame, key: str = "atte
         "archive_time": F.when(captured, has("history-only") == F.col("archive_snapshot_at").isNotNull()).otherwise(F.col("archive_snapshot_at").isNull()),
         "archive_order": F.col("archive_snapshot_at").isNull() | (instant_key(F.col("archive_snapshot_at")) <= instant_key(F.col("checked_at"))),
     }
-    return _codes(rows, key, rules)
