@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealwright.operators.intervals import within
+from sealwright.session import written
+
 MOST_KEYS = 10_000
 
 
@@ -22,7 +25,7 @@ def active_keys(facts: DataFrame, keys: DataFrame, at: Column, purpose: Column,
     """`facts` with key_id and n_active. key_id is null unless exactly one key is active for the purpose at the time.
 
     keys: key_id, purpose, valid_from, valid_until, compromised_after_sequence. A registry of up to MOST_KEYS rows is broadcast, one array for each
-    purpose, so that the facts are not shuffled; a larger one is joined on the purpose and grouped again.
+    purpose, so that the facts are not shuffled; of a larger one, the intervals are cut into blocks of a grid and joined on purpose and block.
     """
     sequence = F.lit(None).cast("long") if sequence is None else sequence
     if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
@@ -37,10 +40,27 @@ def active_keys(facts: DataFrame, keys: DataFrame, at: Column, purpose: Column,
         )
         n = F.coalesce(F.size(active), F.lit(0)).cast("long")
         return joined.select(*facts.columns, F.when(n == 1, active[0]["key_id"]).alias("key_id"), n.alias("n_active"))
-    one = facts.withColumn("row_", F.monotonically_increasing_id()).withColumn("purpose_", purpose).withColumn("at_", at).withColumn("sequence_", sequence)
-    joined = one.join(keys, (F.col("purpose_") == F.col("purpose")) & valid_at(F.col("at_")) & ~compromised(F.col("sequence_")), "left")
-    grouped = joined.groupBy("row_", *facts.columns).agg(F.count("key_id").alias("n_active"), F.min("key_id").alias("k"))
-    return grouped.select(*facts.columns, F.when(F.col("n_active") == 1, F.col("k")).alias("key_id"), "n_active")
+    # the rows are numbered once and written, so that a task that runs again gives the same numbers
+    one = written(facts.withColumn("row_", F.monotonically_increasing_id()).withColumn("purpose_", purpose).withColumn("at_", at).withColumn("sequence_", sequence), "authority-facts")
+    held = keys.select(F.col("key_id").alias("k_"), F.col("purpose").alias("purpose_"), "valid_from", "valid_until", "compromised_after_sequence")
+    found = within(one.select("row_", "purpose_", "at_", "sequence_"), held, ["purpose_"], "at_", "valid_from", "valid_until").where(~compromised(F.col("sequence_")))
+    counted = found.groupBy("row_").agg(F.count("k_").alias("n_active"), F.min("k_").alias("k_"))
+    out = one.join(counted, "row_", "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
+    return out.select(*facts.columns, F.when(F.col("n_active") == 1, F.col("k_")).alias("key_id"), "n_active")
+
+
+def root_violations(roots: DataFrame, threshold: int, key: str = "key_id", public_key: str = "public_key") -> DataFrame:
+    """(key, check_ordinal, code) of a set of root keys: 1 threshold (key null): not between one and the number of keys, 2 named_twice, 3 key: no name of 1 to 256 characters, 4 public_key: not its fixed text form."""
+    from sealwright.functions.values import utf16_length
+    from sealwright.operators.keys import ED25519_PEM, LONGEST_NAME
+
+    n = roots.agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string").alias(key)
+    wrong = n.where((F.lit(threshold) < 1) | (F.lit(threshold) > F.col("n"))).select(none, F.lit(1).alias("check_ordinal"), F.lit("threshold").alias("code"))
+    twice = roots.groupBy(key).count().where(f"count > 1 and {key} is not null").select(key, F.lit(2), F.lit("named_twice"))
+    named = roots.where(~F.coalesce(utf16_length(F.col(key)).between(1, LONGEST_NAME), F.lit(False))).select(key, F.lit(3), F.lit("key")).distinct()
+    text = roots.where(~F.coalesce(F.col(public_key).rlike(ED25519_PEM), F.lit(False))).select(key, F.lit(4), F.lit("public_key")).distinct()
+    return wrong.union(twice).union(named).union(text)
 
 
 def reached(signatures: DataFrame, subject: str, signer: str, roots: DataFrame, threshold: int) -> DataFrame:
