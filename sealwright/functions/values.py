@@ -247,11 +247,11 @@ def utf16_key(c: Column) -> Column:
     return F.encode(c, "UTF-16BE")
 
 
-def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = False) -> Column:
+def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = True) -> Column:
     """Canonical JSON of a column of type `kind`.
 
     A null field is left out if its metadata say {"presence": "optional"}, else it is null. A null value is null.
-    Map keys keep the form they have, or with `normal_keys` get their normal form, and keys of one normal form then fail the job.
+    Map keys get their normal form, and keys of one normal form fail the job. Without `normal_keys` they keep the form they have, for keys that are known to be normal.
     """
     _check(kind)
     return _canonical(c, kind, ascii_only, normal_keys)
@@ -286,14 +286,23 @@ def sha256(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
-def digest(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = False) -> Column:
+def digest(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys: bool = True) -> Column:
     return sha256(canonical(c, kind, ascii_only, normal_keys))
 
 
 def base32_128(hexadecimal: Column) -> Column:
-    """The first 128 bits of a hex text as 26 base-32 characters, from single bits: no wide arithmetic."""
-    bits = F.concat(F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.lpad(F.conv(F.substring(hexadecimal, i, F.lit(1)), 16, 2), 4, "0")), ""))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    """The first 128 bits of a hex text as 26 base-32 characters, from single bits: no wide arithmetic.
+
+    The text and its bits are computed once each: a lambda would compute them for every character.
+    """
+
+    def characters(bits: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+
+    def bits(text: Column) -> Column:
+        return F.concat(F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.lpad(F.conv(F.substring(text, i, F.lit(1)), 16, 2), 4, "0")), ""))
+
+    return F.transform(F.transform(F.array(hexadecimal), bits), characters)[0]
 
 
 def operation_id(contract: str, canonical_value: Column) -> Column:
@@ -381,3 +390,44 @@ def visited_strings(value: object, path: str = "$") -> list[tuple[str, str]]:
     if isinstance(value, (list, tuple)):
         return [x for i, v in enumerate(value) for x in visited_strings(v, f"{path}[{i}]")]
     return []
+
+
+def object_id(c: Column) -> Column:
+    """An exact object id of 40 or 64 hexadecimal digits; null for anything else."""
+    return F.when(c.rlike(r"\A(?:[a-f0-9]{40}|[a-f0-9]{64})\z"), c)
+
+
+def inside(root: str, path: Column) -> Column:
+    """The path strictly below `root`, an absolute folder, that a relative `path` names; null for absolute and escaping paths, and for the root itself.
+
+    Empty and `.` segments are dropped, and `..` takes the segment before it away; one that takes more than there is escapes.
+    """
+    if not root.startswith("/") or ".." in root.split("/"):
+        raise ValueError("the root must be an absolute folder")
+    base = "/" + "/".join(s for s in root.split("/") if s not in ("", "."))
+    up = F.lit("..")
+    named = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    # a segment too many taken away marks the path for good; the root's own segments may be left and entered again
+    start = F.array(*[F.lit(s) for s in base.split("/") if s]).cast("array<string>")
+    end = F.aggregate(named, start, lambda held, s: F.when(s != up, F.concat(held, F.array(s))).otherwise(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))))
+    whole = F.concat(F.lit("/"), F.array_join(end, "/"))
+    return F.when(~F.startswith(path, F.lit("/")) & F.startswith(whole, F.lit(base.rstrip("/") + "/")) & (whole != base), whole)
+
+
+@F.pandas_udf(T.StringType())
+def _pretty(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: t if t is None else json.dumps(_integers(json.loads(t)), indent=2, ensure_ascii=False) + "\n")
+
+
+def _integers(value: object) -> object:
+    """Whole doubles as integers, as ECMAScript writes them."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return int(value)
+    if isinstance(value, list):
+        return [_integers(v) for v in value]
+    return {k: _integers(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def pretty_json(c: Column) -> Column:
+    """JSON texts for reading: two spaces a level and a final line feed; keys keep their order. For display, not for digests: no canonical form."""
+    return _pretty(c)

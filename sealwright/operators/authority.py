@@ -111,11 +111,26 @@ def _once(value: Column, use) -> Column:
 def _named_headers(headers: Column, longest: int) -> Column:
     from sealwright.functions.values import trimmed
 
-    return F.transform(headers, lambda h: F.struct(F.lower(trimmed(h["name"])).alias("name"), F.substring(trimmed(h["value"]), 1, longest).alias("value")))
+    return F.transform(headers, lambda h: F.struct(F.lower(trimmed(h["name"])).alias("name"), _bounded(trimmed(h["value"]), longest).alias("value")))
+
+
+def _bounded(value: Column, longest: int) -> Column:
+    """The first `longest` UTF-16 code units; half of a character at the cut goes too."""
+    from sealwright.functions.values import utf16_length
+
+    units = F.substring(F.encode(value, "UTF-16BE"), 1, 2 * longest)
+    # a code unit of D800 to DBFF at the end is the first half of a character
+    torn = F.substring(F.hex(units), 4 * longest - 3, 4).rlike("D[89AB]..")
+    whole = F.when(torn, F.substring(units, 1, 2 * longest - 2)).otherwise(units)
+    return F.when((F.length(value) > longest // 2) & (utf16_length(value) > longest), F.decode(whole, "UTF-16BE")).otherwise(value)
 
 
 def _kept_headers(named: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(named, lambda h: h["value"] != "")))
+    from sealwright.functions.values import utf16_key
+
+    kept = F.array_distinct(F.filter(named, lambda h: h["value"] != ""))
+    ordered = F.array_sort(F.transform(kept, lambda h: F.struct(utf16_key(F.concat(h["name"], F.lit("\0"), h["value"])).alias("o"), h.alias("h"))))
+    return F.transform(ordered, lambda x: x["h"])
 
 
 def _unrecordable(named: Column) -> Column:
@@ -130,7 +145,7 @@ def header_issues(headers: Column, most: int = 32, longest: int = 1024) -> Colum
 def recordable_headers(headers: Column, most: int = 32, longest: int = 1024) -> Column:
     """[(name, value)] lower-cased, trimmed, without empty values, values cut, different and sorted; null for a refused selection, which is never cut.
 
-    `header_issues` says why. Header values are ASCII.
+    `header_issues` says why. Values are cut by, and headers are in the order of, UTF-16 code units.
     """
     kept = _once(_named_headers(headers, longest), lambda n: F.when(~_unrecordable(n), _kept_headers(n)))
     return _once(kept, lambda k: F.when(F.size(k) <= most, k))

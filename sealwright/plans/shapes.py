@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sealwright.functions import values as V
 from sealwright.operators import documents, intervals
 from sealwright.plans.catalogue import _LINES, _SP, query
 from sealwright.session import table
@@ -57,3 +58,34 @@ def q72_active_keys_of_a_large_registry(spark, sf_dir):
     keys = keys.select("p", "a", (F.col("a") + F.expr("INTERVAL 1 DAY")).alias("b"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_suppkey") % 10).alias("p"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"))
     return intervals.within(items, keys, ["p"], "t", "a", "b").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_active"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 8 AS k, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS u FROM pages)
+SELECT page_id, CASE WHEN k IN (3, 4, 6) THEN NULL WHEN k = 5 THEN '/data/root/x' ELSE '/data/root/' || regexp_replace(u, '/$', '') END AS path FROM p"""
+)
+def q73_guarded_paths(spark, sf_dir):
+    """Page addresses as paths below a folder: plain, with idle segments, absolute, escaping, the folder itself, and leaving it to come back."""
+    k, u = F.col("page_id") % 8, F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    path = F.when(k == 1, F.concat(F.lit("./"), u)).when(k == 2, F.concat(F.lit("x/..//"), u)).when(k == 3, F.concat(F.lit("/"), u)).when(k == 4, F.concat(F.lit("../"), u)).when(k == 5, "../root/./x").when(k == 6, "x/..").otherwise(u)
+    return table(spark, sf_dir, "pages").select("page_id", V.inside("/data/root/", path).alias("path"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, lang, n_chars, source FROM documents)
+SELECT doc_id, 'sha256:' || sha256(concat('{', chr(10), '  "source": "', source, '",', chr(10), '  "sizes": [', chr(10), '    ', n_chars, ',', chr(10), '    {}', chr(10), '  ],', chr(10), '  "é": "', lang, '"', chr(10), '}', chr(10))) AS digest FROM l"""
+)
+def q74_pretty_records(spark, sf_dir):
+    """Records for reading."""
+    text = F.concat(F.lit('{"source":"'), "source", F.lit('","sizes":['), F.col("n_chars").cast("string"), F.lit('.0,{}],"é":"'), "lang", F.lit('"}'))
+    return table(spark, sf_dir, "documents").select("doc_id", V.sha256(V.pretty_json(text)).alias("digest"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN sha1(text) WHEN 1 THEN sha256(text) END AS id FROM documents"""
+)
+def q75_object_ids(spark, sf_dir):
+    """Digests as object ids: of both lengths, and four forms that are none."""
+    k, a, b = F.col("doc_id") % 6, F.sha1("text"), F.sha2("text", 256)
+    text = F.when(k == 0, a).when(k == 1, b).when(k == 2, F.upper(F.concat(F.lit("a"), F.substring(a, 2, 39)))).when(k == 3, F.substring(a, 1, 39)).when(k == 4, F.concat(a, F.lit("\n"))).otherwise(F.concat(F.lit("g"), F.substring(b, 2, 63)))
+    return table(spark, sf_dir, "documents").select("doc_id", V.object_id(text).alias("id"))
