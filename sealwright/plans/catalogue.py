@@ -161,16 +161,6 @@ def q09_diff_digest_by_day(spark, sf_dir):
     return changes.diff_digest(_events(spark, sf_dir), ["day", "subject_id"], ["kind"], "change_id")
 
 
-@query(
-    """WITH t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE turn % 5 <> 3)
-SELECT conv_id, turn, CASE WHEN p IS NULL THEN 'genesis' WHEN p = turn THEN 'repeated' ELSE 'gap' END AS code, CASE WHEN p IS NULL THEN 1 WHEN p = turn THEN 2 ELSE 3 END AS check_ordinal
-FROM t WHERE (p IS NULL AND turn <> 0) OR p + 1 <> turn"""
-)
-def q10_successor_chain(spark, sf_dir):
-    """Chains of turns from which every fifth is missing."""
-    return changes.position_violations(table(spark, sf_dir, "conversations").where("turn % 5 <> 3").select("conv_id", "turn"), "conv_id", "turn", 0)
-
-
 @query(
     """WITH RECURSIVE o AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations),
 f AS (SELECT conv_id, n, k, sha256(sha256('genesis') || ':' || text) AS head FROM o WHERE n = 1
@@ -201,30 +191,6 @@ def q13_identity_closure(spark, sf_dir):
     return identity.closure(edges)
 
 
-@query(
-    """WITH k AS (SELECT sha256(text) AS key_digest, 'doc_' || min(doc_id) AS ref, sha256(min(source)) AS ident FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1),
-m AS (SELECT sha256(text) AS key_digest, doc_id, 'doc_' || doc_id AS target, sha256(source) AS t_ident FROM documents WHERE lang IN ('en', 'fr')),
-v AS (SELECT m.key_digest, CASE WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 AND doc_id = 12 THEN 'skip' WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 AND doc_id > 12 THEN 'skip'
- WHEN doc_id % 4 IN (0, 1) AND target = ref THEN CASE WHEN t_ident <> ident THEN 'hold_changed' ELSE 'skip' END ELSE 'hold' END AS verdict FROM m JOIN k USING (key_digest))
-SELECT key_digest, count(*) AS n_matches, bool_or(verdict = 'hold_changed') AS identity_changed FROM v WHERE verdict <> 'skip' GROUP BY 1"""
-)
-def q14_identity_conflicts(spark, sf_dir):
-    """Documents of two languages as matches of four kinds, against the keys of a pull request."""
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("doc_id", "source", F.sha2("text", 256).alias("key_digest"))
-    keys = docs.groupBy("key_digest").agg(F.concat(F.lit("doc_"), F.min("doc_id").cast("string")).alias("key_reference"), F.sha2(F.min("source"), 256).alias("key_identity_digest"))
-    kinds = F.array(*[F.lit(k) for k in ("live", "merged_lineage", "open_pull_request", "pending_submission")])
-    matches = docs.select(
-        "key_digest",
-        F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind"),
-        F.when(F.col("doc_id") % 3 == 0, "main").otherwise("other").alias("repository"),
-        F.when(F.col("doc_id") % 4 == 2, F.col("doc_id")).alias("pull_request_number"),
-        F.lit("head").alias("head_sha"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("target_reference"),
-        F.sha2("source", 256).alias("target_identity_digest"),
-    )
-    return identity.conflicts(keys, matches, {"kind": "pull_request", "repository": "main", "pull_request_number": 12, "head_sha": "head"})
-
-
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return table(spark, sf_dir, "labels").select(
@@ -299,20 +265,6 @@ def q18_threshold_signers(spark, sf_dir):
     return authority.reached(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", roots, 3)
 
 
-@query(
-    """WITH s AS (SELECT event_id + 1 AS k, event_type, user_id % 3 AS u, ts FROM events WHERE event_id % 3 <> 0)
-SELECT e.event_id, CASE WHEN s.k IS NULL THEN 'no_start' WHEN e.event_type <> s.event_type THEN 'method' WHEN e.user_id % 3 <> s.u THEN 'url' WHEN e.ts < s.ts THEN 'too_early' ELSE 'settled' END AS verdict
-FROM events e LEFT JOIN s ON e.event_id = s.k"""
-)
-def q19_settlement_join(spark, sf_dir):
-    """Each event is a result, and the reservation of the event after it unless its number is divisible by 3."""
-    e = table(spark, sf_dir, "events")
-    url = (F.col("user_id") % 3).cast("string").alias("url")
-    results = e.select("event_id", F.col("event_type").alias("method"), url, F.col("ts").alias("checked_at"))
-    starts = e.where("event_id % 3 <> 0").select((F.col("event_id") + 1).alias("event_id"), F.col("event_type").alias("method"), url, F.col("ts").alias("started_at"))
-    return authority.settlements(results, starts, "event_id").select("event_id", "verdict")
-
-
 @query(
     """WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'), p AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag <> 'R'),
 a AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS p FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber < 3)
@@ -364,11 +316,6 @@ def q22_ownership_lookup(spark, sf_dir):
     return changes.owners(paths, sections.unionByName(hosts))
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'undeclared' ELSE 'missing' END AS code FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 9 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
-def q23_declared_vs_present(spark, sf_dir):
-    return changes.set_differences(table(spark, sf_dir, "documents").where("doc_id % 9 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
-
-
 @query("SELECT page_id, NOT regexp_matches(url, '#.') AS plain, starts_with(url, 'https://') AS secure, regexp_extract(url, '^([^#]*)', 1) AS target FROM pages")
 def q24_plain_url(spark, sf_dir):
     url = F.col("url")
@@ -429,12 +376,6 @@ def q28_exchange_issues(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(issues, ",").alias("issues"), F.array_join(headers, ";").alias("headers"))
 
 
-@query("SELECT * FROM (VALUES ('127.0.0.1', 4), ('::1', 6), ('[::1]', 0), ('127.0.0.1 ', 0), ('host', 0), ('1.2.3', 0), ('fe80::1%eth0', 0)) AS t(text, version)")
-def q30_ip_version(spark, sf_dir):
-    texts = spark.sql("SELECT * FROM VALUES ('127.0.0.1'), ('::1'), ('[::1]'), ('127.0.0.1 '), ('host'), ('1.2.3'), ('fe80::1%eth0') AS t(text)")
-    return texts.select("text", V.ip_version(F.col("text")).alias("version"))
-
-
 @query("SELECT doc_id, sha1(concat('blob ', octet_length(encode(text)), chr(0), text)) AS sha1_id, sha256(concat('blob ', octet_length(encode(text)), chr(0), text)) AS sha256_id FROM documents")
 def q32_git_blob_ids(spark, sf_dir):
     text = F.col("text")
@@ -453,10 +394,10 @@ RELEASE_DOCUMENTS = 500
 _NONE = "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def _release_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Heads, objects and changes: each source is a chain whose releases add RELEASE_DOCUMENTS neighbouring documents each."""
+def _release_inputs(spark: SparkSession, sf_dir: str, size: int = RELEASE_DOCUMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads, objects and changes: each source is a chain whose releases add `size` neighbouring documents each."""
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("chain"), F.floor(F.col("doc_id") / RELEASE_DOCUMENTS).alias("block"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), V.sha256(text).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("chain"), F.floor(F.col("doc_id") / size).alias("block"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), V.sha256(text).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
     blocks = docs.select("chain", "block").distinct().withColumn("sequence", F.row_number().over(Window.partitionBy("chain").orderBy("block")).cast("long"))
     docs = written(docs.join(blocks, ["chain", "block"]), "release-documents")
     objects = docs.select("chain", "sequence", F.concat(F.lit("texts/"), "id", F.lit(".txt")).alias("path"), "sha256", "bytes")

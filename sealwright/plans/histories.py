@@ -103,10 +103,10 @@ def _digest_sql(rows: str, line: str) -> str:
 @query(
     f"""WITH a AS ({_digest_sql('documents', '''concat('{"doc_id":', doc_id, ',"lang":', coalesce('"' || lang || '"', 'null'), ',"bytes":', octet_length(encode(text)), '}')''')}),
 g AS (SELECT lang, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS b FROM documents GROUP BY lang), b AS ({_digest_sql('g', '''concat('{"lang":', coalesce('"' || lang || '"', 'null'), ',"n":', n, ',"bytes":', b, '}')''')})
-SELECT 'sizes' AS stage, rows, digest, true AS ran, false AS again FROM a UNION ALL SELECT 'languages', rows, digest, true, false FROM b"""
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, a.digest AS sizes, b.digest AS languages, false AS again FROM documents, a, b"""
 )
 def q66_prepared_stages(spark, sf_dir):
-    """Two stages over the documents, the second on the first one's digest; each is proved, and neither runs a second time."""
+    """Two stages over the documents, the second on the first one's digest; each is proved, and neither runs a second time: the rows of the first with both digests."""
     root = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
     def chain():
@@ -115,5 +115,7 @@ def q66_prepared_stages(spark, sf_dir):
         return {"sizes": sizes, "languages": langs}
 
     first, second = chain(), chain()
-    rows = [(name, preparation.proved(spark, t).rows, second[name][0].digest, ran, second[name][1]) for name, (t, ran) in first.items()]
-    return spark.createDataFrame(rows, "stage string, rows long, digest string, ran boolean, again boolean")
+    proofs = {name: preparation.proved(spark, t).digest for name, (t, _) in first.items()}
+    again = any(ran for _, ran in second.values()) or not all(ran for _, ran in first.values())
+    rows = second["sizes"][0].read(spark).select("doc_id", "bytes")
+    return rows.select("*", *[F.lit(d).alias(n) for n, d in proofs.items()], F.lit(again).alias("again"))

@@ -89,3 +89,17 @@ def q75_object_ids(spark, sf_dir):
     k, a, b = F.col("doc_id") % 6, F.sha1("text"), F.sha2("text", 256)
     text = F.when(k == 0, a).when(k == 1, b).when(k == 2, F.upper(F.concat(F.lit("a"), F.substring(a, 2, 39)))).when(k == 3, F.substring(a, 1, 39)).when(k == 4, F.concat(a, F.lit("\n"))).otherwise(F.concat(F.lit("g"), F.substring(b, 2, 63)))
     return table(spark, sf_dir, "documents").select("doc_id", V.object_id(text).alias("id"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 7 AS k, split_part(url, '/', 3) AS host FROM pages)
+SELECT page_id, CASE WHEN k = 1 THEN 4 WHEN k = 2 THEN 6 WHEN k = 4 AND page_id % 300 < 256 THEN 4 ELSE 0 END AS version FROM p"""
+)
+def q85_ip_hosts(spark, sf_dir):
+    """Hosts of pages, and addresses of both versions made from their numbers: in brackets, out of range, with leading zeros, with a blank."""
+    i, k = F.col("page_id"), F.col("page_id") % 7
+    text = (
+        F.when(k == 1, F.concat(F.lit("10."), (i % 256).cast("string"), F.lit(".0.1"))).when(k == 2, F.concat(F.lit("fe80::"), F.lower(F.hex(i % 65536)))).when(k == 3, "[::1]")
+        .when(k == 4, F.concat(F.lit("1.2.3."), (i % 300).cast("string"))).when(k == 5, "010.1.1.1").when(k == 6, "127.0.0.1 ").otherwise(F.split("url", "/")[2])
+    )
+    return table(spark, sf_dir, "pages").select("page_id", V.ip_version(text).alias("version"))

@@ -1,7 +1,7 @@
 import pytest
 from conftest import same_as_duckdb
 
-from sealwright.plans import captures, histories, rules, shapes, trees  # noqa: F401  (they add their queries to the catalogue)
+from sealwright.plans import captures, histories, release_rules, rules, shapes, trees  # noqa: F401  (they add their queries to the catalogue)
 from sealwright.plans.catalogue import ORACLES, QUERIES
 
 
