@@ -182,6 +182,14 @@ def _collection(c: Column, kind: T.DataType, normal_keys: bool) -> Column:
     return render(c)
 
 
+def _holds_doubles(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_doubles(f.dataType) for f in kind.fields)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return _holds_doubles(kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType)
+    return isinstance(kind, (T.FloatType, T.DoubleType))
+
+
 def _in_python(kind: T.DataType, ascii_only: bool, normal_keys: bool) -> bool:
     """Whether elements of `kind` need Python."""
     if isinstance(kind, T.StructType):
@@ -268,6 +276,10 @@ def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool)
         out = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
     elif isinstance(kind, (T.ArrayType, T.MapType)) and _in_python(kind, ascii_only, normal_keys):
         out = _collection(c, kind, normal_keys)
+        if not _holds_doubles(kind):
+            # what renders as ASCII has one form only, and stays in the JVM
+            ascii_ = F.transform(F.array(_canonical(c, kind, True, False)), lambda t: F.when(F.octet_length(t) == F.length(t), t))[0]
+            out = F.coalesce(ascii_, _collection(F.when(ascii_.isNull(), c), kind, normal_keys))
     elif isinstance(kind, T.ArrayType):
         out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _canonical(x, kind.elementType, True, False)), ","), F.lit("]"))
     elif isinstance(kind, T.MapType):
