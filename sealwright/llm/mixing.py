@@ -124,7 +124,7 @@ def mix(
         while new[c] in docs.columns:
             new[c] += "_"
     s, src, key = F.lit(str(seed)), F.col(source_col).cast("string"), F.col(id_col).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), src.alias("s"), F.coalesce(key, F.sha2(F.col(text_col).cast("string"), 256), F.lit("")).alias("k"), (token_count(F.col(text_col).cast("string")) if tokens is None else tokens).alias("n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), src.alias("s"), F.coalesce(key, F.sha2(F.col(text_col).cast("string"), 256), F.lit("")).alias("k"), (token_count(F.col(text_col).cast("string")) if tokens is None else tokens).alias("n"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
     light = materialize(rows.select("s", "k", "n"), "mixing-counts")
     totals = light.groupBy("s").agg(F.sum("n").alias("total"))
     solved = mixture(totals, budget, target_entropy, max_repetition)
@@ -149,7 +149,7 @@ def mix(
     laid = placed(rows).drop("total", "blocks", "want", "epochs")
     out = laid.join(taken, F.col("s").eqNullSafe(F.col("of")) & (F.col("block") == F.col("part"))).drop("of", "part")
     # rows of one id lie apart by their texts
-    out = out.withColumn("order", F.xxhash64(s, "epoch", "k", F.col("row").getField(text_col).cast("string")))
+    out = out.withColumn("order", F.xxhash64(s, "epoch", "k", "h"))
     # whole blocks pass; only the rows of a cut block are ordered and summed, and a block is bounded
     whole = out.where("size <= room").withColumn("sum", F.lit(0).cast("long"))
     cut = out.where("size > room").withColumn("sum", F.sum("n").over(Window.partitionBy("s", "block", "epoch").orderBy("order", "k").rowsBetween(Window.unboundedPreceding, 0)))
