@@ -393,6 +393,27 @@ def strictly_ascending(c: Column) -> Column:
     return c == F.array_sort(F.array_distinct(c))
 
 
+def canonical_key(c: Column) -> Column:
+    """Sorts as canonical strings do: by the UTF-16 code units of the normal form."""
+    return utf16_key(nfc(c))
+
+
+@F.arrow_udf(T.BooleanType())
+def _ascending(c: pa.Array) -> pa.Array:
+    def ascends(value: list[str]) -> bool:
+        keys = [unicodedata.normalize("NFC", x).encode("utf-16-be", "surrogatepass") for x in value]
+        return all(a < b for a, b in zip(keys, keys[1:]))
+
+    return pa.array([None if v is None or None in v else ascends(v) for v in c.to_pylist()], pa.bool_())
+
+
+def canonically_ascending(c: Column) -> Column:
+    """Whether the texts of an array ascend strictly in canonical order; null for null and for arrays with a null. ASCII arrays stay in the JVM."""
+    plain = F.forall(c, lambda x: F.octet_length(x) == F.length(x))
+    simple = F.when(F.coalesce(plain, F.lit(False)), strictly_ascending(c))
+    return F.coalesce(simple, _ascending(F.when(simple.isNull(), c)))
+
+
 def visited_strings(value: object, path: str = "$") -> list[tuple[str, str]]:
     """Every string of a JSON-shaped Python value with its path, depth first."""
     if isinstance(value, str):

@@ -45,6 +45,11 @@ def registry_digests(methods: DataFrame) -> DataFrame:
     return methods.groupBy("registry").agg(sha256(F.concat(F.lit('{"methods":['), lines, F.lit("]}"))).alias("registry_digest"), F.count("*").alias("n_methods"))
 
 
+def directory_violations(digests: DataFrame) -> DataFrame:
+    """(registry_digest, n_registries) of digests (registry, registry_digest) that stand for several registries: a lookup by them has no answer."""
+    return digests.groupBy("registry_digest").agg(F.countDistinct("registry").alias("n_registries")).where("n_registries > 1")
+
+
 def _https(c: Column) -> Column:
     return F.coalesce(F.try_parse_url(c, F.lit("PROTOCOL")) == "https", F.lit(False))
 

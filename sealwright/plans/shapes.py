@@ -103,3 +103,16 @@ def q85_ip_hosts(spark, sf_dir):
         .when(k == 4, F.concat(F.lit("1.2.3."), (i % 300).cast("string"))).when(k == 5, "010.1.1.1").when(k == 6, "127.0.0.1 ").otherwise(F.split("url", "/")[2])
     )
     return table(spark, sf_dir, "pages").select("page_id", V.ip_version(text).alias("version"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 5 AS k, lang, source, substr(text, 1, 40) AS t FROM documents),
+a AS (SELECT doc_id, k, [nfc_normalize('e' || chr(769) || source), nfc_normalize('z' || lang), nfc_normalize('é' || t)] AS l, [nfc_normalize(lang), nfc_normalize(lang || t)] AS m FROM d)
+SELECT doc_id, CASE WHEN k = 4 THEN NULL WHEN k = 3 THEN m[1] < m[2] WHEN k = 2 THEN false ELSE l[1] < l[2] AND l[2] < l[3] END AS ascending FROM a"""
+)
+def q86_canonical_order(spark, sf_dir):
+    """Arrays of texts of documents, decomposed, repeated, ASCII or with a null: which of them ascend in canonical order."""
+    k, t = F.col("doc_id") % 5, F.substring("text", 1, 40)
+    usual = F.array(F.concat(F.lit("é"), "source"), F.concat(F.lit("z"), "lang"), F.concat(F.lit("é"), t))
+    arrays = F.when(k == 4, F.array(F.lit("a"), F.lit(None))).when(k == 3, F.array("lang", F.concat("lang", t))).when(k == 2, F.array(F.lit("é"), F.lit("é"))).otherwise(usual)
+    return table(spark, sf_dir, "documents").select("doc_id", V.canonically_ascending(arrays).alias("ascending"))

@@ -50,3 +50,20 @@ def test_headers_by_code_units(spark):
     want = {"a": smile * 512, "b": "x" + smile * 511, "c": "é" * 1024, "d": "é" * 1024, "e": smile * 512}
     assert dict(got[:5]) == want
     assert got[5:] == [("x", "a"), ("x", smile), ("x", "￿"), ("x-y", "a")]
+
+
+def test_canonical_order(spark):
+    smile, high = "\U0001f600", "￿"
+    cases = {("a", "b"): True, ("b", "a"): False, ("a", "a"): False, (): True, ("é", "é"): False, ("z", "é"): True, (smile, high): True, (high, smile): False, ("a", None): None, None: None}
+    got = column(spark, [list(c) if c is not None else None for c in cases], V.canonically_ascending(F.col("v")), "array<string>")
+    assert got == list(cases.values())
+    texts = ["b", "éa", "é", smile, high, "a"]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    assert [r["v"] for r in df.orderBy(V.canonical_key(F.col("v"))).collect()] == ["a", "b", "é", "éa", smile, high]
+
+
+def test_directories(spark):
+    from sealwright.operators import capture
+
+    rows = [("a", "d1"), ("b", "d1"), ("c", "d2"), ("c", "d2")]
+    assert [tuple(r) for r in capture.directory_violations(spark.createDataFrame(rows, "registry string, registry_digest string")).collect()] == [("d1", 2)]
