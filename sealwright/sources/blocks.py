@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-BLOCK = 64 << 20
+#: A range is one value in the JVM, which holds several copies of it on its way.
+BLOCK = 16 << 20
 CHUNK = 4 << 20
 #: Options that bound a tree.
 LIMITS_OPTIONS = ("maxFiles", "maxFileBytes", "maxTotalBytes")
