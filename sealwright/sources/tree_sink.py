@@ -170,16 +170,17 @@ class ReleaseTree(DataSource):
         return TreeWriter(self.options)
 
 
-def write_release(files: DataFrame, root: str, bundle: str, partitions: int | None = None, **limits: int) -> None:
+def write_release(files: DataFrame, root: str, bundle: str, partitions: int | None = None, together: bool = False, **limits: int) -> None:
     """Replace the release at `root` by `files` (path, content, and start where a file is given in several rows) and the text of its bundle.
 
-    A file without bytes is a row with empty content; null content counts as empty. Limits are maxFiles, maxFileBytes and maxTotalBytes.
+    A file without bytes is a row with empty content; null content counts as empty. With `together`, the rows of a path are in one partition already, and are not shuffled
+    again. Limits are maxFiles, maxFileBytes and maxTotalBytes.
     """
     register(files.sparkSession)
     files.sparkSession.dataSource.register(ReleaseTree)
     start = F.col("start").cast("long") if "start" in files.columns else F.lit(0).cast("long")
     rows = files.select(F.col("path").cast("string").alias("path"), start.alias("start"), F.col("content").cast("binary").alias("content"))
-    dealt = rows.repartition(partitions, "path") if partitions else rows.repartition("path")
+    dealt = rows if together else rows.repartition(partitions, "path") if partitions else rows.repartition("path")
     writer = dealt.sortWithinPartitions("path", "start").write.format("release_tree").mode("append").option("bundle", bundle)
     for name, value in limits.items():
         writer = writer.option(name, value)
