@@ -3,14 +3,18 @@
 An interval is cut into the few blocks that lie in it, and in no larger block that does: at most thirty for each level. A point lies in one block of each level, and
 meets an interval in exactly one of them, or in none. The levels are as many as the finite bounds of the intervals need. Nothing is broadcast, no pair is made that the
 blocks do not hold, and a block that many points share is an ordinary join key, which Spark splits if it is hot.
+
+`within` gives every pair. Where only their number is asked, `counted` makes none: it sums starts and ends in the order of their times, over range partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sealwright.session import written
+
 BASE = 16
 
 
@@ -57,4 +61,31 @@ def within(points: DataFrame, intervals: DataFrame, on: list[str], at: str, star
     looked = points.where(F.col(at).isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     looked = looked.withColumn("block", F.floor(place / F.pow(F.lit(float(BASE)), F.col("level"))).cast("long"))
     inside = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    return looked.join(held, [*on, "level", "block"]).where(inside).drop("level", "block")
+    # Spark takes the blocks to be as small as the intervals they come from, and would broadcast them
+    return looked.join(held.hint("merge"), [*on, "level", "block"]).where(inside).drop("level", "block")
+
+
+def counted(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, name: str = "n") -> DataFrame:
+    """`points` with the number of the `intervals` that `within` would join to each, 0 for none.
+
+    What holds at a time is the starts up to it less the ends up to it. Each different time of the points and bounds is one row of a sort by range, whatever the number of
+    points and intervals there; a partition sums its own rows and gets the total of those before it.
+    """
+    keys = [F.col(c).alias(f"on{i}_") for i, c in enumerate(on)]
+    names = [f"on{i}_" for i in range(len(on))]
+    whole = intervals.where(F.col(start).isNull() | F.col(end).isNull() | (F.col(start) < F.col(end)))
+    step = lambda c, n, asked: [F.col(c).isNotNull().alias("late_"), F.col(c).alias("t_"), F.lit(n).cast("long").alias("d_"), F.lit(asked).alias("asked_")]
+    # an open start is before all times; an open end never comes
+    steps = points.where(F.col(at).isNotNull()).select(*keys, *step(at, 0, True))
+    steps = steps.union(whole.select(*keys, *step(start, 1, False))).union(whole.where(F.col(end).isNotNull()).select(*keys, *step(end, -1, False)))
+    place = [*names, "late_", "t_"]
+    times = steps.dropna(subset=names).groupBy(*place).agg(F.sum("d_").alias("d_"), F.max("asked_").alias("asked_"))
+    # written, so that a partition stays what it is
+    laid = written(times.repartitionByRange(*place).withColumn("part_", F.spark_partition_id()), "interval-steps")
+    totals = laid.groupBy("part_", *names).agg(F.sum("d_").alias("d_"))
+    before = totals.select("part_", *names, F.coalesce(F.sum("d_").over(Window.partitionBy(*names).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    own = F.sum("d_").over(Window.partitionBy("part_", *names).orderBy("late_", "t_").rowsBetween(Window.unboundedPreceding, 0))
+    held = laid.withColumn("own_", own).where("asked_").join(before, ["part_", *names]).select(*names, "t_", (F.col("own_") + F.col("before_")).alias("n_"))
+    same = [F.col(c) == F.col(f"on{i}_") for i, c in enumerate(on)]
+    out = points.join(held.where("n_ > 0"), [*same, F.col(at) == F.col("t_")], "left")
+    return out.select(*points.columns, F.coalesce("n_", F.lit(0)).alias(name))

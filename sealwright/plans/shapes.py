@@ -57,7 +57,8 @@ def q72_active_keys_of_a_large_registry(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key_id"), (F.col("o_custkey") % 10).alias("p"), F.col("o_orderdate").cast("timestamp_ntz").alias("a"))
     keys = keys.select("p", "a", (F.col("a") + F.expr("INTERVAL 1 DAY")).alias("b"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_suppkey") % 10).alias("p"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"))
-    return intervals.within(items, keys, ["p"], "t", "a", "b").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_active"))
+    active = intervals.counted(items, keys, ["p"], "t", "a", "b", "n_active").where("n_active > 0")
+    return active.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n_active").alias("n_active"))
 
 
 @query(

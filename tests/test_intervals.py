@@ -25,6 +25,27 @@ def test_equal_to_all_pairs(spark, kind):
     assert len(rows) == len(set(rows)) and set(rows) == want and want
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp"])
+def test_numbers_of_pairs(spark, kind):
+    rng = random.Random(kind)
+    value = {"long": lambda: rng.randrange(-30, 30), "double": lambda: round(rng.uniform(-9, 9), 1), "timestamp": lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(40), microseconds=rng.choice([0, 1]))}[kind]
+    points = [(i, rng.choice(["a", "b", None]), value() if rng.random() > 0.05 else None) for i in range(200)]
+    held = [(rng.choice(["a", "b", "c", None]), None if rng.random() < 0.1 else value(), None if rng.random() < 0.1 else value()) for _ in range(120)]
+    want = {i: sum(p is not None and p == q and t is not None and (a is None or a <= t) and (b is None or t < b) for q, a, b in held) for i, p, t in points}
+    points, held = spark.createDataFrame(points, f"i int, p string, t {kind}"), spark.createDataFrame(held, f"p string, a {kind}, b {kind}")
+    rows = intervals.counted(points, held, ["p"], "t", "a", "b").collect()
+    assert len(rows) == 200 and {r["i"]: r["n"] for r in rows} == want and len(set(want.values())) > 5
+    assert {r["n"] for r in intervals.counted(points, held.limit(0), ["p"], "t", "a", "b").collect()} == {0}
+
+
+def test_many_pairs_are_counted_not_made(spark):
+    """A billion pairs, and blocks of intervals of which Spark knows no size."""
+    points, held = spark.range(30000).select(F.lit(1).alias("p"), (F.col("id") % 7).alias("t")), spark.range(33334).select(F.lit(1).alias("p"), (-F.col("id")).alias("a"), (F.col("id") + 7).alias("b"))
+    assert [tuple(r) for r in intervals.counted(points, held, ["p"], "t", "a", "b").groupBy("n").count().collect()] == [(33334, 30000)]
+    pairs = intervals.within(points, held, ["p"], "t", "a", "b")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_and_empty_tables(spark):
     points = spark.createDataFrame([(1, -(10**12)), (2, 0), (3, 10**12), (4, None)], "i int, t long")
     held = spark.createDataFrame([("all", None, None), ("none", 5, 5), ("back", 9, 2), ("one", 0, 1)], "j string, a long, b long")
