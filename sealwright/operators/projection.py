@@ -126,7 +126,9 @@ def parsed_manifest(manifests: DataFrame, contract: str) -> DataFrame:
     rows = manifests.withColumn("snapshot", F.from_json(line, kind)).withColumn("c_", canonical_json(line))
     s = F.col("snapshot")
     entries, prefixes = s["shards"], F.transform(s["shards"]["path"], lambda p: F.regexp_extract(p, r"\Adata/([0-9a-f]{1,4})\.jsonl\z", 1))
-    inside = F.exists(prefixes, lambda p: F.exists(F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: i < F.length(p)), lambda i: F.array_contains(F.col("prefixes_"), F.substring(p, F.lit(1), i))))
+    above = F.flatten(F.transform(F.col("prefixes_"), lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: i < F.length(p)), lambda i: F.substring(p, F.lit(1), i))))
+    # looked up in a hash set: a manifest has 65536 shards at most, too many to compare with one another
+    inside = F.arrays_overlap(F.array_distinct(above), F.col("prefixes_"))
     rules = [
         ("not_canonical", F.col("manifest").endswith("\n") & (F.col("c_.text") == line)),
         ("shape", F.to_json(s) == line),

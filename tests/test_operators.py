@@ -218,3 +218,21 @@ def test_long_chains(spark):
         want = h(f"{want}:t{i}")
     assert got == {"long": (want, 25_000), None: (h(h("seed:") + ":b"), 2), "one": (h("seed:é"), 1)}
     assert changes.chain_heads(df.limit(0), "chain", ["n"], "text", F.lit("seed")).count() == 0
+
+
+def test_a_manifest_of_many_shards_is_read_in_linear_time(spark):
+    """A shard below another is found in a set; comparing all prefixes with one another took minutes for these."""
+    import time
+
+    def read(paths):
+        d = "sha256:" + "0" * 64
+        entries = ",".join(f'{{"bytes":9,"digest":"{d}","path":"data/{p}.jsonl","rows":1}}' for p in paths)
+        text = f'{{"contract":"c/v1","maxShardBytes":10,"projectorDigest":"{d}","rowCount":{len(paths)},"shards":[{entries}],"sourceReleaseId":"{d}","sourceSequence":1}}\n'
+        return projection.parsed_manifest(spark.createDataFrame([(text,)], "manifest string"), "c/v1").first()["issue"]
+
+    many = [f"{i:04x}" for i in range(40000)]
+    began = time.time()
+    assert read(many) is None
+    assert read(sorted([*many, "9c3"])) == "overlap"
+    assert time.time() - began < 90
+    assert read(["0", "00"]) == "overlap" == read(["00", "0001"]) == read(["0", "0001"]) and read(["0001", "001", "01", "1"]) is None
