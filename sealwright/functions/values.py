@@ -106,8 +106,9 @@ def json_string(c: Column, ascii_only: bool = False) -> Column:
     """A quoted canonical string: short escapes where JSON has them, else lower-case \\u00xx."""
     c = c if ascii_only else nfc(c)
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit("\\" + SHORT.get(code, f"u{code:04x}")))
+    # one expression over a literal, not one for each code: a record has many texts, and what Spark compiles is bounded
+    escapes = F.array(*[F.lit("\\" + SHORT.get(code, f"u{code:04x}")) for code in range(32)])
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(31)), out, lambda t, code: F.replace(t, F.char(code), F.element_at(escapes, code + 1)))
     quote = F.lit('"')
     return F.when(c.rlike(r'["\\\x00-\x1f]'), F.concat(quote, out, quote)).otherwise(F.concat(quote, c, quote))
 
@@ -262,9 +263,22 @@ def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys
     Map keys get their normal form, and keys of one normal form fail the job. Without `normal_keys` they keep the form they have, for keys that are known to be normal.
     """
     _check(kind)
+    if isinstance(kind, T.StructType) and not ascii_only and _in_python(kind, False, normal_keys) and not _holds_doubles(kind):
+        # what is all ASCII stays in the JVM, and one column of nulls goes to Python instead of one for each text
+        text = F.concat_ws("", *_texts(c, kind))
+        plain = F.octet_length(text) == F.length(text)
+        own = _canonical(c, kind, True, False)
+        return F.coalesce(F.when(plain, own).otherwise(_collection(F.when(~plain, c), kind, normal_keys)), F.lit("null"))
     return _canonical(c, kind, ascii_only, normal_keys)
 
 
+def _texts(c: Column, kind: T.DataType) -> list[Column]:
+    """Texts that together are ASCII if all strings of `c` are."""
+    if isinstance(kind, T.StructType):
+        return [t for f in kind.fields for t in _texts(c.getField(f.name), f.dataType)]
+    return [c.cast("string")] if isinstance(kind, (T.StringType, T.ArrayType, T.MapType)) else []
+
+
 def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool) -> Column:
     if isinstance(kind, T.StructType):
         members = []
@@ -375,7 +389,8 @@ def plain_url(c: Column) -> Column:
     authority = F.when(special, F.regexp_extract(rest, r"(?s)\A[/\\]*([^/\\?]*)", 1)).otherwise(F.regexp_extract(rest, r"(?s)\A//([^/?]*)", 1))
     user, place = F.regexp_extract(authority, r"(?s)\A(.*)@", 1), F.regexp_extract(authority, r"(?s)([^@]*)\z", 1)
     host, port = F.regexp_replace(place, r":[0-9]*\z", ""), F.regexp_extract(place, r":([0-9]*)\z", 1)
-    fine = host.rlike(r"\A(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F#/:<>?@\[\\\]^|%]*)\z") & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535) & (F.length(F.ltrim(port, F.lit("0"))) <= 5)
+    digits = F.ltrim(port, F.lit("0"))  # a failed cast costs an exception for each row, so only digits are cast
+    fine = host.rlike(r"\A(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F#/:<>?@\[\\\]^|%]*)\z") & (F.length(digits) <= 5) & (F.when(F.length(digits).between(1, 5), digits.cast("int")).otherwise(0) <= 65535)
     ok = text.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") & fine & (~special | (host != "")) & user.isin("", ":") & ~text.rlike(r"(?s)#.")
     # most URLs are simple and need one look
     simple = c.rlike(r"\Ahttps?://[A-Za-z0-9.\-]+(:[0-9]{1,4})?([/?][^\x00-\x20#\\@]*)?#?\z")

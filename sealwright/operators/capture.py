@@ -73,9 +73,9 @@ def issues_of(rules: dict[str, Column]) -> Column:
 
 
 def with_method(rows: DataFrame, methods: DataFrame) -> DataFrame:
-    """`rows` with the capabilities of their method in their registry; null where it is not installed."""
+    """`rows` with the capabilities of their method in their registry; null where it is not installed. Installed methods are few and are broadcast: rows of one method are not one key of a shuffle."""
     held = methods.select("registry_digest", "name", "version", "capabilities").dropDuplicates(["registry_digest", "name", "version"])
-    return rows.withColumns({"name": F.col("method.name"), "version": F.col("method.version")}).join(held, ["registry_digest", "name", "version"], "left")
+    return rows.withColumns({"name": F.col("method.name"), "version": F.col("method.version")}).join(F.broadcast(held), ["registry_digest", "name", "version"], "left")
 
 
 def start_violations(starts: DataFrame, methods: DataFrame, key: str = "start_digest") -> DataFrame:

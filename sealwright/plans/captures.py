@@ -22,10 +22,10 @@ def _methods(spark):
 
 
 def _events(spark, sf_dir):
-    """Events as captures; k deals the cases."""
+    """Events as captures; k deals the cases. They are few bytes and much work, so they are dealt over all tasks, however few files hold them."""
     named = "sha256:" + __import__("hashlib").sha256(b'{"methods":[{"capabilities":["network"],"name":"web","version":"1"}]}').hexdigest()
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 16).alias("k"), F.concat(F.lit("https://h.example/"), F.col("user_id").cast("string")).alias("u"), at.alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts").repartition("event_id").select("event_id", "event_type", (F.col("event_id") % 16).alias("k"), F.concat(F.lit("https://h.example/"), F.col("user_id").cast("string")).alias("u"), at.alias("t"))
     return e.select("event_id", "k", "u", "t", F.concat(F.lit("sha256:"), F.sha2("event_type", 256)).alias("ck"), F.octet_length("event_type").cast("long").alias("n"), F.lit(named).alias("reg"), F.concat(F.lit("sha256:"), F.sha2(F.col("event_id").cast("string"), 256)).alias("rd"))
 
 

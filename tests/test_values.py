@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -139,3 +140,29 @@ def test_free_json(spark):
     }
     df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", V.canonical_json(F.col("c")).alias("r"))
     assert {r["c"]: tuple(r["r"]) for r in df.collect()} == cases
+
+
+def test_structs_in_the_jvm_and_in_python_agree(spark):
+    """A struct that is all ASCII is rendered in the JVM, any other in one column of Python; both as its fields one by one."""
+    from pyspark.sql import types as T
+
+    inner = T.StructType([T.StructField("to", T.StringType()), T.StructField("from", T.StringType())])
+    kind = T.StructType([T.StructField("z", T.StringType()), T.StructField("a", T.StringType(), True, {"presence": "optional"}), T.StructField("n", T.LongType()), T.StructField("m", inner), T.StructField("l", T.ArrayType(inner))])
+    texts = ["", "plain", 'q"\\', "".join(map(chr, range(32))) + "\x7f", "é", "é", "\U0001f600 ", None]
+    rows = [(t, u, 1, None if t is None else (u, t), [(t, u), None]) for t in texts for u in texts]
+    df = spark.createDataFrame(rows, kind)
+    got = [r["x"] for r in df.select(V.canonical(F.struct(*kind.fieldNames()), kind).alias("x")).collect()]
+
+    def want(t, u, n, m, _):
+        pair = lambda p: None if p is None else {"from": p[1], "to": p[0]}
+        return V.canonical_value({"z": t, "n": float(n), "m": pair(m), "l": [pair((t, u)), None]} | ({} if u is None else {"a": u}))
+
+    assert got == [want(*r) for r in rows]
+    plan = df.select(V.canonical(F.struct(*kind.fieldNames()), kind))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"pythonUDF\d+#\d+", plan)) or re.findall(r"render\(", plan)) == 1 and "_nfc(" not in plan
+
+
+def test_ports_of_urls(spark):
+    ports = {"": True, "0": True, "65535": True, "65536": False, "00080": True, "0000065535": True, "99999999999999999999": False, "000000": True}
+    df = spark.createDataFrame([(f"https://h.example:{p}/#",) for p in ports], "u string")
+    assert [r["x"] for r in df.select(V.plain_url(F.col("u")).alias("x")).collect()] == list(ports.values())
