@@ -109,7 +109,8 @@ def owners(paths: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, owner) of each distinct path: the owner of the entry that equals it or is its nearest ancestor; null if there is none."""
     steps = paths.select("path").distinct().select("path", F.explode(F.concat(F.array("path"), ancestors(F.col("path")))).alias("entry"))
     found = steps.join(entries, "entry").groupBy("path").agg(F.max_by("owner", F.length("entry")).alias("owner"))
-    return paths.select("path").distinct().join(found, "path", "left")
+    # paths are as many as the input: Spark would broadcast them up to its threshold, through the driver
+    return paths.select("path").distinct().join(found.hint("merge"), "path", "left")
 
 
 def shared_names(claims: DataFrame) -> DataFrame:

@@ -208,9 +208,9 @@ def input_violations(heads: DataFrame, objects: DataFrame, changes: DataFrame, k
     out.append(_found(objects.where(~C.canonical_path(path)), 5, "path_grammar", path))
     out.append(_found(objects.groupBy(*KEY, "path").count().where("count > 1"), 6, "path_repeated", path))
     above = objects.select(*KEY, F.explode(C.ancestors(path)).alias("path")).distinct()
-    out.append(_found(objects.join(above, [*KEY, "path"], "left_semi"), 7, "path_contains", path))
-    unowned = C.owners(objects, entries).where("owner is null").select("path")
-    out.append(_found(objects.join(unowned, "path", "left_semi"), 8, "path_unowned", path))
+    out.append(_found(objects.join(above.hint("merge"), [*KEY, "path"], "left_semi"), 7, "path_contains", path))
+    unowned = C.owners(objects, F.broadcast(entries)).where("owner is null").select("path")
+    out.append(_found(objects.join(unowned.hint("merge"), "path", "left_semi"), 8, "path_unowned", path))
     for n, name in ((9, "resource_digests"), (10, "bundle_resources")):
         named = heads.select(*KEY, F.explode(F.map_keys(name)).alias("name"))
         out.append(_found(named.join(resources.select("name"), "name", "left_anti"), n, f"{name}_unregistered", F.col("name")))
@@ -306,8 +306,8 @@ def violations(contracts: dict[str, str], texts: DataFrame, present: DataFrame,
     matched = payload.join(listed, [*KEY, "path"], "full")
     out.append(_found(matched.where("m_sha is null or d_sha is null"), 14, "manifest_closure", path))
     out.append(_found(matched.where("m_sha <> d_sha or m_bytes <> d_bytes"), 15, "manifest_bytes", path))
-    unowned = C.owners(payload, entries).where("owner is null").select("path")
-    out.append(_found(payload.join(unowned, "path", "left_semi"), 16, "path_unowned", path))
+    unowned = C.owners(payload, F.broadcast(entries)).where("owner is null").select("path")
+    out.append(_found(payload.join(unowned.hint("merge"), "path", "left_semi"), 16, "path_unowned", path))
     return reduce(DataFrame.union, out)
 
 

@@ -399,7 +399,7 @@ def _release_inputs(spark: SparkSession, sf_dir: str, size: int = RELEASE_DOCUME
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("chain"), F.floor(F.col("doc_id") / size).alias("block"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), V.sha256(text).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
     blocks = docs.select("chain", "block").distinct().withColumn("sequence", F.row_number().over(Window.partitionBy("chain").orderBy("block")).cast("long"))
-    docs = written(docs.join(blocks, ["chain", "block"]), "release-documents")
+    docs = written(docs.join(blocks.hint("merge"), ["chain", "block"]), "release-documents")
     objects = docs.select("chain", "sequence", F.concat(F.lit("texts/"), "id", F.lit(".txt")).alias("path"), "sha256", "bytes")
     none = F.lit(None).cast("string")
     kind = envelope.change_type()

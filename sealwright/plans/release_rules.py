@@ -118,7 +118,7 @@ def q77_release_inputs(spark, sf_dir):
     path = F.when(k == 1, "manifest.json").when(k == 2, "Texts/x").when(k == 3, F.col("path")).when(k == 4, "texts").when(k == 5, "other/x")
     objects = objects.unionByName(one.withColumn("path", path).where("path is not null"))
     first = made.groupBy("chain", "sequence").agg(F.min("subject_id").alias("subject_id"))
-    made = made.join(first.withColumn("first", F.lit(True)), ["chain", "sequence", "subject_id"], "left").select(*made.columns, "first")
+    made = made.join(first.withColumn("first", F.lit(True)).hint("merge"), ["chain", "sequence", "subject_id"], "left").select(*made.columns, "first")
     twice = made.unionByName(made.where((k == 10) & F.col("first"))).withColumn("change_id", F.when((k == 9) & F.col("first"), ZERO).otherwise(F.col("change_id"))).drop("first")
     entries, resources = spark.createDataFrame([("texts", "texts")], "entry string, owner string"), spark.createDataFrame([], "name string, owner string")
     return envelope.input_violations(heads, objects, twice, envelope.change_type(), entries, resources)

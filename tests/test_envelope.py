@@ -133,3 +133,12 @@ def test_refused_inputs(spark):
         (1, "subject_repeated", "a"), (1, "change_unsealed", of(0)),
     }
     assert C.repeated_subjects(change, ["subject_id"]).count() == 1
+
+
+def test_checks_of_inputs_broadcast_no_table_of_releases(spark):
+    """Only what an instance declares may go through the driver: its object entries and its resources."""
+    from sealwright.plans import release_rules
+
+    plan = release_rules.q77_release_inputs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    kept = [j for j in plan.splitlines() if "BroadcastHashJoin" in j and ("path" in j or "subject_id" in j or "block" in j)]
+    assert not kept
