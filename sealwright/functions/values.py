@@ -89,6 +89,8 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
+#: Texts whose canonical string is the text in quotes; JSON escapes none of their characters.
+NO_ESCAPE = r"\A[ !#-\[\]-~]*\z"
 #: Fixed short escapes of JSON.
 SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
 
@@ -183,6 +185,31 @@ def _collection(c: Column, kind: T.DataType, normal_keys: bool) -> Column:
     return render(c)
 
 
+def _from_json(value: object, kind: T.DataType) -> object:
+    """What Arrow would give for a value of Spark type `kind`, from JSON whose objects are lists of pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        members = dict(value)
+        return {f.name: _from_json(members[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, T.MapType):
+        return [(k, _from_json(v, kind.valueType)) for k, v in value]
+    return [_from_json(v, kind.elementType) for v in value] if isinstance(kind, T.ArrayType) else value
+
+
+def _record(c: Column, kind: T.StructType, normal_keys: bool) -> Column:
+    """A struct column without doubles, most of whose rows are null, rendered batch by batch. It goes to Python as one text: a struct costs a writer for each field, for null rows too."""
+
+    @F.arrow_udf(T.StringType())
+    def render(s: pa.Array) -> pa.Array:
+        if s.null_count == len(s):
+            return pa.nulls(len(s), pa.string())
+        values = (None if v is None else _from_json(json.loads(v, object_pairs_hook=list), kind) for v in s.to_pylist())
+        return pa.array([None if v is None else _typed(v, kind, normal_keys) for v in values], pa.string())
+
+    return render(F.to_json(c, {"ignoreNullFields": "false"}))
+
+
 def _holds_doubles(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(_holds_doubles(f.dataType) for f in kind.fields)
@@ -267,8 +294,9 @@ def canonical(c: Column, kind: T.DataType, ascii_only: bool = False, normal_keys
         # what is all ASCII stays in the JVM, and one column of nulls goes to Python instead of one for each text
         text = F.concat_ws("", *_texts(c, kind))
         plain = F.octet_length(text) == F.length(text)
-        own = _canonical(c, kind, True, False)
-        return F.coalesce(F.when(plain, own).otherwise(_collection(F.when(~plain, c), kind, normal_keys)), F.lit("null"))
+        # one look at all texts of a record, instead of one at each, tells that none has an escape
+        simple, quick, own = text.rlike(NO_ESCAPE), _canonical(c, kind, True, False, True), _canonical(c, kind, True, False)
+        return F.coalesce(F.when(simple, quick).when(plain, own).otherwise(_record(F.when(~plain, c), kind, normal_keys)), F.lit("null"))
     return _canonical(c, kind, ascii_only, normal_keys)
 
 
@@ -279,11 +307,12 @@ def _texts(c: Column, kind: T.DataType) -> list[Column]:
     return [c.cast("string")] if isinstance(kind, (T.StringType, T.ArrayType, T.MapType)) else []
 
 
-def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool) -> Column:
+def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool, simple: bool = False) -> Column:
+    """`simple`: the texts in `c`, but for those in arrays and maps, are known to match NO_ESCAPE."""
     if isinstance(kind, T.StructType):
         members = []
         for f in sorted(kind.fields, key=lambda f: unicodedata.normalize("NFC", f.name).encode("utf-16-be")):
-            value = _canonical(c.getField(f.name), f.dataType, ascii_only, normal_keys)
+            value = _canonical(c.getField(f.name), f.dataType, ascii_only, normal_keys, simple)
             key = F.lit(json_literal(f.name) + ":")
             optional = (f.metadata or {}).get("presence") == "optional"
             members.append(F.when(c.getField(f.name).isNotNull(), F.concat(key, value)) if optional else F.concat(key, value))
@@ -300,7 +329,7 @@ def _canonical(c: Column, kind: T.DataType, ascii_only: bool, normal_keys: bool)
         entries = F.transform(F.map_entries(c), lambda e: F.struct(utf16_key(e["key"]).alias("o"), e["key"].alias("k"), e["value"].alias("v")))
         out = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(json_string(e["k"], True), F.lit(":"), _canonical(e["v"], kind.valueType, True, False))), ","), F.lit("}"))
     elif isinstance(kind, T.StringType):
-        out = json_string(c, ascii_only)
+        out = F.concat(F.lit('"'), c, F.lit('"')) if simple else json_string(c, ascii_only)
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         out = _number(c.cast("double"))
     else:
@@ -341,9 +370,10 @@ def operation_id(contract: str, canonical_value: Column) -> Column:
 
 def instant_key(c: Column) -> Column:
     """(seconds, fraction digits) of an ISO instant with offset; null for what is none. Compares to every digit."""
-    base = F.concat(F.regexp_extract(c, INSTANT, 1), F.regexp_extract(c, INSTANT, 3))
+    fraction = F.contains(c, F.lit("."))  # most instants have none, and are cast as they are
+    base = F.when(fraction, F.concat(F.regexp_extract(c, INSTANT, 1), F.regexp_extract(c, INSTANT, 3))).otherwise(c)
     moment = F.when(c.rlike(INSTANT), F.unix_seconds(base.try_cast("timestamp")))
-    return F.when(moment.isNotNull(), F.struct(moment.alias("s"), F.rtrim(F.regexp_extract(c, INSTANT, 2), F.lit("0")).alias("f")))
+    return F.when(moment.isNotNull(), F.struct(moment.alias("s"), F.when(fraction, F.rtrim(F.regexp_extract(c, INSTANT, 2), F.lit("0"))).otherwise(F.lit("")).alias("f")))
 
 
 def ip_version(c: Column) -> Column:

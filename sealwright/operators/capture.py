@@ -68,8 +68,8 @@ def _codes(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def issues_of(rules: dict[str, Column]) -> Column:
-    """The codes of all broken rules, in order."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules.items()]))
+    """The codes of all broken rules, in order. They pass through a text, which Spark compiles: array_compact has its whole argument interpreted for each row."""
+    return F.array_remove(F.split(F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules.items()]), ","), "")
 
 
 def with_method(rows: DataFrame, methods: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sealwright.functions import values
 from sealwright.operators import attestation as A
@@ -128,3 +129,21 @@ def test_ports_of_urls(spark):
     urls = {"https://h:80/": True, "https://h:0000080/": True, "https://h:65536/": False, "https://h:99999999999/": False}
     got = {r["u"]: r["p"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", values.plain_url(F.col("u")).alias("p")).collect()}
     assert got == urls
+
+
+def test_records_of_all_characters_and_whole_rows_that_are_not_sorted(spark):
+    kind = T.StructType([T.StructField("a", T.StringType()), T.StructField("l", T.ArrayType(T.StructType([T.StructField("x", T.StringType())]))), T.StructField("m", T.MapType(T.StringType(), T.LongType())), T.StructField("n", T.LongType()), T.StructField("t", T.BooleanType())])
+    want = [{"a": t, "l": [{"x": t}, {"x": None}, None], "m": {t: 2**60}, "n": None, "t": True} for t in ("", "plain ~", 'q"\\', "\n\x01\x7f", "é", '中"\n')]
+    want.append({"a": None, "l": None, "m": None, "n": -1, "t": None})
+    rows = spark.createDataFrame([(json.dumps(w, sort_keys=True, separators=(",", ":"), ensure_ascii=False), w) for w in want], T.StructType().add("want", "string").add("c", kind))
+    got = rows.select("want", values.canonical(F.col("c"), kind).alias("got"))
+    assert all(r["want"] == r["got"] for r in got.collect())
+    text = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" in text(got) or "StructsToJson" in text(got)
+    start = A.sealed_starts(df(spark, [START], A.START), methods(spark)).drop("issues")
+    attempt = A.sealed_attempts(df(spark, [ATTEMPT], A.ATTEMPT), methods(spark)).drop("issues")
+    kind = ", ".join(f"{n}: string" for n in (*A.CORE.fieldNames(), "attestation_digest"))
+    none = spark.createDataFrame([], f"{kind}, protected struct<{PROTECTED}>")
+    plan = text(A.verdicts(start, attempt, none.unionByName(none), methods(spark), "c", "p"))
+    assert "first(struct" not in plan and "first(named_struct" not in plan
+    assert "array_compact" not in str(A.issues_of({"a": F.lit(False)}))
