@@ -185,6 +185,12 @@ def _found(rows: DataFrame, ordinal: int, code: str, path: Column | None = None)
     return rows.select(*KEY, F.lit(ordinal).alias("check_ordinal"), F.lit(code).alias("code"), (F.lit(None).cast("string") if path is None else path).alias("path")).distinct()
 
 
+def _found_either(rows: DataFrame, path: Column, *cases: tuple[int, str, str]) -> DataFrame:
+    """`_found` for conditions that exclude each other, in one pass: a union would compute the join below it for each."""
+    code = reduce(lambda a, x: a.when(F.expr(x[2]), F.struct(F.lit(x[0]).alias("check_ordinal"), F.lit(x[1]).alias("code"))), cases, F)
+    return rows.select(*KEY, code.alias("x"), path.alias("path")).where("x is not null").select(*KEY, "x.check_ordinal", "x.code", "path").distinct()
+
+
 def unordered_policy(rows: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Releases whose place is wrong (columns chain, sequence, policy_as_of): a chain starts at 1 or after its parent, goes up by one, and its policy time never goes back."""
     one = rows.select(*KEY, "policy_as_of", F.lit(False).alias("given_"))
@@ -296,16 +302,14 @@ def violations(contracts: dict[str, str], texts: DataFrame, present: DataFrame,
     path = F.col("path")
     declared = rows.select(*KEY, F.explode(b["files"]).alias("path", "d")).select(*KEY, "path", F.col("d.sha256").alias("d_sha"), F.col("d.bytes").alias("d_bytes"))
     both = present.select(*KEY, "path", F.col("sha256").alias("p_sha"), F.col("bytes").alias("p_bytes")).join(declared, [*KEY, "path"], "full")
-    out.append(_found(both.where("p_sha is null or d_sha is null"), 3, "file_set", path))
-    out.append(_found(both.where("p_sha <> d_sha or p_bytes <> d_bytes"), 4, "file_bytes", path))
+    out.append(_found_either(both, path, (3, "file_set", "p_sha is null or d_sha is null"), (4, "file_bytes", "p_sha <> d_sha or p_bytes <> d_bytes")))
     for n, name, map_ in ((5, "resource_digests", b["resource_digests"]), (6, "snapshot_resources", b["release"]["snapshot_core"]["resource_digests"])):
         named = rows.select(*KEY, F.explode(F.map_keys(map_)).alias("name"))
         out.append(_found(named.join(resources.select("name"), "name", "left_anti"), n, f"{name}_unregistered", F.col("name")))
     listed = rows.select(*KEY, F.explode("manifest_.objects").alias("path", "m")).select(*KEY, "path", F.col("m.sha256").alias("m_sha"), F.col("m.bytes").alias("m_bytes"))
     payload = declared.where(~path.isin([*FILES.values(), *state_files]))
     matched = payload.join(listed, [*KEY, "path"], "full")
-    out.append(_found(matched.where("m_sha is null or d_sha is null"), 14, "manifest_closure", path))
-    out.append(_found(matched.where("m_sha <> d_sha or m_bytes <> d_bytes"), 15, "manifest_bytes", path))
+    out.append(_found_either(matched, path, (14, "manifest_closure", "m_sha is null or d_sha is null"), (15, "manifest_bytes", "m_sha <> d_sha or m_bytes <> d_bytes")))
     unowned = C.owners(payload, F.broadcast(entries)).where("owner is null").select("path")
     out.append(_found(payload.join(unowned.hint("merge"), "path", "left_semi"), 16, "path_unowned", path))
     return reduce(DataFrame.union, out)

@@ -53,3 +53,15 @@ def test_stream_of_changes(spark, tmp_path):
     stream.apply_batch(spark.createDataFrame(batches[1], "id string, line string, seq long"), 1, root, 600)
     assert {r["id"]: r["line"] for r in stream.current(spark, root).collect()} == kept
     assert {r["code"] for r in projection.closure_violations(projection.inventory(stream.current(spark, root)), 600).collect()} <= {"size"}
+
+
+def test_faults_of_joined_paths_take_one_join(spark):
+    from pyspark.sql import functions as F
+
+    from sealwright.operators import envelope
+
+    one, two = (spark.createDataFrame([(1, 1, p, v) for p, v in pairs], f"chain long, sequence long, path string, {n} string") for n, pairs in (("a", [("x", "1"), ("y", "1"), ("z", "1")]), ("b", [("x", "1"), ("y", "2"), ("w", "1")])))
+    both = one.join(two, [*envelope.KEY, "path"], "full")
+    found = envelope._found_either(both, F.col("path"), (3, "set", "a is null or b is null"), (4, "bytes", "a <> b"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 3, "set", "w"), (1, 1, 3, "set", "z"), (1, 1, 4, "bytes", "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
